@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rookery.llm.fingerprints import op2_fingerprints
+from rookery.llm.quality import op4_quality
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints,)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_quality)}
 ORACLES: dict[str, str] = {}
