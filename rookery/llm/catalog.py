@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from rookery.llm.fingerprints import op2_fingerprints
+from rookery.llm.packing import op9_packing
 from rookery.llm.quality import op4_quality
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_quality)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_quality, op9_packing)}
 ORACLES: dict[str, str] = {}

@@ -162,13 +162,16 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     forest = train(stats, labels)
 
     def run(batches):
-        for rows in batches:
-            score = forest.score(np.array(rows.stats.tolist(), np.float32).reshape(-1, N_STATISTICS))
-            yield rows.drop(columns="stats").assign(score=score, predicted=(score >= 0.5).astype("int32"))
+        import pyarrow as pa
+
+        for batch in batches:
+            score = forest.score(batch.column("stats").flatten().to_numpy().reshape(-1, N_STATISTICS))
+            added = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *added], ["doc_id", "held_out", "score", "predicted"])
 
     kept = stats.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "stats")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return kept.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return kept.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def high_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
