@@ -59,3 +59,12 @@ def space_words(text: bytes) -> list[bytes]:
 def crc_mod(column: str, n: int):
     """crc32 of a column's text form, modulo n; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most ``rows`` rows of ``df``: those whose hash of ``keys`` is smallest. A count first thins the rows, so no task sends many to the driver."""
+    total = df.count()
+    place = F.xxhash64(*keys)
+    if total > rows:
+        df = df.where(F.pmod(place, F.lit(1_000_003)) <= int(1_000_003 * min(1.0, 1.1 * rows / total + 1e-6)))
+    return df.orderBy(place, *keys).limit(rows)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import crc_mod, raw_text, stored, table
+from rookery.llm.common import crc_mod, hash_sample, raw_text, stored, table
 
 #: Rows the classifier is fitted on at most: those of the smallest hashes among the labelled.
 SAMPLE_ROWS = 20_000
@@ -151,7 +151,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
 def train(stats: DataFrame, labels: DataFrame) -> Forest:
     """A forest from at most SAMPLE_ROWS labelled rows outside the held-out third. Labels that contradict each other on an id count by their mean."""
     labels = labels.where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    rows = stats.where(crc_mod("doc_id", 3) != 1).join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "stats").limit(SAMPLE_ROWS).select("stats", "quality").toPandas()
+    labelled = stats.where(crc_mod("doc_id", 3) != 1).join(labels, "doc_id")
+    rows = hash_sample(labelled, SAMPLE_ROWS, "doc_id", "stats").select("stats", "quality").toPandas()
     x = np.array(rows.stats.tolist(), np.float32).reshape(-1, N_STATISTICS)
     return fit(x, (rows.quality.to_numpy(float) >= 0.5).astype(float))
 
