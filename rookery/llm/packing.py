@@ -23,82 +23,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rookery.llm.common import stored, table
+from rookery.llm.subwords import encoder_of
 
 WIDTH, STEP, END = 2048, 8, 1
 #: Ranks are counted within blocks of about this many pieces, so a frequent length is no single group.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_096
 _MAX_COLUMNS = 3_000
 #: Texts encoded at once.
 SLICE = 512
 
 
-class Encoder:
-    """Subword ids of texts, remembering the ids of white-space separated chunks.
-
-    The vocabulary's splitter drops white space and never joins across it, so a text's ids are
-    its chunks' ids in order. ASCII letters are lower-cased before the lookup, as the vocabulary does,
-    except in chunks that may hold a special token.
-    """
-
-    LIMIT = 600_000
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.place: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, chunks: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        for chunk, e in zip(chunks, encoded):
-            ids, k = e.ids, len(self.place)
-            n = len(ids)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k >= len(self.start):
-                self.start, self.size = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.size))
-            self.flat[self.used : self.used + n] = ids
-            self.start[k], self.size[k] = self.used, n
-            self.used += n
-            self.place[chunk] = k
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has."""
-        if len(self.place) > self.LIMIT:
-            self.place.clear()
-            self.used = 0
-        chunks: list[str] = []
-        ends = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            chunks += (t if "<|" in t else _lower(t)).split()
-            ends[i] = len(chunks)
-        new = [c for c in dict.fromkeys(chunks) if c not in self.place]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        size = self.size[at]
-        total = np.concatenate([[0], np.cumsum(size)])
-        index = np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])
-        counts = np.diff(total[np.concatenate([[0], ends])])
-        return self.flat[index], counts
-
-
-
-def _lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-
-
 def cut(docs: DataFrame, tokenizer: str, width: int = WIDTH, end: int = END) -> DataFrame:
     """The pieces of every row: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             texts, out = [t or "" for t in batch.column("text").to_pylist()], []
             for first in range(0, len(texts), SLICE):
