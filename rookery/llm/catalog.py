@@ -6,11 +6,12 @@ from rookery.llm.decontamination import op3_decontamination
 from rookery.llm.fingerprints import op2_fingerprints
 from rookery.llm.html import op8_html
 from rookery.llm.licenses import op7_licenses
+from rookery.llm.lm import op5_lm
 from rookery.llm.packing import op9_packing
 from rookery.llm.quality import op4_quality
 from rookery.llm.secrets import op10_secrets
 from rookery.llm.simhash import op1_simhash
 from rookery.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_fingerprints, op3_decontamination, op4_quality, op6_warc, op7_licenses, op8_html, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_fingerprints, op3_decontamination, op4_quality, op5_lm, op6_warc, op7_licenses, op8_html, op9_packing, op10_secrets)}
 ORACLES: dict[str, str] = {}

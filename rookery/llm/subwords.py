@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -24,11 +25,14 @@ class Encoder:
     #: Chunks remembered at most; beyond, the memory starts anew.
     LIMIT = 800_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """``plain``: the strings of special tokens are ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
+        self.tokenizer.encode_special_tokens = self.plain = plain
+        self.generation = 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -36,6 +40,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.names: list[str] = []
+        self.generation += 1
         self.flat, self.start, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
         self.used = 0
 
@@ -50,6 +56,7 @@ class Encoder:
         self.size[k : k + len(chunks)] = sizes
         self.used += n
         self.place.update(zip(chunks, range(k, k + len(chunks))))
+        self.names += chunks
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         """Pieces that are letters only."""
@@ -88,30 +95,41 @@ class Encoder:
             two = np.empty(2 * len(pairs), np.int64)
             two[::2], two[1::2] = [self.place[c] for c in cores], [self.place[m] for m in marks]
             sizes = self.size[two]
-            self._put(list(names), self._gather(two), sizes[::2] + sizes[1::2])
+            self._put(list(names), self.gather(two), sizes[::2] + sizes[1::2])
 
-    def _gather(self, places: np.ndarray) -> np.ndarray:
+    def gather(self, places: np.ndarray) -> np.ndarray:
+        """The ids of remembered chunks in a row."""
         size = self.size[places].astype(np.int64)
         total = np.cumsum(size)
         return self.flat[np.repeat(self.start[places] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has."""
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """Where the memory has each chunk; unknown ones are learnt."""
         if len(self.place) > self.LIMIT:
             self._forget()
+        at = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            self._learn(list(dict.fromkeys([chunks[i] for i in unknown])))
+            at[unknown] = [self.place[chunks[i]] for i in unknown]
+        return at
+
+    def sizes(self, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of ids of texts whose chunks end at ``ends``."""
+        total = np.concatenate([[0], np.cumsum(self.size[at], dtype=np.int64)])
+        return np.diff(total[np.concatenate([[0], ends])])
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
         chunks: list[str] = []
         ends = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
-            t = t if "<|" in t else lower(t)
+            t = t if "<|" in t and not self.plain else lower(t)
             # the four separators that Python alone takes for white space
             chunks += [c for c in _SPACE.split(t) if c] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split()
             ends[i] = len(chunks)
-        new = [c for c in dict.fromkeys(chunks) if c not in self.place]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        total = np.concatenate([[0], np.cumsum(self.size[at], dtype=np.int64)])
-        return self._gather(at), np.diff(total[np.concatenate([[0], ends])])
+        at = self.places(chunks)
+        return self.gather(at), self.sizes(at, ends)
 
 
 def lower(text: str) -> str:
@@ -119,7 +137,7 @@ def lower(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-@lru_cache(maxsize=2)
-def encoder_of(path: str) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder_of(path: str, plain: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary."""
-    return Encoder(path)
+    return Encoder(path, plain)
