@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from rookery.plans import market  # noqa: F401
+from rookery.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -21,5 +21,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables below ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the Parquet tables below ``sf_dir``; times without a zone are instants in the session's (UTC)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: df[c].cast("timestamp") for c in plain}) if plain else df
