@@ -8,8 +8,8 @@ are read once more to compare whole windows, which gives exact phrases, or with
 windows whose words all stand, in order, within ``slop`` further positions.
 
 Null and empty texts have no words and no hits. An item shorter than a window is one window; an item without words is
-none; items of one id count once, and a null id is the empty string. Rows are identified by doc_id and text, so rows of a repeated doc_id keep their own results and equal rows
-have equal ones.
+none; items of one id count once, and a null id is the empty string. Rows are identified by doc_id and text, so rows of a
+repeated doc_id keep their own results and equal rows have equal ones. Other columns of the table, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -202,10 +202,10 @@ def _same(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, in their own columns."""
-    hit = find(docs, benchmark).where("contaminated").select("doc_id", "hash").distinct().withColumnsRenamed({"doc_id": "right_doc_id", "hash": "right_hash"})
-    names = docs.columns
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("right_doc_id")) & (F.col("_hash") == F.col("right_hash")), "left_anti").select(*names)
+    key = ["doc_id", "hash"]
+    hit = find(docs, benchmark).where("contaminated").select(*key).distinct()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
+    return _same(rows, hit, key, "left_anti").select("row.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,8 +142,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """Of each distinct fingerprint: ``fp``, and ``first``, the smallest (doc_id, hash) of its component. ``prints`` must be stored."""
-    nodes = stored(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.min("doc_id").alias("low")), "simhash-nodes")
+    """Of each distinct fingerprint: ``fp``, and ``first``, the smallest (doc_id, hash) of its component, null ids last. ``prints`` must be stored."""
+    nodes = stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("first"), F.min("doc_id").alias("low")), "simhash-nodes")
     found = components(links(nodes.select("fp")))
     named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", "low", F.coalesce("least", "fp").alias("component"))
     roots = named.groupBy("component").agg(F.min("first").alias("first"), F.min("low").alias("low"))
@@ -157,12 +157,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` of each near-duplicate group, that of the smallest doc_id, in its own columns."""
+    """One row of ``docs`` of each near-duplicate group, that of the smallest doc_id (a null id only where there is no other), in its own columns."""
     prints = fingerprints(docs)
-    kept = grouped(prints).select("first.doc_id", "first.hash").distinct().withColumnsRenamed({"doc_id": "_kept", "hash": "_kept_hash"})
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    kept = grouped(prints).select(F.col("first.doc_id").alias("kept"), F.col("first.hash").alias("kept_hash")).distinct()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "hash"]).select("row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
