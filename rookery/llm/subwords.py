@@ -22,8 +22,8 @@ class Encoder:
     the word ends of the vocabulary; where their number does not come out, one by one.
     """
 
-    #: Chunks remembered at most; beyond, the memory starts anew.
-    LIMIT = 800_000
+    #: Chunks remembered at most; beyond, all but the first KEPT, most of which are frequent ones, are forgotten.
+    LIMIT, KEPT = 800_000, 400_000
 
     def __init__(self, path: str, plain: bool = False):
         """``plain``: the strings of special tokens are ordinary text."""
@@ -36,15 +36,18 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.names: list[str] = []
-        self.generation += 1
         self.flat, self.start, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
         self.used = 0
 
+    def _forget(self) -> None:
+        k = min(self.KEPT, len(self.names))
+        del self.names[k:]
+        self.place = dict(zip(self.names, range(k)))
+        self.used = int(self.start[k - 1] + self.size[k - 1]) if k else 0
+        self.generation += 1
+
     def _put(self, chunks: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         n, k = len(flat), len(self.place)
         while self.used + n > len(self.flat):
@@ -58,6 +61,12 @@ class Encoder:
         self.place.update(zip(chunks, range(k, k + len(chunks))))
         self.names += chunks
 
+    def raw(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lines in a row and how many each has, past the memory."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
     def _learn_pieces(self, pieces: list[str]) -> None:
         """Pieces that are letters only."""
         if not pieces:
