@@ -95,10 +95,10 @@ def strength_passes(ratings: DataFrame, games: DataFrame, passes: int = 3, toler
     Each pass is checkpointed, so the lineage does not grow and a lost executor costs one pass.
     """
     spark = ratings.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rookery-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rookery-"))
     pairs = team_games(games).select("team", "opponent")
     start = ratings.select("team", F.col("rating").alias("own"), F.col("rating").alias("now"), "confidence", "games").checkpoint()
     for _ in range(passes):
