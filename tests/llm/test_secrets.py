@@ -86,3 +86,37 @@ def test_empty_table_and_repeated_rows(spark):
     assert secrets.secrets(docs).count() == 0 and secrets.redact(docs).count() == 0
     same = spark.createDataFrame([(1, "token=abcdefgh1"), (1, "token=abcdefgh1"), (None, None)], "doc_id bigint, text string")
     assert sorted(r.n_assign for r in secrets.secrets(same).collect()) == [0, 1, 1]
+
+
+def test_every_key_like_run_is_a_candidate():
+    letters, digits, dotted, short = "QwzXkTvbLmRpGhYd", "4929188203775610", "eyJhbGci.eyJzdWIx.c2lnbmF0", "kq8zw2xv"
+    text = f"use {letters} then {digits} and {dotted}. My password is {short}; {'-' * 20} ordinary tomorrow afternoon without any, plainword"
+    _, runs, _ = secrets.scan(text.encode())
+    found = [text[s:e] for s, e, _, _ in runs]
+    assert {letters, digits, dotted, short} <= set(found)
+    assert "plainword" not in found and "password" not in found and "-" * 20 not in found
+
+
+def test_partly_covered_keys_are_scored_and_redacted_whole(spark):
+    key = "ZXqWvKpTrYbNmLsD" + "0123456789abcdef" * 2
+    text = f"take {key} now"
+    spans, runs, _ = secrets.scan(text.encode())
+    assert [(s, e) for s, _, e in spans] == [(21, 53)] and runs == [(5, 53, True, False)]
+    rng = random.Random(4)
+    others = [f"the {rng.choice(['neighbourhoodwatch', 'internationalisation', 'misunderstandings'])} met in part {i}" for i in range(40)]
+    docs = frame(spark, [text, *others])
+    rows = {r.doc_id: r for r in secrets.secrets(docs).collect()}
+    assert rows[0].spans == "net:5:53,hex:21:53"
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()}[0] == "take [SECRET] now"
+    assert sum("net" in r.spans for d, r in rows.items() if d) <= 2
+
+
+def test_threshold_counts_all_findings(spark):
+    docs = frame(spark, [f"id {i} token=abcd{i:06d}efgh and averyordinarylongword{i}" for i in range(300)])
+    found = secrets.stored(secrets.findings(docs), "test-findings")
+    net = secrets.fit([], np.zeros(0, bool), epochs=1)
+    counted = secrets.scored(found, net, set()).collect()
+    want = sum(len(r.candidates) for r in found.collect())
+    assert sum(r.n for r in counted) == want >= 600
+    cut = secrets.calibrate(net, np.array([3.0, 1.0, -2.0]), np.array([1.0, 1.0, 0.0]), np.array([90.0, 10.0, 50.0]))
+    assert cut.threshold == cut.calibrated(np.array([1.0]))[0]
