@@ -17,23 +17,30 @@ CLASSES = GROUPS * MEMBERS
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def cluster(ids: np.ndarray, vocabulary: int, end: int, seed: int = 3) -> np.ndarray:
-    """Class (group times MEMBERS, and member) of every id, from a sample of texts' ids in a row. Class 0 is the end, 1 holds the ids that the sample lacks."""
-    count = np.bincount(ids, minlength=vocabulary).astype(float)
+#: Ids whose neighbourhoods tell ids apart; all others count as one more.
+LANDMARKS = 64
+
+
+def landmarks(count: np.ndarray, end: int) -> np.ndarray:
+    """The landmark of each id: its place among the most frequent ones, or LANDMARKS."""
+    count = count.copy()
+    count[end] = 0
+    out = np.full(len(count), LANDMARKS)
+    seen = np.argsort(-count, kind="stable")[: min(LANDMARKS, int((count > 0).sum()))]
+    out[seen] = np.arange(len(seen))
+    return out
+
+
+def cluster(near: np.ndarray, end: int, seed: int = 3) -> np.ndarray:
+    """Class (group times MEMBERS, and member) of every id, from how often each follows (side 0) and precedes (side 1) each landmark. Class 0 is the end, 1 holds the ids that the texts lack."""
+    count = near[:, 0].sum(1)
     count[end] = 0
     seen = np.argsort(-count, kind="stable")[: int((count > 0).sum())]
-    classes = np.ones(vocabulary, np.int32)
+    classes = np.ones(len(count), np.int32)
     classes[end] = 0
     if not len(seen):
         return classes
-    landmark = np.full(vocabulary, 64)
-    landmark[seen[:64]] = np.arange(min(64, len(seen)))
-    place = np.full(vocabulary, -1)
-    place[seen] = np.arange(len(seen))
-    near = np.zeros((len(seen), 2, 65))
-    for side, (own, other) in enumerate(((ids[1:], ids[:-1]), (ids[:-1], ids[1:]))):
-        held = place[own] >= 0
-        near += np.bincount((place[own[held]] * 2 + side) * 65 + landmark[other[held]], minlength=near.size).reshape(near.shape)
+    near = near[seen]
     weight = np.sqrt(count[seen])
     near = np.sqrt((near + near.sum(0) / near.sum() * 2) / (near.sum(2, keepdims=True) + 2)).reshape(len(seen), -1)
     rng = np.random.default_rng(seed)

@@ -1,10 +1,10 @@
 """LM scoring: a smoothed unigram base score, and a causal self-attention model on subword ids.
 
 What the scores are learnt from is counted over all training documents: words for the base score, and, from the distinct words and
-their counts, subword ids for the model's shares. The attention weights are fitted in two steps: a first fit on pieces of at most
-SAMPLE_DOCS training documents, then one pass over a window of every training document, in which each task goes on from the
-first fit over its own windows and the tasks' weights are averaged. Scores read whole texts in overlapping windows that score each
-id once.
+their counts, subword ids for the model's shares. The classes of ids come from neighbour counts summed over all ids of all training texts.
+The attention weights are fitted in two steps: a first fit on pieces of at most SAMPLE_DOCS training documents, then one pass over
+all windows of all training documents, in which each task goes on from the first fit over its own windows and the tasks' weights
+are averaged. Scores read whole texts in overlapping windows that score each id once.
 
 The base score needs each word's count. The most frequent words, at most HEAD whatever the corpus, are sent to the tasks. The
 occurrences of all rarer words are joined with the counts by hash, so no task holds the vocabulary.
@@ -24,7 +24,9 @@ from rookery.llm import attention
 from rookery.llm.common import crc_mod, hash_sample, raw_text, space_words, stored, table
 from rookery.llm.subwords import encoder_of
 
-HEAD, SAMPLE_DOCS, PIECE, WINDOW_PIECE, SLICE = 300_000, 3_000, 2_000, 400, 256
+HEAD, SAMPLE_DOCS, PIECE, SLICE = 300_000, 3_000, 2_000, 256
+#: Texts are trained on together up to so many characters.
+TOGETHER = 500_000
 EPOCHS, RATE, PASS_RATE = 4, 0.01, 0.002
 
 
@@ -93,39 +95,75 @@ def _windows(encoder, classes: np.ndarray, end: int, texts: list[str], whole: li
     return attention.windows(classes[flat], counts[kept])[:3] if kept.any() else None
 
 
-def fit(texts: DataFrame, tokenizer: str, vocabulary: int, end: int):
-    """Classes of all ids, and the attention weights."""
-    encoder = encoder_of(tokenizer, True)
-    rows = hash_sample(pieces(texts, PIECE), SAMPLE_DOCS, "doc_id", "text").toPandas()
-    flat, counts = encoder.ids(rows.text.tolist())
-    stops = np.cumsum(counts)
-    classes = attention.cluster(np.insert(flat.astype(np.int64), stops, end), vocabulary, end)
-    share = np.bincount(classes[flat], minlength=attention.CLASSES) + 0.01
-    share[0] += len(rows)
-    weights = attention.start(share / share.sum())
-    found = _windows(encoder, classes, end, rows.text.tolist(), rows.whole.tolist())
-    if found is None:
-        return classes, weights
-    weights = attention.train(weights, *found, EPOCHS, RATE)
-    shapes = {k: v.shape for k, v in weights.items()}
+def _together(texts: list[str]):
+    """Runs of texts of at most TOGETHER characters, or one text."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > TOGETHER:
+            yield texts[lo:i]
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        yield texts[lo:]
+
+
+def neighbours(texts: DataFrame, tokenizer: str, vocabulary: int, end: int, landmark: np.ndarray) -> np.ndarray:
+    """How often each id of the training texts follows and precedes each landmark; at most a row to an id, a side and a landmark comes back."""
+    shape = (vocabulary, 2, attention.LANDMARKS + 1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        encoder, total = encoder_of(tokenizer, True), np.zeros(int(np.prod(shape)), np.int64)
+        for batch in batches:
+            for some in _together([t or "" for t in batch.column("text").to_pylist()]):
+                flat, counts = encoder.ids(some)
+                ids = np.concatenate([[end], np.insert(flat.astype(np.int64), np.cumsum(counts), end)])
+                for side, (own, other) in enumerate(((ids[1:], ids[:-1]), (ids[:-1], ids[1:]))):
+                    held = own != end
+                    np.add.at(total, (own[held] * 2 + side) * shape[2] + landmark[other[held]], 1)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["key", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(int(np.prod(shape)))
+    out[rows["key"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    return out.reshape(shape)
+
+
+def window_pass(texts: DataFrame, tokenizer: str, classes: np.ndarray, weights: dict[str, np.ndarray], end: int) -> DataFrame:
+    """A row to a task: how many windows its texts have, and the weights after training on all of them."""
 
     def run(batches):
         import pyarrow as pa
 
         own, seen, encoder = weights, 0, encoder_of(tokenizer, True)
         for batch in batches:
-            texts, whole = batch.column("text").to_pylist(), batch.column("whole").to_pylist()
-            for lo in range(0, len(texts), 2048):
-                found = _windows(encoder, classes, end, texts[lo : lo + 2048], whole[lo : lo + 2048])
-                if found is not None:
-                    firsts = np.flatnonzero(np.concatenate([[True], np.diff(np.cumsum(found[0][:, 0] == 0)) > 0]))  # a window to a document
-                    own = attention.train(own, *(v[firsts] for v in found), 1, PASS_RATE)
-                    seen += len(firsts)
+            for some in _together([t or "" for t in batch.column("text").to_pylist()]):
+                found = _windows(encoder, classes, end, some, [True] * len(some))
+                own = attention.train(own, *found, 1, PASS_RATE)
+                seen += len(found[0])
         if seen:
-            flat = np.concatenate([own[k].ravel() for k in shapes]).astype(np.float64)
+            flat = np.concatenate([own[k].ravel() for k in weights]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float64()))], ["n", "w"])
 
-    passed = pieces(texts, WINDOW_PIECE).mapInArrow(run, "n bigint, w array<double>").select("n", F.posexplode("w").alias("at", "w"))
+    return texts.select("text").mapInArrow(run, "n bigint, w array<double>")
+
+
+def fit(texts: DataFrame, tokenizer: str, vocabulary: int, end: int, by_id: np.ndarray):
+    """Classes of all ids, and the attention weights; ``by_id`` has the counts of all training ids."""
+    encoder = encoder_of(tokenizer, True)
+    landmark = attention.landmarks(by_id, end)
+    classes = attention.cluster(neighbours(texts, tokenizer, vocabulary, end, landmark), end)
+    share = np.bincount(classes, by_id, attention.CLASSES) + 0.01
+    weights = attention.start(share / share.sum())
+    rows = hash_sample(pieces(texts, PIECE), SAMPLE_DOCS, "doc_id", "text").toPandas()
+    found = _windows(encoder, classes, end, rows.text.tolist(), rows.whole.tolist())
+    if found is None:
+        return classes, weights
+    weights = attention.train(weights, *found, EPOCHS, RATE)
+    shapes = {k: v.shape for k, v in weights.items()}
+    passed = window_pass(texts, tokenizer, classes, weights, end).select("n", F.posexplode("w").alias("at", "w"))
     mean = passed.groupBy("at").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
     found = np.zeros(sum(int(np.prod(s)) for s in shapes.values()))
     rows = mean.toPandas()  # a row to a weight
@@ -194,9 +232,9 @@ def score(docs: DataFrame, tokenizer: str, vocabulary: int = 49_408, end: int =
     head = dict(zip(frequent["word"].tolist(), frequent["n"].tolist()))
     rare, known_end = least > 1, int(n_docs > 0)
     of_end = float(np.log10(n_docs + 1) - scale)
-    classes, weights = fit(texts, tokenizer, vocabulary, end)
     by_id = id_counts(counts, tokenizer, vocabulary)
     by_id[end] = n_docs
+    classes, weights = fit(texts, tokenizer, vocabulary, end, by_id)
     share = np.log((by_id + 1) / np.bincount(classes, by_id + 1, attention.CLASSES)[classes]).astype(np.float32)
     model = attention.Model(weights, classes, share)
 

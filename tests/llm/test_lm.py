@@ -110,3 +110,25 @@ def test_edge_cases(spark):
     rows = lm.score(docs, PATH).collect()
     assert sorted(r.n_tokens for r in rows) == [1, 3, 3, 3]
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
+
+
+def test_all_ids_and_windows_of_the_training_texts_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 2)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()] + [(9_001, None), (9_002, "")]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    encoder, end, vocabulary = lm.encoder_of(PATH, True), 49_407, 49_408
+    flat, counts = encoder.ids([t or "" for _, t in rows])
+    by_id = np.bincount(flat, minlength=vocabulary).astype(float)
+    landmark, want, at = attention.landmarks(by_id, end), Counter(), 0
+    for n in counts:
+        ids = [end, *map(int, flat[at : at + n]), end]
+        at += n
+        for a, b in zip(ids, ids[1:]):
+            want.update([(b, 0, int(landmark[a]))] * (b != end) + [(a, 1, int(landmark[b]))] * (a != end))
+    near = lm.neighbours(texts, PATH, vocabulary, end, landmark)
+    assert {tuple(map(int, k)): int(near[tuple(k)]) for k in np.argwhere(near)} == dict(want)
+    by_id[end] = len(rows)
+    classes, weights = lm.fit(texts, PATH, vocabulary, end, by_id)
+    assert (classes[np.unique(flat)] >= attention.MEMBERS).all()
+    every = attention.windows(np.zeros(len(flat) + len(counts), int), counts + 1)[0]
+    assert sum(r.n for r in lm.window_pass(texts, PATH, classes, weights, end).collect()) == len(every) > 5 * len(rows)
