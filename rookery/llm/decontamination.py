@@ -3,8 +3,9 @@
 A first pass counts the benchmark's words over the whole corpus. Each benchmark window's rarest TERMS words by that
 count are its anchors, and a second pass stores their postings: word, document row and positions. The index is joined
 with the benchmark's own anchor positions; a posting at ``p`` for an anchor at ``i`` of an item votes for the alignment
-``p - i`` of document and item, and alignments at which all anchors of some window meet survive. The survivors' documents
-are read once more to compare whole windows, which gives exact phrases, or with ``slop`` proximity matches:
+``p - i`` of document and item, with ``slop`` also for the ``slop`` alignments before it, as words put in between move later anchors on.
+Alignments at which all anchors of some window meet survive. The survivors' documents
+are read once more to compare whole windows, which gives exact phrases, and with ``slop`` also proximity matches:
 windows whose words all stand, in order, within ``slop`` further positions.
 
 Null and empty texts have no words and no hits. An item shorter than a window is one window; an item without words is
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from rookery.llm.common import alnum_words, raw_text, stored, table
 
 WINDOW, TERMS = 10, 2
+#: Further positions of the query's proximity matches.
+SLOP = 2
 #: A benchmark of more words than this is an error: its words are sent to every task.
 BENCHMARK_WORDS = 5_000_000
 
@@ -106,14 +109,16 @@ def index(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
     return stored(keyed(docs).mapInArrow(run, f"doc_id {kind}, hash bigint, n_words bigint, postings array<struct<term:int,at:array<int>>>"), "positional-index")
 
 
-def alignments(indexed: DataFrame, anchors: DataFrame, windows: DataFrame, least: int) -> DataFrame:
-    """doc_id, hash, item, shift and windows: where all anchors of a window stand at their distances.
+def alignments(indexed: DataFrame, anchors: DataFrame, windows: DataFrame, least: int, slop: int = 0) -> DataFrame:
+    """doc_id, hash, item, shift and windows: where all anchors of a window stand at their distances, or up to ``slop`` positions later.
 
     ``anchors`` has term, item and place; ``windows`` has item and its windows, each with its first position and its
     anchors' places; ``least`` is the smallest number of anchors that a window has.
     """
     posted = indexed.select("doc_id", "hash", F.explode("postings").alias("p")).select("doc_id", "hash", "p.term", "p.at")
     votes = posted.join(anchors, "term").select("doc_id", "hash", "item", "place", F.explode(F.transform("at", lambda p: p - F.col("place"))).alias("shift"))
+    if slop:
+        votes = votes.withColumn("shift", F.explode(F.sequence(F.col("shift") - slop, F.col("shift"))))
     met = votes.groupBy("doc_id", "hash", "item", "shift").agg(F.collect_set("place").alias("met")).where(F.size("met") >= least)
     whole = F.expr("transform(filter(windows, w -> size(array_except(w.places, met)) = 0), w -> w.first)")
     return met.join(windows, "item").select("doc_id", "hash", "item", "shift", whole.alias("windows")).where(F.size("windows") > 0)
@@ -123,20 +128,28 @@ def _phrase(words: list[bytes], wanted: list[bytes], at: int, slop: int) -> tupl
     """Where the wanted words stand from ``at`` (exactly, or in order within ``slop`` more positions): first and end."""
     if not slop:
         return (at, at + len(wanted)) if at >= 0 and words[at : at + len(wanted)] == wanted else None
-    lo = max(0, at - slop)
-    for first in (i for i in range(lo, min(at + slop + 1, len(words))) if words[i] == wanted[0]):
-        i = first
-        for w in wanted[1:]:
-            i += 1
-            while i < min(first + len(wanted) + slop, len(words)) and words[i] != w:
-                i += 1
-        if i < min(first + len(wanted) + slop, len(words)) and words[i] == wanted[-1]:
-            return first, i + 1
+    for first in range(max(0, at - slop), min(at + slop + 1, len(words))):
+        if found := _near(words, wanted, first, slop):
+            return found
     return None
 
 
+def _near(words: list[bytes], wanted: list[bytes], first: int, slop: int) -> tuple[int, int] | None:
+    """Where the wanted words stand in order, the first of them at ``first``, within ``slop`` more positions: first and earliest end."""
+    if first < 0 or first >= len(words) or words[first] != wanted[0]:
+        return None
+    i, stop = first, min(first + len(wanted) + slop, len(words))
+    for w in wanted[1:]:
+        i += 1
+        while i < stop and words[i] != w:
+            i += 1
+        if i >= stop:
+            return None
+    return first, i + 1
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int = TERMS, slop: int = 0) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the matched spans."""
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the matched spans, all of exact matches; with ``slop`` also near_hit, near_items and near_items_sha256, of proximity matches, which exact ones are too."""
     spark = docs.sparkSession
     bench = Benchmark.of(benchmark, window)
     counts = term_counts(docs, bench.vocabulary)
@@ -149,7 +162,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int
     for item, s, at in found:
         by_item[item].append((s, at))
     windows = spark.createDataFrame(list(by_item.items()), "item int, windows array<struct<first:int,places:array<int>>>")
-    survivors = alignments(indexed, anchors, windows, min((len(at) for *_, at in found), default=1))
+    survivors = alignments(indexed, anchors, windows, min((len(at) for *_, at in found), default=1), slop)
     survivors = survivors.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("item", "shift", "windows")).alias("where"))
     items, width = bench.items, bench.window
     key = ["doc_id", "hash"]
@@ -162,25 +175,32 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int
             out = []
             for raw, where in zip(raw_text(batch), batch.column("where").to_pylist()):
                 words, hit, named, spans = alnum_words(raw), set(), set(), []
+                close, close_named = set(), set()
                 for a in where:
                     name, item = items[a["item"]]
                     for s in a["windows"]:
                         wanted = item[s : s + width]
-                        if at := _phrase(words, wanted, a["shift"] + s, slop):
+                        if slop and (at := _near(words, wanted, a["shift"] + s, slop)):
+                            close.update(range(*at))
+                            close_named.add("" if name is None else str(name))
+                        if at := _phrase(words, wanted, a["shift"] + s, 0):
                             hit.update(range(*at))
                             named.add("" if name is None else str(name))
                             spans.append({"item": a["item"], "start": at[0], "stop": at[1]})
                 names = sorted(named)
-                out.append((len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), sorted(spans, key=lambda x: (x["start"], x["item"])), names))
+                digest = hashlib.sha256(",".join(names).encode()).hexdigest()
+                near = (len(close), len(close_named), hashlib.sha256(",".join(sorted(close_named)).encode()).hexdigest())
+                out.append((len(hit), len(names), digest, sorted(spans, key=lambda x: (x["start"], x["item"])), names, *near))
             span = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
-            columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), span, pa.list_(pa.string())))] if out else []
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), span, pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string()))] if out else []
             if columns:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *columns], ["doc_id", "hash", "n_hit", "n_items", "items_sha256", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *columns], ["doc_id", "hash", "n_hit", "n_items", "items_sha256", "spans", "items", "near_hit", "near_items", "near_items_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    checked = joined.mapInArrow(run, f"doc_id {kind}, hash bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<item:int,start:int,stop:int>>, items array<string>")
+    checked = joined.mapInArrow(run, f"doc_id {kind}, hash bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<item:int,start:int,stop:int>>, items array<string>, near_hit bigint, near_items bigint, near_items_sha256 string")
     both = _same(indexed.select(*key, "n_words"), checked.dropDuplicates(key), key, "left")
     none = hashlib.sha256(b"").hexdigest()
+    near = [*(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("near_hit", "near_items")), F.coalesce("near_items_sha256", F.lit(none)).alias("near_items_sha256")]
     return both.select(
         "doc_id",
         "hash",
@@ -191,6 +211,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         "spans",
         "items",
+        *(near if slop else ()),
     )
 
 
@@ -209,6 +230,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark windows in all documents."""
-    found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Benchmark windows in all documents, exact and, in the columns near_*, within SLOP further positions."""
+    found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
     return found.drop("hash", "spans", "items")

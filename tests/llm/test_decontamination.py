@@ -76,3 +76,37 @@ def test_empty_tables_repeated_rows_and_null_ids(spark):
     empty = spark.createDataFrame([], "item_id string, text string")
     assert {r.n_items for r in dc.find(docs, empty).collect()} == {0}
     assert dc.clean(docs, empty).count() == 5
+
+
+def brute_near(docs, items, width, slop):
+    out = {}
+    for d, text in docs:
+        words, hit, named = words_of(text), set(), set()
+        for name, item in items:
+            w = words_of(item)
+            n = min(width, len(w))
+            for s in range(len(w) - n + 1) if n else ():
+                for first in range(len(words)):
+                    at, k = first, 0
+                    while k < n and at < min(len(words), first + n + slop) and (k or words[at] == w[s]):
+                        k += words[at] == w[s + k]
+                        at += 1
+                    if k == n:
+                        hit.update(range(first, at))
+                        named.add("" if name is None else str(name))
+        names = sorted(named)
+        out[d] = (len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("seed,width,slop", [(5, 6, 1), (6, 10, 3)])
+def test_proximity_matches_brute_force(spark, seed, width, slop):
+    docs, items = data(seed)
+    docs += [(200, "one two x three four"), (201, "one x two three y four"), (202, "four three two one")]
+    items += [(77, "one two three four")]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = dc.find(table, bench, width, slop=slop).collect()
+    want = brute_near(docs, items, width, slop)
+    assert {r.doc_id: (r.near_hit, r.near_items, r.near_items_sha256) for r in rows} == want and want[200][0] == 5
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows} == brute(docs, items, width)
