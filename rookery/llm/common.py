@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    found = tempfile.mkdtemp(prefix="rookery-shared-")
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; where that is unset (tests), an own temporary one."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets an own temporary one and a cluster an error, as its machines share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="rookery-shared-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or _own_dir()).rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh place in the shared folder; it is deleted when the driver ends."""
+    found = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return found
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -39,6 +49,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1 and so on, as their own names may hold dots or be those of an operator's columns."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """What ``plain`` names a column of ``docs``."""
+    return f"c{docs.columns.index(name)}"
+
+
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """``plain(docs)`` as a stored table, and ``row``, a number of each row."""
+    return stored(plain(docs).withColumn("row", F.monotonically_increasing_id()), label)
+
+
+def picked(held: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those rows of a table that ``numbered`` made of ``docs`` whose numbers ``rows`` has, in the columns of ``docs``. Stored first, the numbers have a known size: few are broadcast, and only many make the texts move."""
+    return held.join(stored(rows.select("row"), "rows"), "row", "left_semi").drop("row").toDF(*docs.columns)
+
+
 def raw_text(batch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a string column of an Arrow batch; null is empty."""
     import pyarrow as pa

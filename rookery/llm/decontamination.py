@@ -21,7 +21,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import alnum_words, raw_text, stored, table
+from rookery.llm.common import alnum_words, place, plain, raw_text, stored, table
 
 WINDOW, TERMS = 10, 2
 #: Further positions of the query's proximity matches.
@@ -163,7 +163,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int
         by_item[item].append((s, at))
     windows = spark.createDataFrame(list(by_item.items()), "item int, windows array<struct<first:int,places:array<int>>>")
     survivors = alignments(indexed, anchors, windows, min((len(at) for *_, at in found), default=1), slop)
-    survivors = survivors.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("item", "shift", "windows")).alias("where"))
+    # stored first, the survivors have a known size: few are broadcast, and only many make the texts move
+    survivors = stored(survivors.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("item", "shift", "windows")).alias("where")), "aligned")
     items, width = bench.items, bench.window
     key = ["doc_id", "hash"]
     joined = _same(keyed(docs), survivors, key, "inner").select(*key, "text", "where")
@@ -224,9 +225,10 @@ def _same(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFr
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, in their own columns."""
     key = ["doc_id", "hash"]
-    hit = find(docs, benchmark).where("contaminated").select(*key).distinct()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
-    return _same(rows, hit, key, "left_anti").select("row.*")
+    hit = stored(find(docs, benchmark).where("contaminated").select(*key).distinct(), "contaminated")
+    rows = plain(docs)
+    rows = rows.withColumns({"doc_id": F.col(place(docs, "doc_id")), "hash": F.xxhash64(place(docs, "text"))})
+    return _same(rows, hit, key, "left_anti").drop(*key).toDF(*docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import crc_mod, hash_sample, raw_text, stored, table
+from rookery.llm.common import crc_mod, hash_sample, numbered, picked, place, raw_text, stored, table
 
 #: Rows the classifier is fitted on at most: those of the smallest hashes among the labelled.
 SAMPLE_ROWS = 20_000
@@ -76,7 +76,8 @@ N_STATISTICS = len(statistics(b""))
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the array ``stats`` of every row."""
+    """doc_id and the array ``stats`` of every row; a column ``row`` is kept."""
+    names = ["doc_id", *(["row"] if "row" in docs.columns else [])]
 
     def run(batches):
         import pyarrow as pa
@@ -84,9 +85,10 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         for batch in batches:
             flat = np.array([statistics(t) for t in raw_text(batch)], np.float32).reshape(-1)
             offsets = pa.array(np.arange(0, len(flat) + 1, N_STATISTICS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(flat))], [*names, "stats"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<float>")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, stats array<float>")
 
 
 @dataclass(frozen=True)
@@ -176,19 +178,19 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def high_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, in their own columns."""
-    forest = train(stored(with_statistics(docs), "quality-stats"), labels)
-    schema = docs.schema
+    """The rows of ``docs`` that the classifier accepts, in their own columns. Statistics are taken once, for the training and the scores."""
+    held = numbered(docs, "quality-rows")
+    stats = stored(with_statistics(held.select(F.col(place(docs, "doc_id")).alias("doc_id"), F.col(place(docs, "text")).alias("text"), "row")), "quality-stats")
+    forest = train(stats.select("doc_id", "stats"), labels)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                score = forest.score(np.array([statistics(t) for t in raw_text(batch)], np.float32))
-                yield batch.filter(pa.array(score >= 0.5))
+            score = forest.score(batch.column("stats").flatten().to_numpy().reshape(-1, N_STATISTICS))
+            yield batch.select(["row"]).filter(pa.array(score >= 0.5))
 
-    return docs.mapInArrow(run, schema)
+    return picked(held, stats.select("row", "stats").mapInArrow(run, "row bigint"), docs)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

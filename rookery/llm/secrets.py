@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import hash_sample, raw_text, stored, table
+from rookery.llm.common import hash_sample, place, plain, raw_text, stored, table
 
 SAMPLE_ROWS, MADE, RECALL, CONTEXT = 4_000, 1_200, 0.97, 16
 LONG, SHORT, NEAR = 16, 8, 24
@@ -384,14 +384,16 @@ def secrets(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mark`` in ``text``, and ``n_chars``, where there is one, counted anew."""
     net = train(stored(findings(docs), "secret-findings"))
-    names = docs.columns
+    own, counted = place(docs, "text"), place(docs, "n_chars") if "n_chars" in docs.columns else None
+    rows = plain(docs)
+    names = rows.columns
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, raw in enumerate(raw_text(batch)):
+            texts = batch.column(own).to_pylist()
+            for i, raw in enumerate(raw_text(batch, own)):
                 spans, runs, text = scan(raw)
                 views = [(s, e) for s, e, _, whole in runs if not whole]
                 if views:
@@ -404,11 +406,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                             out += [text[at:s], mark]
                         at = max(at, e)
                     texts[i] = "".join(out) + text[at:]
-            fresh = {"text": pa.array(texts, batch.schema.field("text").type)}
+            fresh = {own: pa.array(texts, batch.schema.field(own).type)}
             yield pa.RecordBatch.from_arrays([fresh.get(n, batch.column(n)) for n in names], names)
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = rows.mapInArrow(run, rows.schema)
+    if counted:
+        out = out.withColumn(counted, F.length(own).cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*docs.columns)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

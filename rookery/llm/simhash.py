@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import raw_text, space_words, stored, table
+from rookery.llm.common import numbered, picked, place, raw_text, space_words, stored, table
 
 SHINGLE, BITS, LONG_LIST = 4, 4, 512
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
@@ -54,17 +54,19 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, and fingerprint ``fp`` of every row, as a stored table."""
+    """doc_id, hash of the text, and fingerprint ``fp`` of every row, as a stored table; a column ``row`` is kept."""
+    names = ["doc_id", "hash", *(["row"] if "row" in docs.columns else [])]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             found = pa.array([simhash(t) for t in raw_text(batch)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), found], ["doc_id", "hash", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], [*names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {kind}, hash bigint, fp bigint"), "simhash")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), *names[2:])
+    kinds = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in names)
+    return stored(keyed.mapInArrow(run, f"{kinds}, fp bigint"), "simhash")
 
 
 def _byte(fp: str, i: int) -> str:
@@ -118,16 +120,14 @@ def links(nodes: DataFrame) -> DataFrame:
     return stored(pairs, "simhash-links")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node`` and the smallest node it is connected to, ``least``, for all nodes of edges ``a`` < ``b``; those that are the smallest themselves are left out.
 
     Large-star then small-star contractions, each round stored, until the edges no longer change.
     """
     state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = state(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
@@ -142,8 +142,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """Of each distinct fingerprint: ``fp``, and ``first``, the smallest (doc_id, hash) of its component, null ids last. ``prints`` must be stored."""
-    nodes = stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("first"), F.min("doc_id").alias("low")), "simhash-nodes")
+    """Of each distinct fingerprint: ``fp``, and ``first``, the smallest (doc_id, hash, and row where there is one) of its component, null ids last. ``prints`` must be stored."""
+    key = ["doc_id", "hash", *(["row"] if "row" in prints.columns else [])]
+    nodes = stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), *key)).alias("first"), F.min("doc_id").alias("low")), "simhash-nodes")
     found = components(links(nodes.select("fp")))
     named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", "low", F.coalesce("least", "fp").alias("component"))
     roots = named.groupBy("component").agg(F.min("first").alias("first"), F.min("low").alias("low"))
@@ -157,12 +158,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` of each near-duplicate group, that of the smallest doc_id (a null id only where there is no other), in its own columns."""
-    prints = fingerprints(docs)
-    kept = grouped(prints).select(F.col("first.doc_id").alias("kept"), F.col("first.hash").alias("kept_hash")).distinct()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "hash"]).select("row.*")
+    """One row of ``docs`` of each near-duplicate group, that of the smallest doc_id (a null id only where there is no other), in its own columns.
+
+    Of rows of that doc_id the one of the smallest text hash stays, of equal rows one. Only row numbers are grouped, never texts.
+    """
+    held = numbered(docs, "simhash-rows")
+    prints = fingerprints(held.select(F.col(place(docs, "doc_id")).alias("doc_id"), F.col(place(docs, "text")).alias("text"), "row"))
+    return picked(held, grouped(prints).select("first.row").distinct(), docs)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
