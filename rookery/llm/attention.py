@@ -145,45 +145,58 @@ def log_probabilities(w, x: np.ndarray, y: np.ndarray, wanted: np.ndarray, rows:
     return out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+def _less_target(z: np.ndarray, at: np.ndarray, n: np.float32) -> np.ndarray:
+    """The gradient of the logits, in their own memory: their softmax less one at the target, divided by ``n``. Logits this small need no shift; if one overflows, the rows are shifted."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        p = np.exp(z)
+        total = p @ np.ones(z.shape[1], np.float32)
+    if not np.isfinite(total).all():
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z, out=z)
+        total = p @ np.ones(z.shape[1], np.float32)
+    p *= (1 / (n * total))[:, None]
+    p[np.arange(len(p)), at] -= 1 / n
+    return p
 
 
 def gradients(w, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log probability at the wanted positions."""
     h, (e, q, k, v, a, total, o, u, m) = _attend(w, x)
     a /= total
-    flat, n, y = h[wanted], max(1, int(wanted.sum())), y[wanted]
+    n, y = np.float32(max(1, int(wanted.sum()))), y[wanted]
     group, order, ranges = _by_group(y)
-    p = _softmax(flat @ w["group"] + w["group_base"])
-    p[np.arange(len(p)), group] -= 1
-    p /= n
+    flat = h[wanted].take(order, axis=0)  # positions by group from here on
+    member = (y % MEMBERS)[order]
+    p = flat @ w["group"]
+    p += w["group_base"]
+    p = _less_target(p, group[order], n)
     g = {"group": flat.T @ p, "group_base": p.sum(0), "member": np.zeros_like(w["member"]), "member_base": np.zeros_like(w["member_base"])}
     d_flat = p @ w["group"].T
     for j, lo, hi in ranges:
-        rows = order[lo:hi]
-        p = _softmax(flat[rows] @ w["member"][j] + w["member_base"][j])
-        p[np.arange(hi - lo), y[rows] % MEMBERS] -= 1
-        p /= n
-        g["member"][j], g["member_base"][j] = flat[rows].T @ p, p.sum(0)
-        d_flat[rows] += p @ w["member"][j].T
+        p = flat[lo:hi] @ w["member"][j]
+        p += w["member_base"][j]
+        p = _less_target(p, member[lo:hi], n)
+        g["member"][j], g["member_base"][j] = flat[lo:hi].T @ p, p.sum(0)
+        d_flat[lo:hi] += p @ w["member"][j].T
     dh = np.zeros_like(h)
-    dh[wanted] = d_flat
     dh2, u2 = dh.reshape(-1, DIM), u.reshape(-1, DIM)
+    dh2[np.flatnonzero(wanted)[order]] = d_flat
     g["back"] = m.T @ dh2
-    dm = (dh2 @ w["back"].T) * (m > 0)
+    dm = dh2 @ w["back"].T
+    dm *= m > 0
     g["wide"], g["shift"] = u2.T @ dm, dm.sum(0)
-    du = dh + (dm @ w["wide"].T).reshape(h.shape)
-    g["mix"] = o.reshape(-1, DIM).T @ du.reshape(-1, DIM)
-    do = (du.reshape(-1, DIM) @ w["mix"].T).reshape(h.shape)
-    da, dv = np.matmul(do, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), do)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
+    dh += (dm @ w["wide"].T).reshape(h.shape)  # now the gradient of u
+    g["mix"] = o.reshape(-1, DIM).T @ dh2
+    do = (dh2 @ w["mix"].T).reshape(h.shape)
+    dv = np.matmul(a.transpose(0, 2, 1), do)
+    ds = np.matmul(do, np.ascontiguousarray(v.transpose(0, 2, 1)))
+    ds -= ((do * o) @ np.ones(DIM, np.float32))[:, :, None]  # a row's sum of a times its own gradient
+    ds *= a
     d = np.concatenate([np.matmul(ds, k) * np.float32(DIM**-0.5), np.matmul(ds.transpose(0, 2, 1), q), dv], 2).reshape(-1, 3 * DIM)
     g["qkv"] = e.reshape(-1, DIM).T @ d
-    de = du + (d @ w["qkv"].T).reshape(h.shape)
-    g["place"], g["embed"] = de.sum(0), np.zeros_like(w["embed"])
-    np.add.at(g["embed"], x.ravel(), de.reshape(-1, DIM))
+    dh += (d @ w["qkv"].T).reshape(h.shape)
+    g["place"], g["embed"] = dh.sum(0), np.zeros_like(w["embed"])
+    np.add.at(g["embed"], x.ravel(), dh2)
     return g
 
 

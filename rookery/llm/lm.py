@@ -27,7 +27,7 @@ from rookery.llm.subwords import encoder_of
 HEAD, SAMPLE_DOCS, PIECE, SLICE = 300_000, 3_000, 2_000, 256
 #: Texts are trained on together up to so many characters.
 TOGETHER = 500_000
-EPOCHS, RATE, PASS_RATE = 4, 0.01, 0.002
+EPOCHS, RATE, PASS_RATE, PASS_BATCH = 4, 0.01, 0.002, 256
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def window_pass(texts: DataFrame, tokenizer: str, classes: np.ndarray, weights:
         for batch in batches:
             for some in _together([t or "" for t in batch.column("text").to_pylist()]):
                 found = _windows(encoder, classes, end, some, [True] * len(some))
-                own = attention.train(own, *found, 1, PASS_RATE)
+                own = attention.train(own, *found, 1, PASS_RATE, batch=PASS_BATCH)
                 seen += len(found[0])
         if seen:
             flat = np.concatenate([own[k].ravel() for k in weights]).astype(np.float64)
