@@ -15,7 +15,19 @@ from pyspark.sql import functions as F
 _WORD_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
+#: Rows that a task hands to Python at once, where the session has Spark's own default: whole texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1_000
+_BATCHES, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS unless it chose a size itself."""
+    if spark.conf.get(_BATCHES, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_BATCHES, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +56,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, its lineage cut, readable after any executor is lost."""
+    small_batches(df.sparkSession)
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -65,8 +78,8 @@ def numbered(docs: DataFrame, label: str) -> DataFrame:
 
 
 def picked(held: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those rows of a table that ``numbered`` made of ``docs`` whose numbers ``rows`` has, in the columns of ``docs``. Stored first, the numbers have a known size: few are broadcast, and only many make the texts move."""
-    return held.join(stored(rows.select("row"), "rows"), "row", "left_semi").drop("row").toDF(*docs.columns)
+    """Those rows of a table that ``numbered`` made of ``docs`` whose numbers ``rows`` has, in the columns of ``docs``. A merge join at every size: the numbers grow with the table, so they are never broadcast."""
+    return held.join(rows.select("row").hint("merge"), "row", "left_semi").drop("row").toDF(*docs.columns)
 
 
 def raw_text(batch, column: str = "text") -> list[bytes]:

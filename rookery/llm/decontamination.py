@@ -15,7 +15,6 @@ repeated doc_id keep their own results and equal rows have equal ones. Other col
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +25,12 @@ from rookery.llm.common import alnum_words, place, plain, raw_text, stored, tabl
 WINDOW, TERMS = 10, 2
 #: Further positions of the query's proximity matches.
 SLOP = 2
-#: A benchmark of more words than this is an error: its words are sent to every task.
+#: Items are sent to the tasks in blocks of about this many words at most; a larger benchmark takes several passes over the documents.
 BENCHMARK_WORDS = 5_000_000
 
 
 class Benchmark:
-    """The items' words, of a table of bounded size."""
+    """The items' words, of a block of the benchmark."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
         self.window = window
@@ -40,9 +39,6 @@ class Benchmark:
 
     @classmethod
     def of(cls, benchmark: DataFrame, window: int = WINDOW) -> Benchmark:
-        letters = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-        if letters > 8 * BENCHMARK_WORDS:
-            raise ValueError("the benchmark is too large to be sent to every task; split it")
         return cls([(r.item_id, alnum_words((r.text or "").encode())) for r in benchmark.select("item_id", "text").collect()], window)
 
     def windows(self, words: list[bytes]):
@@ -148,10 +144,31 @@ def _near(words: list[bytes], wanted: list[bytes], first: int, slop: int) -> tup
     return first, i + 1
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int = TERMS, slop: int = 0) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the matched spans, all of exact matches; with ``slop`` also near_hit, near_items and near_items_sha256, of proximity matches, which exact ones are too."""
+def item_blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """The benchmark in blocks of about BENCHMARK_WORDS words, by hash. Equal items share a block; every item lies in one."""
+    letters = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-letters // (8 * BENCHMARK_WORDS)) or 1
+    block = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n))
+    return [benchmark.where(block == i) for i in range(n)] if n > 1 else [benchmark]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[dict]:
+    """Spans that meet or overlap as one, in order."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [{"start": s, "stop": e} for s, e in out]
+
+
+MATCHES = ", ".join(f"{x}spans array<struct<start:int,stop:int>>, {x}items array<string>" for x in ("", "near_"))
+
+
+def matched(docs: DataFrame, bench: Benchmark, terms: int, slop: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, hash and n_words of every row, and of rows with matches of one block of items the merged spans and the item names, exact and near."""
     spark = docs.sparkSession
-    bench = Benchmark.of(benchmark, window)
     counts = term_counts(docs, bench.vocabulary)
     found = bench.anchors(counts, terms)
     places = sorted({(item, i) for item, _, at in found for i in at})
@@ -163,10 +180,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int
         by_item[item].append((s, at))
     windows = spark.createDataFrame(list(by_item.items()), "item int, windows array<struct<first:int,places:array<int>>>")
     survivors = alignments(indexed, anchors, windows, min((len(at) for *_, at in found), default=1), slop)
-    # stored first, the survivors have a known size: few are broadcast, and only many make the texts move
-    survivors = stored(survivors.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("item", "shift", "windows")).alias("where")), "aligned")
-    items, width = bench.items, bench.window
-    key = ["doc_id", "hash"]
+    survivors = survivors.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("item", "shift", "windows")).alias("where"))
+    if slop:  # loose alignments are many and grow with the documents, so texts and survivors meet by a merge join at every size
+        survivors = survivors.hint("merge")
+    else:  # stored first, survivors have a known size: few are broadcast, and only many make the texts move
+        survivors = stored(survivors, "aligned")
+    items, width, key = bench.items, bench.window, ["doc_id", "hash"]
     joined = _same(keyed(docs), survivors, key, "inner").select(*key, "text", "where")
 
     def run(batches):
@@ -175,43 +194,54 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int
         for batch in batches:
             out = []
             for raw, where in zip(raw_text(batch), batch.column("where").to_pylist()):
-                words, hit, named, spans = alnum_words(raw), set(), set(), []
-                close, close_named = set(), set()
+                words, hit, named, close, close_named = alnum_words(raw), [], set(), [], set()
                 for a in where:
                     name, item = items[a["item"]]
+                    name = "" if name is None else str(name)
                     for s in a["windows"]:
                         wanted = item[s : s + width]
                         if slop and (at := _near(words, wanted, a["shift"] + s, slop)):
-                            close.update(range(*at))
-                            close_named.add("" if name is None else str(name))
+                            close.append(at)
+                            close_named.add(name)
                         if at := _phrase(words, wanted, a["shift"] + s, 0):
-                            hit.update(range(*at))
-                            named.add("" if name is None else str(name))
-                            spans.append({"item": a["item"], "start": at[0], "stop": at[1]})
-                names = sorted(named)
-                digest = hashlib.sha256(",".join(names).encode()).hexdigest()
-                near = (len(close), len(close_named), hashlib.sha256(",".join(sorted(close_named)).encode()).hexdigest())
-                out.append((len(hit), len(names), digest, sorted(spans, key=lambda x: (x["start"], x["item"])), names, *near))
-            span = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
-            columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), span, pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string()))] if out else []
-            if columns:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *columns], ["doc_id", "hash", "n_hit", "n_items", "items_sha256", "spans", "items", "near_hit", "near_items", "near_items_sha256"])
+                            hit.append(at)
+                            named.add(name)
+                out.append((_merged(hit), sorted(named), _merged(close), sorted(close_named)))
+            span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+            if out:
+                columns = [pa.array(c, k) for c, k in zip(zip(*out), (span, pa.list_(pa.string())) * 2)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *columns], ["doc_id", "hash", "spans", "items", "near_spans", "near_items"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    checked = joined.mapInArrow(run, f"doc_id {kind}, hash bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<item:int,start:int,stop:int>>, items array<string>, near_hit bigint, near_items bigint, near_items_sha256 string")
-    both = _same(indexed.select(*key, "n_words"), checked.dropDuplicates(key), key, "left")
-    none = hashlib.sha256(b"").hexdigest()
-    near = [*(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("near_hit", "near_items")), F.coalesce("near_items_sha256", F.lit(none)).alias("near_items_sha256")]
+    return indexed.select(*key, "n_words"), joined.mapInArrow(run, f"doc_id {kind}, hash bigint, {MATCHES}").dropDuplicates(key)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int = TERMS, slop: int = 0) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the merged spans and the items, all of exact matches; with ``slop`` also near_hit, near_items and near_items_sha256, of proximity matches, which exact ones are too.
+
+    Without documents there are no rows, without items no hits. Texts of any length are read whole. An item that two blocks or rows name alike counts once.
+    """
+    key, checked, words = ["doc_id", "hash"], None, None
+    for block in item_blocks(benchmark):
+        own, found = matched(docs, Benchmark.of(block, window), terms, slop)
+        words, checked = words if words is not None else own, found if checked is None else checked.unionByName(found)
+    every = ("spans", "items", "near_spans", "near_items")
+    checked = checked.groupBy(*key).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in every))  # as many rows as blocks to a key
+    both = _same(words, checked, key, "left")
+    count = lambda c: F.coalesce(F.expr(f"size(array_distinct(flatten(transform({c}, s -> sequence(s.start, s.stop - 1)))))"), F.lit(0))
+    names = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    digest = lambda c: F.sha2(F.array_join(names(c), ","), 256)
+    near = [count("near_spans").cast("bigint").alias("near_hit"), F.size(names("near_items")).cast("bigint").alias("near_items"), digest("near_items").alias("near_items_sha256")]
     return both.select(
         "doc_id",
         "hash",
         "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
-        F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        count("spans").cast("bigint").alias("n_hit"),
+        F.size(names("items")).cast("bigint").alias("n_items"),
+        digest("items").alias("items_sha256"),
+        (count("spans") > 0).alias("contaminated"),
         "spans",
-        "items",
+        names("items").alias("items"),
         *(near if slop else ()),
     )
 

@@ -4,15 +4,18 @@ Each page is parsed twice. First every container of a page is scored by its text
 the generalised path (tags with classes, numbers left out) of its best one. Spark counts the votes of each
 host. Then each page is parsed again and the elements on its host's winning path give its text; a page without
 such an element uses its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are left out wherever they stand.
+styles and reader comments are left out wherever they stand. In an article, and for elements of running text, a class or id
+counts as one of these only if it says nothing else: share-links does, share-price does not.
 
-Null html is an empty page with empty text. Pages without a host in their url vote together. Rows of a repeated page_id are pages of their own.
+Null html is an empty page with empty text, an empty table an empty result. Pages of any length and depth are read whole;
+other columns, whatever their names, do not matter. Pages without a host in their url vote together. Rows of a repeated page_id are pages of their own.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +23,8 @@ from pyspark.sql import functions as F
 
 from rookery.llm.common import stored, table
 
-#: Elements nested deeper than this are transparent: their text belongs to what they are in.
-DEPTH = 512
-#: Hosts whose winning paths are broadcast at most; with more, pages are joined by shuffle.
-BROADCAST_HOSTS = 200_000
+#: Winning paths are broadcast up to so many characters in all; beyond, pages are joined by shuffle.
+BROADCAST_CHARS = 32_000_000
 # Elements without content, elements that end a block, and those that hold no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -37,9 +38,13 @@ BOILERPLATE = frozenset(
     " footer header masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup comment comments"
     " commentlist respond disqus replies share sharing social related recommended recommendations widget widgets pagination pager toolbar login search skip".split()
 )
+# Words that only say what kind of box an element is.
+BOX = frozenset("area bar block box btn button buttons container content group icon icons inner item items link links list module outer panel post posts row section site top bottom wrap wrapper".split())
+# Elements of running text, whose class names speak of the text more often than of the page.
+TEXT = frozenset("a b blockquote code em figure h1 h2 h3 h4 h5 h6 i li p pre span strong td th tr".split())
 _TOKEN = re.compile(
     r"<(?:(?P<note>!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z))"
-    r"|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>\"']+|\"[^\"]{0,20000}\"|'[^']{0,20000}'|[\"'])*+)(?:>|\Z))",
+    r"|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z))",
     re.S,
 )
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -56,6 +61,9 @@ class Page:
         self.parent: list[int] = [0]
         self.last: list[int] = [0]  # the last element inside
         self.blocks: list[tuple[int, str, int]] = []
+        self.box: list[int] = [0]  # the innermost container an element is or is in
+        self.key: list[int] = [hash("")]  # of the path
+        self._open: Counter = Counter()
         self._stack, self._out, self._dropped, self._anchors = [0], [], 0, 0
         self._length = 0
         self._parse(html)
@@ -77,11 +85,12 @@ class Page:
     def _pop(self) -> None:
         at = self._stack.pop()
         self.last[at] = len(self.tags) - 1
+        self._open[self.tags[at]] -= 1
         self._dropped -= self._marks.pop()
         self._anchors -= self.tags[at] == "a"
 
     def _boilerplate(self, tag: str, rest: str) -> tuple[bool, str]:
-        words, classes, hidden = set(), "", False
+        words, tokens, classes, hidden = set(), [], "", False
         for m in _NAME.finditer(rest) if rest else ():
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -89,13 +98,18 @@ class Page:
                 continue
             found = _WORD.findall(_CAMEL.sub(" ", value).lower())
             words.update(found)
+            tokens += [set(_WORD.findall(_CAMEL.sub(" ", t).lower())) for t in value.split()]
             if key == "class":
                 classes = "." + ".".join(sorted(set(found))) if found else ""
         if tag in ("html", "body", "article", "main"):
             return False, classes
         if tag == "header":  # an article's own header holds its title
-            return not any(self.tags[i] in ("article", "main") for i in self._stack), classes
-        return tag in DROPPED or hidden or not BOILERPLATE.isdisjoint(words), classes
+            return not (self._open["article"] or self._open["main"]), classes
+        if tag in DROPPED or hidden:
+            return True, classes
+        if tag in TEXT or self._open["article"] or self._open["main"]:  # only a name that says nothing else, such as share-links but not share-price
+            return any(t & BOILERPLATE and t <= BOILERPLATE | BOX for t in tokens), classes
+        return not BOILERPLATE.isdisjoint(words), classes
 
     def _parse(self, html: str) -> None:
         self._marks = [0]
@@ -117,7 +131,7 @@ class Page:
                     self._flush()
                 if tag in VOID:
                     continue
-                for depth in range(len(self._stack) - 1, 0, -1):
+                for depth in range(len(self._stack) - 1, 0, -1) if self._open[tag] else ():
                     if self.tags[self._stack[depth]] == tag:
                         if tag not in BLOCK and any(self.tags[i] in CONTAINER for i in self._stack[depth + 1 :]):
                             break  # an inline end tag does not close containers
@@ -129,7 +143,7 @@ class Page:
                 self._flush()
             if tag in VOID:
                 continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and (self._open["p"] or tag == "li" and self._open["li"]):
                 for depth in range(len(self._stack) - 1, 0, -1):
                     open_tag = self.tags[self._stack[depth]]
                     if open_tag in CONTAINER or open_tag in ("ul", "ol", "table", "blockquote", "nav", "aside", "form", "header", "footer") and tag != "li":
@@ -144,10 +158,12 @@ class Page:
             if tag in RAW:
                 end = RAW[tag].search(html, at)
                 at = end.start() if end else stop
-            if len(self._stack) >= DEPTH:
-                continue
-            self.tags.append(tag), self.names.append(classes), self.parent.append(self._stack[-1]), self.last.append(0)
-            self._stack.append(len(self.tags) - 1)
+            above, at_new = self._stack[-1], len(self.tags)
+            self.tags.append(tag), self.names.append(classes), self.parent.append(above), self.last.append(0)
+            self.box.append(at_new if tag in CONTAINER else self.box[above])
+            self.key.append(hash((self.key[above], tag + classes)))
+            self._open[tag] += 1
+            self._stack.append(at_new)
             self._marks.append(int(dropped))
             self._dropped += dropped
             self._anchors += tag == "a"
@@ -156,11 +172,6 @@ class Page:
             self._pop() if len(self._stack) > 1 else self._stack.pop()
         self.last[0] = len(self.tags) - 1
 
-    def container(self, at: int) -> int:
-        while at and self.tags[at] not in CONTAINER:
-            at = self.parent[at]
-        return at
-
     def path(self, at: int) -> str:
         parts = []
         while at:
@@ -172,10 +183,10 @@ class Page:
         """Each container's text without links: its own blocks count whole, those of the containers in it half."""
         found: dict[int, float] = {}
         for at, text, linked in self.blocks:
-            worth, own = len(text) - 2.0 * linked, self.container(at)
+            worth, own = len(text) - 2.0 * linked, self.box[at]
             found[own] = found.get(own, 0.0) + worth
             if own:
-                above = self.container(self.parent[own])
+                above = self.box[self.parent[own]]
                 found[above] = found.get(above, 0.0) + worth / 2
         return {i: s * (1.5 if self.tags[i] in ("article", "main") else 1.0) for i, s in found.items()}
 
@@ -184,14 +195,18 @@ class Page:
         return max(scores.items(), key=lambda x: (x[1], -x[0])) if scores else None
 
     def text(self, path: str | None) -> str:
-        """The text of the elements on the path, or of the best container if there are none."""
-        tail = path.rpartition("/")[2] if path else None
-        found = [i for i in range(1, len(self.tags)) if tail and self.tags[i] + self.names[i] == tail and self.path(i) == path]
-        if not (kept := self._inside(found)):
-            best = self.best()
-            kept = self._inside([best[0]] if best else [])
+        """The text of the elements on the path, or, if there are none, of those on the best container's."""
+        kept = self._inside(self._on(path)) if path else []
+        if not kept and (best := self.best()):
+            kept = self._inside(self._on(self.path(best[0])) or [best[0]])
         return "\n".join(kept)
 
+    def _on(self, path: str) -> list[int]:
+        key = self.key[0]
+        for part in path.split("/") if path else ():
+            key = hash((key, part))
+        return [i for i in range(1, len(self.tags)) if self.key[i] == key]
+
     def _inside(self, found: list[int]) -> list[str]:
         """Texts of the blocks in elements that stand in document order; inner ones lie in outer ones' ranges."""
         starts, stops = [], []
@@ -229,7 +244,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``."""
     rows = pages.select("page_id", "url", "html").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     paths = stored(host_paths(rows), "html-paths")
-    paths = F.broadcast(paths) if paths.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else paths
+    chars = paths.agg(F.sum(F.length("path") + F.length("host"))).first()[0] or 0
+    paths = F.broadcast(paths) if chars <= BROADCAST_CHARS else paths
     joined = rows.join(paths, "host", "left").select("page_id", "url", "html", "path")
 
     def run(batches):

@@ -28,7 +28,6 @@ from rookery.llm.subwords import encoder_of
 WIDTH, STEP, END = 2048, 8, 1
 #: Ranks are counted within blocks of about this many pieces, so a frequent length is no single group.
 BLOCK_ROWS = 4_096
-_MAX_COLUMNS = 3_000
 #: Texts encoded at once.
 SLICE = 512
 
@@ -85,7 +84,8 @@ def cutting_stock(demand: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """Patterns and their numbers of uses that cover the demand for sizes 1..len(demand) in bins of len(demand), no more and no less.
 
     The restricted master is solved by the revised simplex method, which starts from one pattern to a
-    size and keeps the basis inverse; each pivot brings in the pattern that the knapsack prices best.
+    size and keeps the basis inverse; each pivot brings in the pattern that the knapsack prices best, until none is worth
+    more than a sequence or, as at a degenerate vertex, as many pivots as there are sizes have changed nothing.
     """
     m = len(demand)
     sizes = np.flatnonzero(demand) + 1
@@ -94,7 +94,8 @@ def cutting_stock(demand: np.ndarray) -> list[tuple[np.ndarray, int]]:
         basis = np.zeros((len(sizes), len(sizes)))
         basis[np.arange(len(sizes)), np.arange(len(sizes))] = m // sizes
         inverse, x = np.diag(1.0 / (m // sizes)), demand[sizes - 1] / (m // sizes)
-        for _ in range(_MAX_COLUMNS):
+        still = 0
+        while still <= len(sizes):
             value = np.zeros(m)
             value[sizes - 1] = inverse.sum(0)
             worth, count = knapsack(value, m)
@@ -103,6 +104,7 @@ def cutting_stock(demand: np.ndarray) -> list[tuple[np.ndarray, int]]:
             column = inverse @ count[sizes - 1]
             ratio = np.where(column > 1e-9, x / np.where(column > 1e-9, column, 1), np.inf)
             out = int(ratio.argmin())
+            still = 0 if (worth - 1) * ratio[out] > 1e-9 * max(1.0, x.sum()) else still + 1
             x = x - ratio[out] * column
             x[out] = ratio[out]
             basis[:, out] = count[sizes - 1]

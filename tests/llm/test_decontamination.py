@@ -110,3 +110,14 @@ def test_proximity_matches_brute_force(spark, seed, width, slop):
     want = brute_near(docs, items, width, slop)
     assert {r.doc_id: (r.near_hit, r.near_items, r.near_items_sha256) for r in rows} == want and want[200][0] == 5
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows} == brute(docs, items, width)
+
+
+def test_a_large_benchmark_takes_several_passes(spark, monkeypatch):
+    docs, items = data(8)
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame([*items, (3, items[4][1])], "item_id bigint, text string")
+    want = {r.doc_id: r[2:] for r in dc.find(table, bench, 5, slop=1).collect()}
+    monkeypatch.setattr(dc, "BENCHMARK_WORDS", 6)
+    assert len(dc.item_blocks(bench)) > 3
+    got = {r.doc_id: r[2:] for r in dc.find(table, bench, 5, slop=1).collect()}
+    assert {d: (r[0], r[1], r[2], r[3], r[4], r[6]) for d, r in got.items()} == {d: (r[0], r[1], r[2], r[3], r[4], r[6]) for d, r in want.items()}

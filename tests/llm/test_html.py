@@ -48,3 +48,14 @@ def test_null_empty_and_repeated_rows(spark):
     got = sorted(((r.page_id or 0, r.url, r.text, r.n_chars) for r in html.extract(pages).collect()), key=repr)
     assert got == sorted([(1, None, "", 0), (2, "u", "", 0), (0, "http://h", "x", 1), (3, "http://h", "x", 1), (3, "http://h", "x", 1)], key=repr)
     assert html.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_attributes_and_deep_pages_are_read_like_others():
+    assert html.Page(f'<img alt="{"x" * 25_000}>y"><p>kept</p>').text(None) == "kept"
+    assert html.Page("<div>" * 600 + "<nav>menu</nav><aside>more</aside><p>kept</p>").text(None) == "kept"
+
+
+def test_class_words_inside_the_article():
+    own = '<p class="share-price">one</p><p class="related-work">two</p><div class="share-links">no</div><div class="comments"><p>no</p></div>'
+    assert html.Page(f"<article>{own}</article>").text(None) == "one\ntwo"
+    assert html.Page("<article><p>one is here</p></article><article><p>two</p></article>").text(None) == "one is here\ntwo"
