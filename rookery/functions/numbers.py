@@ -98,10 +98,12 @@ def shrink(rating: Number, prior: Number, factor: Number) -> Column:
     return (1 - col(factor)) * col(rating) + col(factor) * col(prior)
 
 
-def shrink_factor(confidence: Number, games: Number, base: float = 0.25, weight: float = 0.2) -> Column:
-    """More shrinkage for low confidence and few games, within 0.18 and 0.42."""
-    few = F.when(col(games) < 4, 0.08).when(col(games) < 8, 0.03).otherwise(0.0)
-    return clamp(base + F.least(F.lit(0.15), (1 - col(confidence)) * weight) + few, 0.18, 0.42)
+def shrink_factor(confidence: Number, games: Number, base: float = 0.12, weight: float = 0.5) -> Column:
+    """More shrinkage for low confidence (at most .15) and few games, within .18 and .42. A confidence that is null or 0 counts as .5, unknown games as none."""
+    sure = F.when(col(confidence) != 0, col(confidence)).otherwise(0.5)
+    n = F.coalesce(col(games), F.lit(0))
+    few = F.when(n < 3, 0.18).when(n <= 4, 0.12).when(n <= 7, 0.06).otherwise(0.0)
+    return clamp(base + F.least(F.lit(0.15), (1 - sure) * weight) + few, 0.18, 0.42)
 
 
 def decay(weeks: Number, over: float = 8.0) -> Column:
@@ -123,8 +125,17 @@ def degraded(grade: Column) -> Column:
 
 
 def conflict_bucket(conflict: Column, edge: Number) -> Column:
-    """Super tier: a strong conflict with an edge of 4 or more; else by conflict."""
-    return F.when((conflict == "strong") & (F.abs(col(edge)) >= 4), "super").when(conflict == "strong", "strong").when(conflict == "weak", "weak").otherwise("none")
+    """super_tier_a, tier_a and tier_b at edges of 4, 3 and 2 under a strong conflict; without a bet (null) tier_a from 3; else none."""
+    size = F.abs(col(edge))
+    strong = F.when(size >= 4, "super_tier_a").when(size >= 3, "tier_a").when(size >= 2, "tier_b")
+    return F.when(conflict == "strong", strong).when(conflict.isNull(), F.when(size >= 3, "tier_a").when(size >= 2, "tier_b"))
+
+
+def confidence(source: Column, *features: str) -> Column:
+    """The share of the features that are known, times the quality of their source."""
+    # Quality of a source.
+    quality = F.when(source == "game", 1.0).when(source == "season", 0.9).when(source == "baseline", 0.7).otherwise(0.3)
+    return coverage(*features) * quality
 
 
 def zscore(x: Number, mean: Number, deviation: Number, null_as_zero: bool = False) -> Column:
@@ -144,21 +155,31 @@ def weather_penalty(wind: Number, precipitation: Number) -> Column:
     return blown + F.when(col(precipitation) > 50, -0.2).otherwise(0.0)
 
 
-def weather_line(wind: Number, precipitation: Number, temperature: Number) -> Column:
-    """Points off a total."""
+def weather_line(wind: Number, precipitation: Column, temperature: Number) -> Column:
+    """Points off a total: wind of 15 or more costs 1.5 and .1 a unit over it, and 3 at least; snow 2, other precipitation 1; below 20 degrees 1.5."""
     return (
-        F.when(col(wind) >= 15, -(col(wind) - 15) * 0.15 - 1).otherwise(0.0)
-        + F.when(col(precipitation) >= 50, -1.5).otherwise(0.0)
-        + F.when(col(temperature) < 20, -1.0).otherwise(0.0)
+        F.when(col(wind) >= 15, F.least(-1.5 - (col(wind) - 15) * 0.1, F.lit(-3.0))).otherwise(0.0)
+        + F.when(precipitation == "snow", -2.0).when(precipitation != "none", -1.0).otherwise(0.0)
+        + F.when(col(temperature) < 20, -1.5).otherwise(0.0)
     )
 
 
+def weather_spread(wind: Number, home_style: Column, away_style: Column) -> Column:
+    """Wind of 15 or more moves the spread by half a point against the side that passes where the other runs."""
+    moved = F.when((home_style == "pass") & (away_style == "run"), 0.5).when((home_style == "run") & (away_style == "pass"), -0.5)
+    return F.when(col(wind) >= 15, F.coalesce(moved, F.lit(0.0))).otherwise(0.0)
+
+
 def injury_points(position: Column, severity: Column) -> Column:
-    """Points lost to an injury by position and severity."""
+    """Points lost to an injury by position and severity; other positions lose none."""
     # Points of a position, and the share of them a severity costs.
-    points = F.create_map(*[F.lit(x) for x in ("QB", 3.0, "RB", 0.8, "WR", 0.8, "OL", 0.6, "DL", 0.6, "LB", 0.5, "DB", 0.5)])
-    shares = F.create_map(*[F.lit(x) for x in ("OUT", 1.0, "DOUBTFUL", 0.75, "QUESTIONABLE", 0.4, "PROBABLE", 0.1)])
-    return F.coalesce(points[position], F.lit(0.2)) * F.coalesce(shares[severity], F.lit(0.0))
+    points = F.create_map(*[F.lit(x) for x in ("QB", 2.5, "OL", 1.0, "DL", 1.0, "WR", 0.75, "RB", 0.75, "DB", 0.5)])
+    return F.coalesce(points[position], F.lit(0.0)) * F.when(severity == "out", 1.0).when(severity == "questionable", 0.5).otherwise(0.25)
+
+
+def injury_spread(position: Column, severity: Column, home: Column) -> Column:
+    """What an injury adds to the home side's spread adjustment."""
+    return F.when(home, -injury_points(position, severity)).otherwise(injury_points(position, severity))
 
 
 def home_field(neutral: Column, base: Number, team: Number = 0.0, lo: float = 1.0, hi: float = 5.0) -> Column:
@@ -170,39 +191,124 @@ def plays_per_game(pace: Number) -> Column:
     return F.when(col(pace) < 10, 60.0 / col(pace)).otherwise(col(pace))
 
 
+def points_per_play(epa: Number, yards: Number) -> Column:
+    """From expected points, else from yards a play, within .3 and .8; .5 where neither is known."""
+    return F.coalesce(F.when(col(epa).isNotNull(), clamp(7 * col(epa), 0.3, 0.8)), F.when(col(yards).isNotNull(), clamp(0.14 * col(yards), 0.3, 0.8)), F.lit(0.5))
+
+
 def commits_signal(five: Number, four: Number, three: Number, total: Number) -> Column:
     return ratio(5 * col(five) + 4 * col(four) + 3 * col(three), total)
 
 
-def continuity(returning: Number, transfers_out: Number, transfers_in: Number) -> Column:
-    """0 to 1: what returns, less what leaves and a third of what comes in."""
-    return clamp(0.7 * col(returning) + 0.3 * (1 - clamp(col(transfers_out) / 30, 0, 1)) - 0.1 * clamp(col(transfers_in) / 30, 0, 1), 0, 1)
+def _share(x: Number) -> Column:
+    """A share within 0 and 1; one over 1 is a percentage, a null is 0."""
+    v = F.coalesce(col(x).cast("double"), F.lit(0.0))
+    return clamp(F.when(v > 1, v / 100).otherwise(v), 0.0, 1.0)
 
 
-def positional_shock(lost: Number, gained: Number) -> Column:
-    """0 to 1, with both shares on the scale 0 to 100."""
-    return clamp((col(lost) - 0.5 * col(gained)) / 100, 0, 1)
+def continuity(offense: Number, defense: Number, overall: Number, transfers_in: Number) -> Column:
+    """0 to 1: returning production of both sides, each with .75 of the transfers in (at most .3), in equal halves. Null without any returning production."""
+    attack = F.coalesce(col(offense), col(overall))
+    a, b = _share(attack), _share(defense)
+    fresh = 0.75 * F.least(F.lit(0.3), F.coalesce(col(transfers_in), F.lit(0)) / 20.0 * 0.3)
+    side = lambda x, y: clamp(F.when(x > 0, x).otherwise(y) + fresh, 0.0, 1.0)
+    return F.when(attack.isNotNull() | col(defense).isNotNull(), 0.5 * side(a, b) + 0.5 * side(b, a))
 
 
-def risk_band(continuity_score: Column, shock: Column) -> Column:
-    points = F.when(continuity_score < 0.5, 2).when(continuity_score < 0.65, 1).otherwise(0) + F.when(shock > 0.5, 2).when(shock > 0.3, 1).otherwise(0)
-    return F.when(points >= 3, "high").when(points >= 1, "medium").otherwise("low")
+def positional_shock(passing: Number, rushing: Number, receiving: Number, defense: Number) -> Column:
+    """0 to 1: what does not return, weighted .30, .25, .15 and .30 over what is known."""
+    parts = [(passing, 0.30), (rushing, 0.25), (receiving, 0.15), (defense, 0.30)]
+    top = sum(F.coalesce((1 - col(x)) * w, F.lit(0.0)) for x, w in parts)
+    bottom = sum(F.when(col(x).isNotNull(), w).otherwise(0.0) for x, w in parts)
+    return F.when(bottom > 0, clamp(top / bottom, 0.0, 1.0))
 
 
-def bet_to(fair: Number, floor: float = 2.0) -> tuple[Column, Column]:
-    """How far a line is playable, and from where the other side is."""
-    return col(fair) - floor, col(fair) + floor
+def mercenary_index(transfers_in: Number) -> Column:
+    """0 to 1: transfers in, of 20."""
+    return F.when(col(transfers_in).isNotNull(), clamp(col(transfers_in) / 20.0, 0.0, 1.0))
+
+
+def portal_aggressor(net: Number) -> Column:
+    """0 to 1: net transfers, from -5 to 10."""
+    return F.when(col(net).isNotNull(), clamp((col(net) + 5) / 15.0, 0.0, 1.0))
+
+
+def risk_points(continuity_score: Column, shock: Column, mercenary: Column, aggressor: Column) -> Column:
+    """Risk of a rebuilt roster; an unknown index adds nothing."""
+    two = lambda x: F.when(x > 0.67, 2).when(x > 0.33, 1).otherwise(0)
+    return F.when(continuity_score < 0.5, 2).when(continuity_score < 0.7, 1).otherwise(0) + two(shock) + two(mercenary) + F.when(aggressor > 0.67, 1).otherwise(0)
 
 
-def scoring_opportunity(start_yards: Number, gained: Number) -> Column:
-    """A drive that reaches the 40: start clamped to the field, plus yards, at 60 or more."""
-    return (clamp(start_yards, 0, 100) + col(gained)) >= 60
+def risk_band(continuity_score: Column, shock: Column, mercenary: Column, aggressor: Column) -> Column:
+    points = risk_points(continuity_score, shock, mercenary, aggressor)
+    return F.when(points >= 5, "high").when(points >= 3, "medium").otherwise("low")
+
+
+def bet_to(fair: Number, floor: float = 0.1) -> tuple[Column, Column]:
+    """How far a line is playable, and from where the other side is."""
+    return col(fair) - floor, col(fair) + floor
 
 
-def available_yards(start_yards: Number, gained: Number) -> Column:
-    """The share of the field ahead that a drive gained, within 0 and 1; null from the goal line."""
-    left = 100 - clamp(start_yards, 0, 100)
-    return F.when(left > 0, clamp(col(gained) / left, 0, 1))
+def scoring_opportunity(start_yards: Number, gained: Number, end_yards: Number | None = None) -> Column:
+    """A drive that reaches the 40: its end, else its start plus yards, at 60 or more. Unknown is none."""
+    known = F.when(col(start_yards).isNotNull() & col(gained).isNotNull(), F.least(F.lit(100), clamp(start_yards, 0, 100) + col(gained)))
+    end = known if end_yards is None else F.coalesce(F.when(col(end_yards).isNotNull(), clamp(end_yards, 0, 100)), known)
+    return F.coalesce(end >= 60, F.lit(False))
+
+
+def available_yards(start_yards: Number, gained: Number, end_yards: Number | None = None) -> Column:
+    """The share of the field ahead that a drive gained, within 0 and 1; without yards by where it ended; null from the goal line."""
+    start = F.when(col(start_yards).isNotNull(), clamp(start_yards, 0, 100))
+    own = col(gained)
+    if end_yards is not None:
+        own = F.coalesce(own, F.when(col(end_yards).isNotNull(), clamp(end_yards, 0, 100) - start))
+    return F.when((100 - start > 0) & own.isNotNull(), clamp(F.greatest(F.lit(0), own) / (100 - start), 0, 1))
+
+
+#: Points of a conference.
+CONFERENCES = {
+    5.0: ("SEC", "Big Ten", "B1G"),
+    2.0: ("ACC", "Big 12", "Pac-12", "Pac-10"),
+    -2.0: ("American Athletic", "AAC", "Mountain West", "MWC", "Sun Belt"),
+    -3.5: ("Mid-American", "MAC", "Conference USA", "C-USA", "C-USA (FCS)"),
+    -5.0: ("Independent", "Unknown"),
+    -6.0: ("Big Sky", "Big Sky (FCS)", "FCS"),
+}
+
+
+def conference_adjustment(conference: Column) -> Column:
+    """Points of a team's conference; an unknown one costs 5."""
+    out = F.lit(-5.0)
+    for points, names in CONFERENCES.items():
+        out = F.when(conference.isin(*names), points).otherwise(out)
+    return out
+
+
+def derived_rates(yards: str, passing_yards: str, attempts: str, rushing_yards: str, rushes: str, games: str) -> dict[str, Column]:
+    """Yards a play, a pass and a rush, and plays a game; null where a part is unknown or 0."""
+    known = lambda *names: sum(((F.coalesce(F.col(n), F.lit(0)) != 0).cast("int") for n in names), F.lit(0)) == len(names)
+    plays = F.col(attempts) + F.col(rushes)
+    return {
+        "ypp": F.when(known(yards, attempts, rushes) & (plays > 0), F.col(yards) / plays),
+        "ypa": F.when(known(passing_yards, attempts) & (F.col(attempts) > 0), F.col(passing_yards) / F.col(attempts)),
+        "ypc": F.when(known(rushing_yards, rushes) & (F.col(rushes) > 0), F.col(rushing_yards) / F.col(rushes)),
+        "pace": F.when(known(attempts, rushes, games) & (F.col(games) > 0), plays / F.col(games)),
+    }
+
+
+def provider_rates(row: dict[str, str]) -> dict[str, Column]:
+    """Red-zone, penalty, pressure and havoc rates; ``row`` names the columns of trips, touchdowns, penalties, penalty_yards, sacks, hits, tfl, interceptions, fumbles and games. A missing number is 0."""
+    v = {k: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for k, c in row.items()}
+    per_game = lambda x: F.when(v["games"] > 0, x / v["games"])
+    pressure = v["sacks"] + v["hits"]
+    plays = v["sacks"] + v["tfl"] + v["interceptions"] + v["fumbles"]
+    return {
+        "red_zone_rate": F.when(v["trips"] > 0, v["touchdowns"] / v["trips"]).otherwise(0.0),
+        "penalties_per_game": per_game(v["penalties"]),
+        "penalty_yards_per_game": per_game(v["penalty_yards"]),
+        "pressure_rate": F.when(pressure + v["tfl"] > 0, pressure / (pressure + v["tfl"])),
+        "havoc_rate": F.when(plays > 0, plays / (plays + 100)),
+    }
 
 
 def matchup_class(home: Column, away: Column) -> Column:

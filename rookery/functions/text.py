@@ -22,7 +22,7 @@ def without_parentheses(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"\([^)]*\)", " "), " +", " "))
 
 
-def name_tokens(x: Column, stop: tuple[str, ...] = ("the", "of", "university", "college", "state")) -> Column:
+def name_tokens(x: Column, stop: tuple[str, ...] = ("the", "of", "university", "college")) -> Column:
     """Distinct tokens of a normalised name without stop words."""
     words = F.array_distinct(F.filter(F.split(slug(without_parentheses(x)), "-"), lambda w: w != ""))
     return F.array_except(words, F.array(*map(F.lit, stop)))
@@ -32,12 +32,78 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
+# Names of books and what they are called.
+BOOKS = {
+    "LowVig": ("lowvig.ag", "lowvig"),
+    "BetOnline": ("betonline.ag", "betonline"),
+    "BetMGM": ("betmgm", "mgm"),
+    "DraftKings": ("draftkings", "dk"),
+    "FanDuel": ("fanduel", "fd"),
+    "Caesars": ("caesars", "caesars sportsbook"),
+    "BetRivers": ("betrivers",),
+    "PointsBet": ("pointsbet",),
+    "Unibet": ("unibet",),
+    "WynnBet": ("wynnbet", "wynn"),
+    "Barstool": ("barstool", "barstool sportsbook"),
+    "SugarHouse": ("sugarhouse", "sugar house"),
+    "FoxBet": ("fox bet", "foxbet"),
+    "TwinSpires": ("twinspires", "twin spires"),
+    "Betfair": ("betfair",),
+    "Pinnacle": ("pinnacle", "pinny"),
+    "5Dimes": ("5dimes", "5d"),
+    "Bovada": ("bovada",),
+    "MyBookie": ("mybookie", "mybookie.ag"),
+    "Bookmaker": ("bookmaker", "bookmaker.eu"),
+    "Intertops": ("intertops",),
+    "GTBets": ("gtbets", "gt bets"),
+    "Heritage": ("heritage", "heritage sports"),
+    "YouWager": ("youwager", "you wager"),
+    "SportsBetting": ("sportsbetting.ag", "sportsbetting"),
+    "XBet": ("xbet", "x bet"),
+    "BetUS": ("betus", "bet us"),
+    "BetNow": ("betnow", "bet now"),
+    "BetAnySports": ("betanysports", "bet any sports"),
+}
+
+
 def book_name(x: Column) -> Column:
-    """A bookmaker's display name: alias, else without market suffixes and in title case."""
-    # Aliases.
-    aliases = F.create_map(*[F.lit(v) for v in ("dk", "DraftKings", "fd", "FanDuel", "mgm", "BetMGM", "czr", "Caesars")])
+    """A bookmaker's display name: alias, alias without domain and suffix, else that in title case; Unknown for nothing."""
+    aliases = F.create_map(*[F.lit(v) for name, known in BOOKS.items() for k in known for v in (k, name)])
     plain = F.lower(F.trim(x))
-    return F.coalesce(aliases[plain], F.initcap(F.regexp_replace(plain, r"([ _-](us|sportsbook|book))+$", "")))
+    bare = plain
+    for ending in (r"\.ag$", r"\.com$", r"\.net$", r"\.eu$", r"\s+sportsbook$", r"\s+book$"):
+        bare = F.regexp_replace(bare, ending, "")
+    titled = F.initcap(F.regexp_replace(bare, r"\s+", " "))
+    return F.coalesce(aliases[plain], aliases[bare], F.when(titled != "", titled), F.lit("Unknown"))
+
+
+def source_badge(x: Column) -> Column:
+    """A source's short form, else the source with a capital first letter; empty for nothing."""
+    # Short forms.
+    short = F.create_map(*[F.lit(v) for v in ("sgo", "SGO", "sportsgameodds", "SGO", "vegasinsider", "VI", "the-odds-api", "ODDS", "draftkings", "DK", "fanduel", "FD", "pinnacle", "PIN", "consensus", "CONS", "mock", "MOCK")])
+    return F.coalesce(short[F.lower(x)], F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 20)), F.lit(""))
+
+
+def guarded_team(x: Column) -> Column:
+    """The team id of names that similarity would map wrongly, in order of precedence; null for others."""
+    n = F.lower(x)
+    ohio = n.contains("oh")
+    return (
+        F.when(n.contains("texas a&m"), "texas-a-m")
+        .when(n == "miami", "miami")
+        .when(n.contains("miami") & ohio, "miami-oh")
+        .when(n == "georgia state", "georgia-state")
+        .when(n == "georgia southern", "georgia-southern")
+        .when(n.contains("san josé") | n.contains("san jose"), "san-jos-state")
+        .when(n.contains("san diego"), "san-diego-state")
+    )
+
+
+def breaks_parity(name: Column, team: Column) -> Column:
+    """Whether just one of a name and a candidate is a State or a Tech, or the name alone an A&M."""
+    n, t = F.lower(name), F.lower(team)
+    one = lambda word: n.rlike(rf"\b{word}\b") != t.contains(word)
+    return one("state") | one("tech") | (n.rlike(r"\ba&m\b|\bam\b") & ~t.rlike("a-m|a&m|am"))
 
 
 def field_name(x: Column) -> Column:

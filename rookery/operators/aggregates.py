@@ -103,14 +103,15 @@ def drives(rows: DataFrame) -> DataFrame:
     """Per team and side: drives, quality rate (40 yards), tempo, scoring opportunities, points an opportunity, mean share of available yards."""
     from rookery.functions.numbers import available_yards, scoring_opportunity
 
-    sides = rows.select("game_id", F.col("offense").alias("team"), F.lit("off").alias("side"), "start_yards", "yards", "points").unionByName(
-        rows.select("game_id", F.col("defense").alias("team"), F.lit("def").alias("side"), "start_yards", "yards", "points")
-    )
-    chance = scoring_opportunity("start_yards", "yards")
+    ended = "end_yards" if "end_yards" in rows.columns else None
+    kept = ["start_yards", "yards", "points", *([ended] if ended else [])]
+    side = lambda who, name: rows.select("game_id", F.col(who).alias("team"), F.lit(name).alias("side"), *kept)
+    sides = side("offense", "off").unionByName(side("defense", "def"))
+    chance = scoring_opportunity("start_yards", "yards", ended)
     return sides.groupBy("team", "side").agg(
         F.count("*").alias("drives"), (count_if(F.col("yards") >= 40) / F.count("*")).alias("quality_rate"), (F.count("*") / F.countDistinct("game_id")).alias("tempo"),
         count_if(chance).alias("opportunities"), ratio(F.sum(F.when(chance, F.col("points"))), count_if(chance)).alias("points_per_opportunity"),
-        F.avg(available_yards("start_yards", "yards")).alias("available_yards"),
+        F.avg(available_yards("start_yards", "yards", ended)).alias("available_yards"),
     )
 
 

@@ -8,49 +8,67 @@ from pyspark.sql import functions as F
 from rookery.functions.times import within_minutes
 
 
-def _order(*keys: str) -> Column:
-    return F.struct(*[F.col(k) for k in keys])
+def _timeline(left: DataFrame, right: DataFrame, key: str, at: str, ts: str, kept: list[str], tie: str) -> DataFrame:
+    """Rows of both sides in one table: key, time ``_t``, ``_side`` (0 right, 1 left), ``_tie``, and either row as a struct. Null keys and times of the right side match nothing."""
+    row, own = F.struct(*kept), F.struct(*left.columns)
+    r = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("_key"), F.col(ts).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), row.alias("_right"))
+    l = left.select(F.col(key).alias("_key"), F.col(at).alias("_t"), F.lit(1).alias("_side"), own.alias("_left"))  # noqa: E741
+    return l.unionByName(r, allowMissingColumns=True)
+
+
+def _before(*order: Column) -> Column:
+    """The last row of the right side so far."""
+    return F.last("_right", ignorenulls=True).over(Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def asof(left: DataFrame, quotes: DataFrame, key: str, at: str, ts: str, value: str, tie: str, left_id: str, fallback: bool = True) -> DataFrame:
     """Every row of ``left`` with its latest quote at or before ``at``; with ``fallback``, else its latest quote at any time.
 
-    One shuffle by key and one aggregate: the order is (at or before, time, tie), so a quote in time always wins.
+    Both sides lie on one time line, read once in order, so no pair of them is formed; the fallback is one row to a key.
     """
-    pairs = left.join(quotes, key, "left")
-    on_time = F.coalesce(F.col(ts) <= F.col(at), F.lit(False))
-    if not fallback:
-        pairs = pairs.withColumn(value, F.when(on_time, F.col(value))).withColumn(ts, F.when(on_time, F.col(ts)))
-    kept = [F.first(c).alias(c) for c in left.columns if c != left_id]
-    best = F.max_by(F.struct(F.col(value), F.col(ts), on_time.alias("on_time")), F.struct(on_time.alias("on_time"), F.col(ts), F.col(tie)))
-    found = pairs.groupBy(left_id).agg(*kept, F.when(F.max(F.col(ts)).isNotNull(), best).alias("best"))
-    return found.select(*left.columns, F.col(f"best.{value}").alias(value), F.col(f"best.{ts}").alias(ts), F.coalesce(F.col("best.on_time"), F.lit(False)).alias("on_time"))
+    line = _timeline(left, quotes, key, at, ts, [value, ts], tie)
+    found = line.withColumn("_right", _before(F.col("_t"), F.col("_side"), F.col("_tie"))).where("_side = 1").select("_key", "_left", "_right")
+    best = F.col("_right")
+    if fallback:
+        known = quotes.where(F.col(ts).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(value, ts), F.struct(ts, tie)).alias("_any"))
+        found, best = found.join(known, "_key", "left"), F.coalesce("_right", "_any")
+    found = found.withColumns({"_best": best, "on_time": F.col("_right").isNotNull()})
+    return found.select(*[F.col("_left")[c].alias(c) for c in left.columns], F.col("_best")[value].alias(value), F.col("_best")[ts].alias(ts), "on_time")
 
 
 def asof_week(left: DataFrame, ratings: DataFrame, key: str, week: str, rating_week: str, value: str) -> DataFrame:
-    """The latest rating of a week at or before the row's."""
-    pairs = left.join(ratings, key, "left").withColumn(value, F.when(F.col(rating_week) <= F.col(week), F.col(value)))
-    at = F.when(F.col(rating_week) <= F.col(week), F.col(rating_week))
-    return pairs.groupBy(*left.columns).agg(F.max_by(value, at).alias(value))
+    """The latest rating of a week at or before the row's; of several of that week the greatest. Repeated rows stay apart."""
+    found = asof(left, ratings.where(F.col(value).isNotNull()), key, week, rating_week, value, value, key, fallback=False)
+    return found.select(*left.columns, value)
 
 
 def in_window(left: DataFrame, quotes: DataFrame, key: str, kick: str, ts: str, before: int = 60, after: int = 5) -> DataFrame:
-    """Quotes from ``before`` minutes before a kickoff to ``after`` minutes after it. The bounds are a parameter, as jobs differ on them."""
-    return left.join(quotes, key).where(within_minutes(F.col(ts), F.col(kick), before, after))
+    """Quotes from ``before`` minutes before a kickoff to ``after`` minutes after it. The bounds are a parameter, as jobs differ on them.
+
+    Time is cut into slots as long as a window, which thus lies in two of them: the join is an equality on key and slot.
+    """
+    slot = lambda x: F.floor(F.unix_micros(x) / F.lit(max(1, before + after) * 60_000_000))
+    edge = lambda minutes: F.col(kick) + F.make_dt_interval(mins=F.lit(minutes))
+    starts = left.withColumn("_slot", F.explode(F.array_distinct(F.array(slot(edge(-before)), slot(edge(after))))))
+    return starts.join(quotes.withColumn("_slot", slot(F.col(ts))), [key, "_slot"]).where(within_minutes(F.col(ts), F.col(kick), before, after)).drop("_slot")
 
 
 def window_or_all(left: DataFrame, quotes: DataFrame, key: str, kick: str, ts: str, left_id: str, before: int = 60, after: int = 5) -> DataFrame:
-    """The quotes of a kickoff's window, or all its quotes if the window is empty."""
-    pairs = left.join(quotes, key).withColumn("inside", within_minutes(F.col(ts), F.col(kick), before, after))
-    return pairs.withColumn("any_inside", F.max("inside").over(Window.partitionBy(left_id))).where("inside or not any_inside").drop("any_inside")
+    """The quotes of a kickoff's window, or all its quotes if the window is empty; ``inside`` tells which."""
+    near = in_window(left, quotes, key, kick, ts, before, after).withColumn("inside", F.lit(True))
+    empty = left.join(near.select(left_id).distinct(), left_id, "left_anti")
+    return near.unionByName(empty.join(quotes, key).withColumn("inside", F.lit(False)))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, at: str, ts: str, left_id: str, tie: str) -> DataFrame:
-    """The row of ``right`` nearest in time."""
-    gap = F.abs(F.unix_micros(ts) - F.unix_micros(at))
-    pairs = left.join(right, key).withColumn("gap_us", gap)
-    best = [F.min_by(c, F.struct("gap_us", tie)).alias(c) for c in [*[c for c in right.columns if c != key], "gap_us"]]
-    return pairs.groupBy(left_id, key, at).agg(*best)
+    """The row of ``right`` nearest in time, of those as near the one of the smallest ``tie``: the last one before or the first one after on a common time line."""
+    kept = [c for c in right.columns if c != key]
+    line = _timeline(left, right, key, at, ts, kept, tie)
+    found = line.withColumns({"_a": _before(F.col("_t"), F.col("_side"), F.desc("_tie")), "_b": _before(F.desc("_t"), F.col("_side"), F.desc("_tie"))}).where("_side = 1")
+    gap = lambda c: F.abs(F.unix_micros(F.col(c)[ts]) - F.unix_micros(F.col("_left")[at]))
+    ranked = lambda c: F.when(F.col(c).isNotNull() & F.col("_left")[at].isNotNull(), F.struct(gap(c).alias("gap_us"), F.col(c)[tie].alias("tie"), F.col(c).alias("row")))
+    found = found.withColumn("_best", F.least(ranked("_a"), ranked("_b"))).where("_best is not null")
+    return found.select(*[F.col("_left")[c].alias(c) for c in dict.fromkeys((left_id, key, at))], *[F.col("_best.row")[c].alias(c) for c in kept], F.col("_best.gap_us").alias("gap_us"))
 
 
 def cascade(left: DataFrame, tiers: list[DataFrame], left_id: str, value: str) -> DataFrame:

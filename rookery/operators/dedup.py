@@ -24,8 +24,10 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def insert_ignore(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``changes`` whose keys ``target`` lacks, one to a key."""
-    return changes.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    """The rows of ``changes`` whose keys ``target`` lacks, the least to a key."""
+    rest = [c for c in changes.columns if c not in keys]
+    one = changes.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*changes.columns) if rest else changes.distinct()
+    return one.join(target.select(*keys), keys, "left_anti")
 
 
 def delete(target: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

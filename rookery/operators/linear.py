@@ -127,7 +127,7 @@ def calibrated(df: DataFrame, prediction: str, target: str) -> DataFrame:
 def folds(df: DataFrame, week: str, k: int = 5) -> DataFrame:
     """Fold of each row: weeks in order, cut into k blocks."""
     weeks = df.select(week).distinct().withColumn("fold", F.ntile(k).over(Window.orderBy(week)) - 1)
-    return df.join(F.broadcast(weeks), week)
+    return df.join(weeks, week)
 
 
 def cross_validated(df: DataFrame, features: list[str], target: str, week: str, alphas: list[float], mixes: list[float], k: int = 5, weight: str | None = None) -> list[dict]:

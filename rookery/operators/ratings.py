@@ -68,7 +68,7 @@ def v4_rating(stats: DataFrame, keys: list[str], already_inverted: bool = False)
     deff = sum(-F.col(f"z_def_{p}") * w for p, w in parts.items())
     net = z.withColumn("net", off - deff if already_inverted else off + deff)
     means = net.groupBy(*keys).agg(F.avg("net").alias("_mean"))
-    joined = net.join(F.broadcast(means), keys) if keys else net.crossJoin(F.broadcast(means))
+    joined = net.join(means, keys) if keys else net.crossJoin(F.broadcast(means))
     return joined.withColumn("rating", (F.col("net") - F.col("_mean")) * 10).drop("_mean")
 
 

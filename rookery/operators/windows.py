@@ -78,7 +78,7 @@ def bankroll(df: DataFrame, keys: list[str], order: list[str], share: str, outco
 def standardised(df: DataFrame, keys: list[str], *columns: str, null_as_zero: bool = False) -> DataFrame:
     """z_<column> with population moments of the key's rows, joined back from one aggregate so that no key is gathered."""
     moments = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    joined = df.join(F.broadcast(moments), keys) if keys else df.crossJoin(F.broadcast(moments))
+    joined = df.join(moments, keys) if keys else df.crossJoin(F.broadcast(moments))
     z = {f"z_{c}": zscore(c, f"_m_{c}", f"_s_{c}", null_as_zero) for c in columns}
     return joined.withColumns(z).drop(*[f"_{k}_{c}" for k in "ms" for c in columns])
 

@@ -44,14 +44,13 @@ def drained(df: DataFrame, name: str, checkpoint: str, mode: str = "append") ->
     return df.sparkSession.table(name)
 
 
-def merged(df: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Upsert every batch into a Parquet table; batches are written to numbered folders and readers take the newest, so a batch that is run again replaces itself."""
-    from rookery.operators.dedup import upsert
+def merged(df: DataFrame, path: str, keys: list[str], checkpoint: str, ts: str = "ts", tie: str = "event_id"):
+    """Upsert every batch into a Parquet table, the newest row of a key, which may be the table's own, winning; batches are written to numbered folders and readers take the newest, so a batch that is run again replaces itself."""
+    from rookery.operators.dedup import latest_per_key
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates(keys)
         old = spark.read.parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], batch.schema)
-        upsert(old, batch, keys).write.mode("overwrite").parquet(f"{path}/{number}")
+        latest_per_key(old.unionByName(batch), keys, ts, tie).write.mode("overwrite").parquet(f"{path}/{number}")
 
     return df.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
