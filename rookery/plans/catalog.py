@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rookery.plans import market, records, teams  # noqa: F401
+from rookery.plans import market, records, slate, teams  # noqa: F401
 from rookery.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -120,3 +120,74 @@ def test_upsert_replaces_by_key(spark):
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, dedup.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert sorted(map(tuple, dedup.insert_ignore(old, new, ["k"]).collect())) == [(3, "d")]
+
+
+def values(spark, rows, schema, *columns):
+    return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*columns).collect()]
+
+
+def test_roster_indices_of_known_teams(spark):
+    rows = [(0.6, 0.8, None, 10), (None, None, 70.0, 0), (None, None, None, 5), (0.9, None, None, 40), (0.0, 0.5, None, None)]
+    got = values(spark, rows, "off double, def double, overall double, n int", numbers.continuity("off", "def", "overall", "n"), numbers.mercenary_index("n"), numbers.portal_aggressor("n"))
+    assert got == [(pytest.approx(0.8125), 0.5, 1.0), (pytest.approx(0.7), 0.0, pytest.approx(1 / 3)), (None, 0.25, pytest.approx(2 / 3)), (1.0, 1.0, 1.0), (0.5, None, None)]
+    shock = values(spark, [(0.5, None, 1.0, 0.0), (None,) * 4], "p double, r double, c double, d double", numbers.positional_shock("p", "r", "c", "d"))
+    assert shock == [(pytest.approx((0.15 + 0 + 0.3) / 0.75),), (None,)]
+    bands = values(spark, [(0.4, 0.7, 0.5, 0.7), (0.6, 0.5, 0.4, 0.1), (0.9, None, 0.1, None)], "a double, b double, c double, d double", numbers.risk_band(*[F.col(c) for c in "abcd"]))
+    assert [b for (b,) in bands] == ["high", "medium", "low"]
+
+
+def test_shrinkage_steps(spark):
+    got = values(spark, [(1.0, 2), (0.9, 4), (0.8, 7), (1.0, 8), (0.1, 0), (None, 20)], "c double, n int", numbers.shrink_factor("c", "n"))
+    assert [x for (x,) in got] == pytest.approx([0.30, 0.29, 0.28, 0.18, 0.42, 0.27])
+
+
+def test_state_and_tech_are_not_taken_for_one_another(spark):
+    from rookery.operators import resolve
+
+    teams = spark.createDataFrame([(1, "Georgia"), (2, "Georgia State"), (3, "Georgia Tech"), (4, "Texas A&M")], "team_id int, team string")
+    names = spark.createDataFrame([("University of Georgia",), ("State Georgia",), ("The Georgia Tech College",)], "name string")
+    assert sorted((r.name, r.team_id) for r in resolve.fuzzy(names, teams).collect()) == [("State Georgia", 2), ("The Georgia Tech College", 3), ("University of Georgia", 1)]
+    aliases = spark.createDataFrame([], "alias string, team_id int")
+    got = {r.name: r.team_id for r in resolve.resolved(spark.createDataFrame([("Georgia St. State",), ("georgia",)], "name string"), teams, aliases).collect()}
+    assert got == {"Georgia St. State": None, "georgia": 1}
+
+
+def test_time_line_joins_with_repeated_rows_ties_and_nulls(spark):
+    kicks = spark.createDataFrame([(1, 1, 100), (1, 1, 100), (2, 1, None), (3, None, 100), (4, 2, 100)], "kick_id int, game int, k int").withColumn("kick", F.timestamp_seconds("k"))
+    quotes = spark.createDataFrame([(1, 1, 100, 1.0), (2, 1, 100, 2.0), (3, None, 90, 9.0), (4, 2, 90, 4.0), (5, 2, 110, 5.0), (6, 2, None, 6.0)], "quote_id int, game int, t int, line double").withColumn("ts", F.timestamp_seconds("t"))
+    rows = lambda df, *c: sorted((tuple(r[x] for x in c) for r in df.collect()), key=repr)
+    strict = asof.asof(kicks, quotes, "game", "kick", "ts", "line", "quote_id", "kick_id", fallback=False)
+    assert rows(strict, "kick_id", "line", "on_time") == sorted([(1, 2.0, True), (1, 2.0, True), (2, None, False), (3, None, False), (4, 4.0, True)], key=repr)
+    assert rows(asof.asof(kicks, quotes, "game", "kick", "ts", "line", "quote_id", "kick_id"), "kick_id", "line") == sorted([(1, 2.0), (1, 2.0), (2, 2.0), (3, None), (4, 4.0)], key=repr)
+    near = asof.nearest(kicks, quotes, "game", "kick", "ts", "kick_id", "quote_id")
+    assert rows(near, "kick_id", "quote_id", "gap_us") == [(1, 1, 0), (1, 1, 0), (4, 4, 10_000_000)]
+
+
+def test_window_joins_match_brute_force_on_a_hot_key(spark):
+    rng = np.random.default_rng(6)
+    k = [(i, 0 if i % 3 else 1, int(t)) for i, t in enumerate(rng.integers(-20_000, 20_000, 60))]
+    q = [(i, 0 if i % 3 else 1, int(t)) for i, t in enumerate(rng.integers(-20_000, 20_000, 400))]
+    kicks = spark.createDataFrame(k, "kick_id int, game int, k int").withColumn("kick", F.timestamp_seconds("k"))
+    quotes = spark.createDataFrame(q, "quote_id int, game int, t int").withColumn("ts", F.timestamp_seconds("t"))
+    want = sorted((i, j) for i, g, a in k for j, h, b in q if g == h and a - 3600 <= b <= a + 300)
+    assert sorted((r.kick_id, r.quote_id) for r in asof.in_window(kicks, quotes, "game", "kick", "ts").collect()) == want and want
+    every = sorted([*want, *((i, j) for i, g, a in k if i not in {x for x, _ in want} for j, h, _ in q if g == h)])
+    assert sorted((r.kick_id, r.quote_id) for r in asof.window_or_all(kicks, quotes, "game", "kick", "ts", "kick_id").collect()) == every
+
+
+def test_the_newest_row_of_a_key_wins_a_merge(spark, tmp_path):
+    from rookery.streaming import quotes as streams
+
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    rows = lambda *r: spark.createDataFrame([(k, v) for k, v in r], "t int, value double").select(F.lit(1).cast("bigint").alias("event_id"), F.timestamp_seconds("t").alias("ts"), F.lit(7).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"), "value", F.lit("").alias("props"))
+    rows((50, 5.0), (90, 9.0), (70, 7.0)).coalesce(1).write.parquet(f"{tmp_path}/in")
+    streams.merged(streams.stream(spark, f"{tmp_path}/in", schema), f"{tmp_path}/table", ["event_id"], f"{tmp_path}/c").awaitTermination()
+    rows((60, 6.0)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    streams.merged(streams.stream(spark, f"{tmp_path}/in", schema), f"{tmp_path}/table", ["event_id"], f"{tmp_path}/c").awaitTermination()
+    last = max(int(p.name) for p in (tmp_path / "table").iterdir() if p.name.isdigit())
+    assert last == 1 and [r.value for r in spark.read.parquet(f"{tmp_path}/table/{last}").collect()] == [9.0]
+
+
+def test_insert_ignore_keeps_the_least_row_of_a_key(spark):
+    new = spark.createDataFrame([(3, "e"), (3, "d")], "k int, v string")
+    assert [tuple(r) for r in dedup.insert_ignore(new.limit(0), new, ["k"]).collect()] == [(3, "d")]
