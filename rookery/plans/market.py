@@ -181,12 +181,13 @@ def first_per_book(spark, d):
     return dedup.first_per_key(quotes(spark, d), ["game", "book"], F.col("ts"), F.col("quote_id"))
 
 
-SPLIT = "o as (select game, book, arg_max(line, ts) as line from quotes where day(ts) <= 15 and game % 3 <> 0 group by 1, 2), n as (select game, book, arg_max(line, ts) as line from quotes where day(ts) > 25 group by 1, 2)"
+SPLIT = "o as (select game, book, arg_max(line, ts) as line from quotes where day(ts) <= 15 group by 1, 2), n as (select game, book, arg_max(line, ts) as line from quotes where day(ts) > 15 group by 1, 2)"
 
 
 def _halves(spark, d):
+    """All quotes, cut by day: the first halves of months are the target, the second the changes."""
     q = quotes(spark, d)
-    return [dedup.latest_per_key(q.where(c), ["game", "book"], "ts", "quote_id").select("game", "book", "line") for c in ("day(ts) <= 15 and game % 3 <> 0", "day(ts) > 25")]
+    return [dedup.latest_per_key(q.where(c), ["game", "book"], "ts", "quote_id").select("game", "book", "line") for c in ("day(ts) <= 15", "day(ts) > 15")]
 
 
 @query(f"with {SPLIT} select * from n union all select o.* from o left join n using (game, book) where n.line is null")

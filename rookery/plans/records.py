@@ -80,13 +80,14 @@ def bankrolls(spark, d):
     return run.groupBy("book").agg(numbers.stable(F.max_by("bankroll", F.struct("game", "week", "part")), 2).alias("bankroll"))
 
 
-STRATEGIES = "h as (select game, min(case when market = 'O' then 'home' else 'away' end) as side from bets where week = 1 group by 1), o as (select game, min(case when result = 'win' then 'home' else 'away' end) as side from bets where week = 2 group by 1)"
+#: All bets, cut by market into two strategies.
+STRATEGIES = "h as (select game, min(case when edge > 0 then 'home' else 'away' end) as side from bets where market = 'O' group by 1), o as (select game, min(case when result = 'win' then 'home' else 'away' end) as side from bets where market <> 'O' group by 1)"
 
 
 def _strategies(spark, d):
     b = bets(spark, d)
-    hybrid = b.where("week = 1").groupBy("game").agg(F.min(F.when(F.col("market") == "O", "home").otherwise("away")).alias("side"))
-    other = b.where("week = 2").groupBy("game").agg(F.min(F.when(F.col("result") == "win", "home").otherwise("away")).alias("side"))
+    hybrid = b.where("market = 'O'").groupBy("game").agg(F.min(F.when(F.col("edge") > 0, "home").otherwise("away")).alias("side"))
+    other = b.where("market <> 'O'").groupBy("game").agg(F.min(F.when(F.col("result") == "win", "home").otherwise("away")).alias("side"))
     return hybrid, other
 
 
@@ -105,10 +106,10 @@ def portfolio(spark, d):
     return ops.portfolio(*_strategies(spark, d), "game")
 
 
-@query("with p as (select week as bet_id, game, case when market = 'O' then 'home' else 'away' end as side, part from bets where week <= 4), o as (select *, row_number() over (partition by game, side order by bet_id) as n from p where bet_id > 1) select p.game, p.side, p.bet_id, o.bet_id as other_id from p join o on o.game = p.game and o.side = p.side and o.n = 1 where p.bet_id = 1")
+@query("with p as (select week as bet_id, game, part, market, case when edge > 0 then 'home' else 'away' end as side from bets ), o as (select *, row_number() over (partition by game, side order by bet_id, part) as n from p where market <> 'O') select p.game, p.side, p.bet_id, p.part, o.bet_id as other_id from p join o on o.game = p.game and o.side = p.side and o.n = 1 where p.market = 'O'")
 def agreeing_bets(spark, d):
-    p = bets(spark, d).where("week <= 4").select(F.col("week").alias("bet_id"), "game", F.when(F.col("market") == "O", "home").otherwise("away").alias("side"))
-    return ops.agreeing(p.where("bet_id = 1"), p.where("bet_id > 1"), "game", ["bet_id"]).select("game", "side", "bet_id", "other_id")
+    p = bets(spark, d).select(F.col("week").alias("bet_id"), "game", "part", "market", F.when(F.col("edge") > 0, "home").otherwise("away").alias("side"))
+    return ops.agreeing(p.where("market = 'O'"), p.where("market <> 'O'"), "game", ["bet_id", "part"]).select("game", "side", "bet_id", "part", "other_id")
 
 
 @query("with e as (select game, home_score - away_score as spread, home_score + away_score - 50 as total, case when game % 3 = 0 then 'A' else 'B' end as confidence, home as team from games ), k as (select game, cast(greatest(abs(spread), abs(total), 0.0) as double) as max_edge from e where (abs(spread) >= 30 or abs(total) >= 40) and confidence = 'A' and team <> 7) select game, max_edge from k order by max_edge desc, game limit 25")
