@@ -78,9 +78,11 @@ def places(words: list[bytes], phrases=PHRASES) -> tuple[list[int], list[str]]:
     found, labels = [], set()
     for phrase, label in phrases:
         needle = b" " + phrase.encode() + b" "
-        at = line.find(needle)
+        at, seen, n = line.find(needle), 0, 0
         while at >= 0:
-            found.append(line.count(b" ", 0, at))
+            n += line.count(b" ", seen, at)  # words since the last place
+            seen = at
+            found.append(n)
             labels.add(label)
             at = line.find(needle, at + 1)
     return sorted(found), sorted(labels)

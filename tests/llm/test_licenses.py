@@ -56,3 +56,11 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "MIT License"), (1, "Released under the MIT License"), (1, "Released under the MIT License")], schema)
     assert sorted((r.doc_id or 0, r.labels, r.score) for r in licenses.scan(docs).collect()) == [(0, "mit", 0.5), (1, "mit", 1.0), (1, "mit", 1.0)]
     assert licenses.scan(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_many_places_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    found, labels = licenses.places([b"mit", b"license"] * 100_000)
+    assert found == list(range(0, 200_000, 2)) and labels == ["mit"] and time.perf_counter() - began < 5

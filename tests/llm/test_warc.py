@@ -90,3 +90,17 @@ def test_empty_table_and_repeated_rows(spark):
     assert through(spark, [])[1].count() == 0
     got = [(r.page_id, r.record_type) for r in through(spark, [(1, None, "a", 1), (1, None, "a", 1), (2, None, "a", 1)])[1].collect()]
     assert sorted(got) == [(1, "response"), (1, "response"), (2, "revisit")]
+
+
+def test_the_query_agrees_with_its_sql(spark):
+    import duckdb
+
+    from rookery.llm.catalog import ORACLES
+
+    con = duckdb.connect()
+    con.execute("create view pages as select * from read_parquet('/root/testdata/sf0.001/pages.parquet')")
+    found = con.execute(ORACLES["op6_warc"])
+    names = [c[0] for c in found.description]
+    got = warc.op6_warc(spark, "/root/testdata/sf0.001")
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(found.fetchall())
