@@ -104,8 +104,6 @@ def funnel(bets: DataFrame, stages: dict[str, Column]) -> DataFrame:
 
 def grid(rows: DataFrame, weights: list[float], a: str, b: str, target: str) -> DataFrame:
     """Correlation and errors of w * a + (1 - w) * b with a target, for every weight at once."""
-    n = len(weights)
     each = rows.select("*", F.explode(F.array(*[F.lit(w) for w in weights])).alias("w")).withColumn("blend", F.col("w") * F.col(a) + (1 - F.col("w")) * F.col(b))
     error = F.col("blend") - F.col(target)
-    assert n
     return each.groupBy("w").agg(F.corr("blend", target).alias("pearson"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"), F.stddev_pop(F.abs(error)).alias("abs_error_deviation"), F.count("*").alias("n"))

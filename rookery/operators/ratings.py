@@ -96,9 +96,14 @@ def strength_passes(ratings: DataFrame, games: DataFrame, passes: int = 3, toler
     """
     spark = ratings.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rookery-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not folder:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="rookery-")
+        spark.sparkContext.setCheckpointDir(folder)
     pairs = team_games(games).select("team", "opponent")
     start = ratings.select("team", F.col("rating").alias("own"), F.col("rating").alias("now"), "confidence", "games").checkpoint()
     for _ in range(passes):
