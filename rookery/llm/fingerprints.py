@@ -6,8 +6,8 @@ hashes to a wide vector, and a document's fingerprint is the sum of its paragrap
 * IDENTITY lanes, 32-bit hashes of the whole paragraph under different seeds, summed modulo 2^32.
   They decide equality, in any order of paragraphs.
 * SKETCH lanes, +1 or -1 for each run of up to RUN words of the paragraph by a bit of the run's hash,
-  summed modulo 2^16. Squared differences of two sums estimate how many runs differ, so likeness
-  is read from fingerprints alone.
+  summed modulo 2^32. A run starts at every word, so an inserted or deleted word changes RUN runs at most.
+  Squared differences of two sums estimate how many runs differ, so likeness is read from fingerprints alone.
 
 As everything is a sum, ``plus`` and ``minus`` insert and delete paragraphs without the
 remaining text. Null and empty text are the empty document: one empty paragraph.
@@ -23,14 +23,14 @@ from pyspark.sql.window import Window
 from rookery.llm.common import table
 
 IDENTITY, SKETCH, RUN = 8, 64, 4
-#: Up to RUN words with the white space after them, never across a line feed.
-RUNS = r"(?:\\S+[^\\S\\n]*){1,%d}" % RUN
+#: At each word: it and up to RUN - 1 more, never across a line feed.
+RUNS = r"(?=(\\S+(?:[^\\S\\n]+\\S+){0,%d}))\\S+" % (RUN - 1)
 LOW32, FIELDS = (1 << 32) - 1, (1 << 32) + 1
 
 
-def _short(x: str) -> str:
-    """A sum modulo 2^16, as a signed short."""
-    return f"cast(pmod({x} + 32768, 65536) - 32768 as smallint)"
+def _lane(x: str) -> str:
+    """A sum modulo 2^32, as a signed int."""
+    return f"cast(pmod({x} + {1 << 31}L, {1 << 32}L) - {1 << 31}L as int)"
 
 
 def fingerprint(text: str) -> Column:
@@ -42,11 +42,11 @@ def fingerprint(text: str) -> Column:
     hashed = ", ".join(f"xxhash64(p, {i}) as h{i}" for i in range(IDENTITY // 2))
     ident = ", ".join(f"aggregate(r.ps, 0L, (a, p) -> (a + {part}) & {LOW32}L)" for i in range(IDENTITY // 2) for part in (f"(p.h{i} & {LOW32}L)", f"shiftrightunsigned(p.h{i}, 32)"))
     counts = f"transform(sequence(0, {SKETCH // 2 - 1}), k -> aggregate(r.hs, 0L, (a, x) -> a + (shiftrightunsigned(x, k) & {FIELDS}L)))"
-    sketch = f"transform(flatten(transform({counts}, c -> array(c & {LOW32}L, shiftrightunsigned(c, 32)))), c -> {_short('2 * c - size(r.hs)')})"
+    sketch = f"transform(flatten(transform({counts}, c -> array(c & {LOW32}L, shiftrightunsigned(c, 32)))), c -> {_lane('2 * c - size(r.hs)')})"
     # the one-element array binds both hashed lists once
     return F.expr(
         f"transform(array(struct(transform(split({text}, '\\n', -1), p -> struct({hashed})) as ps,"
-        f" transform(regexp_extract_all({text}, '{RUNS}', 0), x -> xxhash64(x)) as hs)),"
+        f" transform(regexp_extract_all({text}, '{RUNS}', 1), x -> xxhash64(x)) as hs)),"
         f" r -> struct(array({ident}) as ident, cast(size(r.hs) as bigint) as runs, {sketch} as sketch))[0]"
     )
 
@@ -55,7 +55,7 @@ def _combined(a: str, b: str, sign: str) -> Column:
     wide = f"pmod(x {sign} y, {LOW32 + 1}L)"
     return F.expr(
         f"struct(zip_with({a}.ident, {b}.ident, (x, y) -> {wide}) as ident, {a}.runs {sign} {b}.runs as runs,"
-        f" zip_with({a}.sketch, {b}.sketch, (x, y) -> {_short(f'cast(x as bigint) {sign} y')}) as sketch)"
+        f" zip_with({a}.sketch, {b}.sketch, (x, y) -> {_lane(f'cast(x as bigint) {sign} y')}) as sketch)"
     )
 
 
@@ -71,19 +71,19 @@ def minus(a: str, b: str) -> Column:
 
 def likeness(a: str, b: str) -> Column:
     """0 to 1: the estimated share of word runs that two fingerprints have in common; 1 for equal ones."""
-    square = lambda x: f"aggregate({x}, 0L, (s, v) -> s + cast(v as bigint) * v)"
-    apart = square(f"zip_with({a}.sketch, {b}.sketch, (x, y) -> {_short('cast(x as bigint) - y')})")
+    square = lambda x: f"aggregate({x}, 0D, (s, v) -> s + cast(v as double) * v)"
+    apart = square(f"zip_with({a}.sketch, {b}.sketch, (x, y) -> {_lane('cast(x as bigint) - y')})")
     both = f"({square(a + '.sketch')} + {square(b + '.sketch')})"
     return F.expr(
         f"case when {a}.ident = {b}.ident then 1D when {both} = 0 then 0D"
-        f" else greatest(0D, least(1D, 1D - cast({apart} as double) / {both})) end"
+        f" else greatest(0D, least(1D, 1D - {apart} / {both})) end"
     )
 
 
 def as_hex(fp: str) -> Column:
     """Identity lanes, number of runs and sketch lanes as lower-case hex digits."""
     wide = f"transform({fp}.ident, x -> lpad(hex(x), 8, '0'))"
-    thin = f"transform({fp}.sketch, x -> lpad(hex(pmod(cast(x as int), 65536)), 4, '0'))"
+    thin = f"transform({fp}.sketch, x -> lpad(hex(pmod(cast(x as bigint), 4294967296L)), 8, '0'))"
     return F.expr(f"lower(concat(array_join({wide}, ''), lpad(hex({fp}.runs), 8, '0'), array_join({thin}, '')))")
 
 

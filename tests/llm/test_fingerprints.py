@@ -77,3 +77,30 @@ def test_empty_table_and_null_ids(spark, tmp_path):
 def test_plan_has_no_python(spark):
     plan = fp.fingerprints(frame(spark, TEXTS)).select(F.col("fp"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sketch_matches_brute_force_and_stays_near_after_insertions(spark):
+    from xxhash import xxh64_intdigest
+
+    def brute(text):
+        lanes, runs = [0] * fp.SKETCH, 0
+        for paragraph in (text or "").split("\n"):
+            words = paragraph.split()
+            for i in range(len(words)):
+                h = xxh64_intdigest(" ".join(words[i : i + fp.RUN]), 42)
+                lanes = [n + (1 if h >> k & 1 else -1) for k, n in enumerate(lanes)]
+                runs += 1
+        return runs, sorted(lanes)
+
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(3000)}" for _ in range(1000)]
+    many = list(words)
+    for at in sorted(rng.sample(range(1000), 20), reverse=True):
+        many.insert(at, "new")
+    texts = ["", "a", "a b c d e\nf g", "x y z " * 50_000, " ".join(words), " ".join(["first", *words]), " ".join(many)]
+    df = frame(spark, texts).select("doc_id", fp.fingerprint("text").alias("fp"))
+    got = {r.doc_id: r.fp for r in df.collect()}
+    assert all((got[i].runs, sorted(got[i].sketch)) == brute(t) for i, t in enumerate(texts))
+    near = df.where("doc_id = 4").select(F.col("fp").alias("a")).crossJoin(df.where("doc_id > 4").select("doc_id", F.col("fp").alias("b")))
+    n = {r.doc_id: r.n for r in near.select("doc_id", fp.likeness("a", "b").alias("n")).collect()}
+    assert n[5] > 0.95 and n[6] > 0.75
