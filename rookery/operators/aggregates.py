@@ -60,12 +60,36 @@ def weighted_mean(x: Number, weight: Number) -> Column:
     return ratio(F.sum(F.coalesce(col(x), F.lit(0.0)) * col(weight)), F.sum(col(weight)))
 
 
-def nearest_rank(df: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
-    """sorted[floor(n * p)] of each group, without gathering a group: ranks by window, picked by number."""
-    valid = df.where(F.col(x).isNotNull())
-    ranked = valid.select(*keys, x, F.row_number().over(Window.partitionBy(*keys).orderBy(x)).alias("_r"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
-    picks = [F.max(F.when(F.col("_r") == F.least(F.floor(F.col("_n") * p).cast("int") + 1, F.col("_n")), F.col(x))).alias(name) for name, p in shares.items()]
-    return ranked.groupBy(*keys).agg(*picks)
+def nearest_rank(df: DataFrame, keys: list[str], x: str, shares: dict[str, float], bins: int = 256) -> DataFrame:
+    """sorted[floor(n * p)] of each group, exactly and without sorting a group.
+
+    Distinct values are counted first and cut into ``bins`` equal widths between the group's ends. The bins' counts tell which
+    bin holds a rank, and only that bin's values are put in order. NaN and infinities are sorted like Spark does, in bins of their own.
+    """
+    values = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))
+    v = F.col(x).cast("double")
+    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    ends = values.groupBy(*keys).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.sum("_n").alias("_all"))
+    # halves, as the difference of the ends may overflow
+    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((v / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * bins)).otherwise(0)
+    place = F.when(F.isnan(v), bins + 2).when(v == float("inf"), bins + 1).when(v == float("-inf"), -1).otherwise(at)
+    binned = _joined(values, ends, keys).withColumn("_bin", place)
+    held = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_held"), F.max("_all").alias("_all"))  # at most bins + 4 rows to a group
+    held = held.withColumn("_before", F.sum("_held").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_held"))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("_all") * p) + 1, F.col("_all")).alias("rank")) for name, p in shares.items()])
+    sought = held.select(*keys, "_bin", "_before", "_held", F.explode(ranks).alias("_r")).where("_r.rank > _before and _r.rank <= _before + _held")
+    near = _joined(binned.drop("_all"), sought, [*keys, "_bin"])
+    passed = near.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bin", "_r.name").orderBy(x))).where("_to >= _r.rank")
+    return passed.groupBy(*keys).agg(*[F.min(F.when(F.col("_r.name") == name, F.col(x))).alias(name) for name in shares])
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A join in which null keys meet."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # without keys the right side is one row
+    other = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return left.join(other, on).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def fill_ratio(df: DataFrame, *columns: str) -> DataFrame:

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rookery.functions.numbers import ratio
+
 
 @dataclass(frozen=True)
 class Moments:
@@ -103,6 +105,20 @@ def simple(x: str, y: str) -> list[Column]:
     return [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2")]
 
 
+def two_predictors(x1: Column, x2: Column, y: Column) -> list[Column]:
+    """Least squares on two predictors in one aggregate: ``intercept``, ``first``, ``second``, ``r2``; null where one predictor is constant or both are exactly collinear."""
+    v1, v2, c, c1, c2 = F.var_pop(x1), F.var_pop(x2), F.covar_pop(x1, x2), F.covar_pop(x1, y), F.covar_pop(x2, y)
+    apart = v1 * v2 - c * c
+    first, second = ratio(c1 * v2 - c2 * c, apart), ratio(c2 * v1 - c1 * c, apart)
+    level = F.avg(y) - first * F.avg(x1) - second * F.avg(x2)
+    return [level.alias("intercept"), first.alias("first"), second.alias("second"), ratio(first * c1 + second * c2, F.var_pop(y)).alias("r2")]
+
+
+def quadratic(x: str, y: str) -> list[Column]:
+    """The fit on a value and its square."""
+    return two_predictors(F.col(x), F.col(x) * F.col(x), F.col(y))
+
+
 def weighted_correlation(x: str, y: str, w: str) -> Column:
     sw, mx, my = F.sum(w), F.sum(F.col(w) * F.col(x)), F.sum(F.col(w) * F.col(y))
     cov = F.sum(F.col(w) * F.col(x) * F.col(y)) / sw - mx * my / sw / sw

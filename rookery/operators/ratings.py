@@ -197,7 +197,7 @@ def talent_gap(games: DataFrame, talent: DataFrame, least: int = 10, flat: float
     """Home minus away talent; a missing value is the 10th percentile (nearest rank, of ``least`` values or more) and a season without spread has z 0."""
     from rookery.operators.aggregates import nearest_rank
 
-    p10 = nearest_rank(talent.withColumn("_g", F.lit(0)), ["_g"], "talent", {"p10": 0.1}).drop("_g")
+    p10 = nearest_rank(talent, [], "talent", {"p10": 0.1})
     spread = talent.agg(F.stddev_pop("talent").alias("sd"), F.count("talent").alias("n"))
     home, away = (talent.select(F.col("team").alias(s), F.col("talent").alias(f"{s}_talent")) for s in ("home", "away"))
     both = games.join(home, "home", "left").join(away, "away", "left").crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(p10))

@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from rookery.functions import frames, numbers, text
-from rookery.operators import asof, bets, consensus, dedup, linear, ratings, windows
+from rookery.operators import aggregates, asof, bets, consensus, dedup, linear, ratings, windows
 
 
 def games(spark, seed=1, n=120, teams=9):
@@ -191,3 +191,24 @@ def test_the_newest_row_of_a_key_wins_a_merge(spark, tmp_path):
 def test_insert_ignore_keeps_the_least_row_of_a_key(spark):
     new = spark.createDataFrame([(3, "e"), (3, "d")], "k int, v string")
     assert [tuple(r) for r in dedup.insert_ignore(new.limit(0), new, ["k"]).collect()] == [(3, "d")]
+
+
+def test_nearest_rank_of_ties_extremes_and_null_keys(spark):
+    import math
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, v) for k in (None, 1, 2, 3) for v in [rng.choice((0.0, 1.5, -2.0, 1e300, -1e300, float("inf"), float("-inf"), float("nan"), None, rng.random())) for _ in range(200)]]
+    rows += [(4, 5.0)] * 300 + [(5, None)] + [(6, float(i)) for i in range(1000)]
+    shares = {"low": 0.1, "mid": 0.5, "top": 1.0}
+    order = lambda v: (math.isnan(v), 0.0 if math.isnan(v) else v)
+
+    def pick(held):
+        return tuple(repr(held[min(int(len(held) * p), len(held) - 1)]) for p in shares.values())
+
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r.k: (repr(r.low), repr(r.mid), repr(r.top)) for r in aggregates.nearest_rank(df, ["k"], "v", shares).collect()}
+    assert got == {k: pick(sorted((v for n, v in rows if n == k and v is not None), key=order)) for k in (None, 1, 2, 3, 4, 6)}
+    (every,) = aggregates.nearest_rank(df, [], "v", shares).collect()
+    assert (repr(every.low), repr(every.mid), repr(every.top)) == pick(sorted((v for _, v in rows if v is not None), key=order))
+    assert aggregates.nearest_rank(df.where("false"), ["k"], "v", shares).count() == 0
