@@ -159,44 +159,74 @@ def _less_target(z: np.ndarray, at: np.ndarray, n: np.float32) -> np.ndarray:
     return p
 
 
+def _row_sums(p: np.ndarray) -> np.ndarray:
+    return np.ones(len(p), np.float32) @ p
+
+
+def _backward(w, x: np.ndarray, dh: np.ndarray, kept) -> dict[str, np.ndarray]:
+    """Gradients of the layer's weights from that of its output, which becomes that of its input."""
+    e, q, k, v, a, total, o, u, m = kept
+    a /= total
+    dh2 = dh.reshape(-1, DIM)
+    g = {"back": m.T @ dh2}
+    dm = dh2 @ w["back"].T
+    dm *= m > 0
+    g["wide"], g["shift"] = u.reshape(-1, DIM).T @ dm, _row_sums(dm)
+    dh += (dm @ w["wide"].T).reshape(dh.shape)  # now the gradient of u
+    g["mix"] = o.reshape(-1, DIM).T @ dh2
+    do = (dh2 @ w["mix"].T).reshape(dh.shape)
+    ds = np.matmul(do, np.ascontiguousarray(v.transpose(0, 2, 1)))
+    ds -= ((do * o) @ np.ones(DIM, np.float32))[:, :, None]  # a row's sum of a times its own gradient
+    ds *= a
+    d = np.empty((*x.shape, 3 * DIM), np.float32)
+    np.matmul(ds, k, out=d[:, :, :DIM])
+    d[:, :, :DIM] *= np.float32(DIM**-0.5)
+    np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, DIM : 2 * DIM])
+    np.matmul(a.transpose(0, 2, 1), do, out=d[:, :, 2 * DIM :])
+    d = d.reshape(-1, 3 * DIM)
+    g["qkv"] = e.reshape(-1, DIM).T @ d
+    dh += (d @ w["qkv"].T).reshape(dh.shape)
+    g["place"] = dh.sum(0)
+    return g
+
+
+#: Windows whose forward and backward arrays stay in the cache together.
+PIECE = 64
+
+
 def gradients(w, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log probability at the wanted positions."""
-    h, (e, q, k, v, a, total, o, u, m) = _attend(w, x)
-    a /= total
+    pieces = [slice(lo, lo + PIECE) for lo in range(0, len(x), PIECE)]
+    layers = [_attend(w, x[p]) for p in pieces]
+    h2 = np.concatenate([h for h, _ in layers]).reshape(-1, DIM)
     n, y = np.float32(max(1, int(wanted.sum()))), y[wanted]
     group, order, ranges = _by_group(y)
-    flat = h[wanted].take(order, axis=0)  # positions by group from here on
-    member = (y % MEMBERS)[order]
+    at = np.flatnonzero(wanted)[order]  # positions by group from here on
+    flat, member = h2.take(at, axis=0), (y % MEMBERS)[order]
     p = flat @ w["group"]
     p += w["group_base"]
     p = _less_target(p, group[order], n)
-    g = {"group": flat.T @ p, "group_base": p.sum(0), "member": np.zeros_like(w["member"]), "member_base": np.zeros_like(w["member_base"])}
+    g = {"group": flat.T @ p, "group_base": _row_sums(p), "member": np.zeros_like(w["member"]), "member_base": np.zeros_like(w["member_base"])}
     d_flat = p @ w["group"].T
     for j, lo, hi in ranges:
         p = flat[lo:hi] @ w["member"][j]
         p += w["member_base"][j]
         p = _less_target(p, member[lo:hi], n)
-        g["member"][j], g["member_base"][j] = flat[lo:hi].T @ p, p.sum(0)
+        g["member"][j], g["member_base"][j] = flat[lo:hi].T @ p, _row_sums(p)
         d_flat[lo:hi] += p @ w["member"][j].T
-    dh = np.zeros_like(h)
-    dh2, u2 = dh.reshape(-1, DIM), u.reshape(-1, DIM)
-    dh2[np.flatnonzero(wanted)[order]] = d_flat
-    g["back"] = m.T @ dh2
-    dm = dh2 @ w["back"].T
-    dm *= m > 0
-    g["wide"], g["shift"] = u2.T @ dm, dm.sum(0)
-    dh += (dm @ w["wide"].T).reshape(h.shape)  # now the gradient of u
-    g["mix"] = o.reshape(-1, DIM).T @ dh2
-    do = (dh2 @ w["mix"].T).reshape(h.shape)
-    dv = np.matmul(a.transpose(0, 2, 1), do)
-    ds = np.matmul(do, np.ascontiguousarray(v.transpose(0, 2, 1)))
-    ds -= ((do * o) @ np.ones(DIM, np.float32))[:, :, None]  # a row's sum of a times its own gradient
-    ds *= a
-    d = np.concatenate([np.matmul(ds, k) * np.float32(DIM**-0.5), np.matmul(ds.transpose(0, 2, 1), q), dv], 2).reshape(-1, 3 * DIM)
-    g["qkv"] = e.reshape(-1, DIM).T @ d
-    dh += (d @ w["qkv"].T).reshape(h.shape)
-    g["place"], g["embed"] = dh.sum(0), np.zeros_like(w["embed"])
-    np.add.at(g["embed"], x.ravel(), dh2)
+    dh = np.zeros((*x.shape, DIM), np.float32)
+    dh2 = dh.reshape(-1, DIM)
+    dh2[at] = d_flat
+    for part, (_, kept) in zip(pieces, layers):
+        for name, value in _backward(w, x[part], dh[part], kept).items():
+            g[name] = g[name] + value if name in g else value
+    # rows of one class lie side by side and are summed as runs
+    inputs = x.ravel().astype(np.uint16)
+    order = np.argsort(inputs, kind="stable")
+    inputs = inputs[order]
+    starts = np.flatnonzero(np.diff(inputs, prepend=np.uint16(CLASSES)))
+    g["embed"] = np.zeros_like(w["embed"])
+    g["embed"][inputs[starts]] = np.add.reduceat(dh2.take(order, axis=0), starts, axis=0)
     return g
 
 
