@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.numbers import american_to_probability, conflict_bucket, degraded, home_field, moneyline_gate, moneyline_value, tier, win_probability
 from rookery.operators.bets import moneyline_result, profit, spread_result, total_result
+from rookery.operators.windows import ordinal
 
 
 def graded(bets: DataFrame, games: DataFrame, closes: DataFrame, key: str = "game") -> DataFrame:
@@ -143,15 +144,8 @@ def coefficients(names: list[str], values: list[float]) -> Column:
     return F.to_json(F.map_from_entries(F.array(*[F.struct(F.lit(n), F.lit(float(v))) for n, v in zip(names, values)])))
 
 
-def contiguous_folds(df: DataFrame, order: list[str], k: int = 5, blocks: int = 64) -> DataFrame:
-    """``fold`` of each row: rows in order, cut into k runs of floor(n / k), the last with the rest.
-
-    Ranks come from range partitions: each counts its rows, and the counts before it are added to the ranks inside.
-    """
-    ranged = df.repartitionByRange(blocks, *order).withColumn("_p", F.spark_partition_id())
-    ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranked.groupBy("_p").agg(F.count("*").alias("_c")).withColumns({"_first": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_n": F.sum("_c").over(Window.partitionBy())})
-    placed = ranked.join(F.broadcast(counts), "_p")  # at most ``blocks`` rows
+def contiguous_folds(df: DataFrame, order: list[str], k: int = 5) -> DataFrame:
+    """``fold`` of each row: rows in order, cut into k runs of floor(n / k), the last with the rest."""
+    total = df.agg(F.count("*").alias("_n"))
     size = F.greatest(F.lit(1), F.floor(F.col("_n") / k))
-    return placed.withColumn("fold", F.least(F.lit(k - 1), F.floor((F.col("_first") + F.col("_r")) / size)).cast("int")).drop("_p", "_r", "_c", "_first", "_n")
+    return ordinal(df, [], order, "_r").crossJoin(F.broadcast(total)).withColumn("fold", F.least(F.lit(k - 1), F.floor((F.col("_r") - 1) / size)).cast("int")).drop("_r", "_n")

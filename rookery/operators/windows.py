@@ -95,10 +95,30 @@ def winsorised(df: DataFrame, keys: list[str], x: str, lo: float = 0.01, hi: flo
     return joined.withColumn("clipped", F.when(F.col(x).isNotNull(), clipped)).withColumn("z", F.when(F.col(x).isNotNull(), z)).drop("_lo", "_hi", "_m", "_s")
 
 
+def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str, blocks: int = 64) -> DataFrame:
+    """``name``: the rank of each row in its key by ``order`` (from 1, nulls first), without sorting a key in one task.
+
+    Rows are cut into ``blocks`` runs of about equal size, ranked in their run, and the counts of the key's earlier runs are added. The cuts
+    come from the rows that hash lowest, so every evaluation finds the same ones; they decide the balance only, never a rank.
+    """
+    by = [*keys, *order]
+    some = df.select(*by).orderBy(F.xxhash64(*by), *by).limit(16 * blocks)
+    cuts = some.agg(F.sort_array(F.collect_list(F.struct(*by))).alias("_all")).select(F.expr("filter(_all, (c, i) -> i % 16 = 15)").alias("_cuts"))
+    ran = df.crossJoin(F.broadcast(cuts)).withColumn("_run", F.size(F.filter("_cuts", lambda c: c < F.struct(*by)))).drop("_cuts")  # one row of at most ``blocks`` cuts
+    inside = ran.withColumn(name, F.row_number().over(Window.partitionBy("_run", *keys).orderBy(*order)))
+    counts = ran.groupBy(*keys, "_run").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_run").alias("_at"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
+    same = F.col("_run") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return inside.join(counts, same).withColumn(name, F.col(name) + F.col("_first")).drop("_run", "_at", "_first", *[f"_k{i}" for i in range(len(keys))])
+
+
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, tie: str) -> DataFrame:
     """Correlation of ordinal ranks; ties are broken by ``tie``, not averaged."""
-    rank = lambda x: F.row_number().over(Window.partitionBy(*keys).orderBy(x, tie)).cast("double")
-    return df.withColumns({"_a": rank(a), "_b": rank(b)}).groupBy(*keys).agg(F.corr("_a", "_b").alias("spearman"), F.corr(a, b).alias("pearson"), F.count("*").alias("n"))
+    both = ordinal(ordinal(df.select(*keys, a, b, tie), keys, [a, tie], "_a"), keys, [b, tie], "_b")
+    return both.groupBy(*keys).agg(F.corr(F.col("_a").cast("double"), F.col("_b").cast("double")).alias("spearman"), F.corr(a, b).alias("pearson"), F.count("*").alias("n"))
 
 
 def current_week(weeks: DataFrame, now: Column) -> DataFrame:
