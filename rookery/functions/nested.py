@@ -19,11 +19,13 @@ def with_key(json: Column, schema: str, key: str, value: Column) -> Column:
     return F.to_json(F.coalesce(F.from_json(json, schema), F.from_json(F.lit("{}"), schema)).withField(key, value))
 
 
-def flat_quotes(events: DataFrame) -> DataFrame:
-    """Bookmakers, markets and outcomes of nested odds events, one row to an outcome; empty levels give a row of nulls."""
-    books = events.select("event_id", "commence_time", F.explode_outer("bookmakers").alias("b"))
-    markets = books.select("event_id", "commence_time", F.col("b.key").alias("book"), F.col("b.last_update").alias("ts"), F.explode_outer("b.markets").alias("m"))
-    return markets.select("event_id", "commence_time", "book", "ts", F.col("m.key").alias("market"), F.explode_outer("m.outcomes").alias("o")).select("event_id", "commence_time", "book", "ts", "market", F.col("o.name").alias("name"), F.col("o.price").alias("price"), F.col("o.point").alias("point"))
+def flat_quotes(events: DataFrame, *kept: str) -> DataFrame:
+    """Bookmakers, markets and outcomes of nested odds events, one row to an outcome; empty levels give a row of nulls. Columns ``kept`` stay."""
+    own = ("event_id", "commence_time", *kept)
+    books = events.select(*own, F.explode_outer("bookmakers").alias("b"))
+    markets = books.select(*own, F.col("b.key").alias("book"), F.col("b.last_update").alias("ts"), F.explode_outer("b.markets").alias("m"))
+    outcomes = markets.select(*own, "book", "ts", F.col("m.key").alias("market"), F.explode_outer("m.outcomes").alias("o"))
+    return outcomes.select(*own, "book", "ts", "market", F.col("o.name").alias("name"), F.col("o.price").alias("price"), F.col("o.point").alias("point"))
 
 
 def line_type(market: Column) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.functions.numbers import clamp, decay, home_field, shrink, shrink_factor, tier
+from rookery.functions.numbers import clamp, conference_adjustment, decay, home_field, shrink, shrink_factor, tier
 from rookery.operators.windows import standardised
 
 NETS = ("epa", "sr", "explosive", "ppa", "havoc", "finish", "field")
@@ -57,6 +57,29 @@ def index_rating(stats: DataFrame, weights: dict[str, float], keys: list[str], t
     return z.withColumn("rating", total * scale)
 
 
+# What each feature weighs in the first rating.
+V1_OFFENSE = {"ypp_off": 0.30, "pass_ypa_off": 0.20, "rush_ypc_off": 0.15, "success_off": 0.20, "epa_off": 0.15}
+V1_DEFENSE = {"ypp_def": 0.20, "pass_ypa_def": 0.20, "rush_ypc_def": 0.15, "success_def": 0.25, "epa_def": 0.20}
+V1_TALENT = {"talent": 1.0, "blue_chips": 0.3, "commits": 0.15 * 0.15}
+
+
+def v1_rating(stats: DataFrame, keys: list[str], scale: float = 8.0, by_conference: bool = True) -> DataFrame:
+    """``offense``, ``defense`` and ``rating`` of teams: weighted z-scores (a null is 0), defence turned round, talent that fades over the weeks played, and the conference's points, times ``scale``.
+
+    A team without any defensive yardage is weighed by success and expected points alone; one without yards a play and success on both sides by its talent alone.
+    ``stats`` has the columns of V1_OFFENSE, V1_DEFENSE and V1_TALENT, ``weeks`` and ``conference``.
+    """
+    z = standardised(stats, keys, *V1_OFFENSE, *V1_DEFENSE, *V1_TALENT, null_as_zero=True)
+    total = lambda weights: sum(F.col(f"z_{c}") * w for c, w in weights.items())
+    some = lambda *names: F.coalesce(*names).isNotNull()
+    least = {c: V1_DEFENSE[c] / (V1_DEFENSE["success_def"] + V1_DEFENSE["epa_def"]) for c in ("success_def", "epa_def")}
+    defense = -F.when(some("ypp_def", "pass_ypa_def", "rush_ypc_def"), total(V1_DEFENSE)).otherwise(total(least))
+    out = z.withColumns({"offense": total(V1_OFFENSE), "defense": defense})
+    base = F.when(some("ypp_off", "ypp_def", "success_off", "success_def"), F.col("offense") + F.col("defense")).otherwise(0.0)
+    points = conference_adjustment(F.col("conference")) if by_conference else F.lit(0.0)
+    return out.withColumn("rating", (base + decay(F.coalesce("weeks", F.lit(0))) * total(V1_TALENT) + points) * scale)
+
+
 def v4_rating(stats: DataFrame, keys: list[str], already_inverted: bool = False) -> DataFrame:
     """Half success, a quarter explosiveness, .15 finishing and .1 available yards, as z-scores of both sides; net, centred, times 10.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rookery.operators import ratings, training, windows
 from rookery.plans.registry import bets, games, kicks, query, quotes, rounded, st
-from rookery.plans.teams import TG, _sides
+from rookery.plans.teams import TG, TS, _seasons, _sides, z
 
 _LEVEL = "case when team < 15 then 2 when team < 30 then 1 else 0 end"
 _SIDE = lambda x, home: f"max(case when {'' if home else 'not '}is_home then {x} end)"
@@ -111,3 +111,19 @@ _APART = "abs(epoch_us(q.ts) - epoch_us(k.kick)) / 86400000000.0"
 def matched_games(spark, d):
     right = quotes(spark, d).where("book = 'click'").select("game", "ts", F.col("quote_id").alias("match"))
     return training.matched_game(kicks(spark, d), right, ["game"], "kick", "ts", "kick_id", "match", moving=F.col("game") % 2 == 0).select("kick_id", "match", "how")
+
+
+_V1 = {
+    "ypp_off": "case when team <> 7 then pf end", "pass_ypa_off": "pa", "rush_ypc_off": "pf + pa", "success_off": "case when team <> 7 then n end", "epa_off": "pf - pa",
+    "ypp_def": "case when team % 4 <> 0 and team <> 7 then pf * 2 end", "pass_ypa_def": "case when team % 4 <> 0 then pa end", "rush_ypc_def": "case when team % 4 <> 0 then pa - pf end", "success_def": "case when team <> 7 then pa * 3 end", "epa_def": "n",
+    "talent": "team * 37 % 101", "blue_chips": "team * 13 % 7", "commits": "team % 5", "weeks": "team % 10", "conference": "case when team % 3 = 0 then 'SEC' when team % 3 = 1 then 'MAC' else 'Nowhere' end",
+}
+_SUM = lambda weights: " + ".join(f"coalesce({z(c)}, 0) * {w!r}" for c, w in weights.items())
+
+
+@query(f"""with {TS}, s as (select team, season, {', '.join(f'{x} as {n}' for n, x in _V1.items())} from ts),
+  p as (select *, {_SUM(ratings.V1_OFFENSE)} as offense, -(case when coalesce(ypp_def, pass_ypa_def, rush_ypc_def) is not null then {_SUM(ratings.V1_DEFENSE)} else {_SUM({'success_def': 0.25 / 0.45, 'epa_def': 0.2 / 0.45})} end) as defense, {_SUM(ratings.V1_TALENT)} as prior from s)
+  select team, season, {st('offense')} as offense, {st('defense')} as defense, {st("(case when team <> 7 then offense + defense else 0 end + greatest(0, 1 - weeks / 8.0) * prior + case conference when 'SEC' then 5.0 when 'MAC' then -3.5 else -5.0 end) * 8")} as rating from p""")
+def v1_rating(spark, d):
+    stats = _seasons(spark, d).select("team", "season", *[F.expr(x).alias(n) for n, x in _V1.items()])
+    return rounded(ratings.v1_rating(stats, ["season"]), "offense", "defense", "rating").select("team", "season", "offense", "defense", "rating")

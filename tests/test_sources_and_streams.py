@@ -65,3 +65,31 @@ def test_stream_upserts_into_a_table(spark, tmp_path):
     last = max(int(p.name) for p in (tmp_path / "table").iterdir() if p.name.isdigit())
     got = {r.event_id for r in spark.read.parquet(f"{tmp_path}/table/{last}").collect()}
     assert got == {1, 2}
+
+
+def test_week_files(spark, tmp_path):
+    game = {"id": "g1", "homeTeamId": "a", "awayTeamId": "b", "season": 2024, "week": 1, "date": "2024-08-31T19:00:00Z", "neutralSite": True, "homeScore": 24}
+    line = {"gameId": "g1", "season": 2024, "week": 1, "lineType": "spread", "closingLine": -2.5, "timestamp": "2024-08-31T18:30:00Z", "bookName": "x"}
+    (tmp_path / "schedules-2024-week-1.json").write_text(json.dumps({"games": [game]}))
+    (tmp_path / "schedules-2024-week-3.json").write_text(json.dumps([{**game, "id": "g3", "week": 3}, {**game, "id": "g4", "week": 3}]))
+    (tmp_path / "market-lines-2024-week-1.json").write_text(json.dumps({"marketLines": [line]}))
+    (tmp_path / "teams.json").write_text(json.dumps([{"id": "a", "logoUrl": "u"}]))
+    source = adapters.WeekSource(spark, str(tmp_path), 2024, [1, 2, 3])
+    assert sorted((r.game_id, r.week, r.home_score, r.neutral_site) for r in source.games().collect()) == [("g1", 1, 24, True), ("g3", 3, 24, True), ("g4", 3, 24, True)]
+    assert [(r.game_id, r.line_type, r.closing_line, r.opening_line, r.book_name) for r in source.lines().collect()] == [("g1", "spread", -2.5, None, "x")]
+    assert [(r.team_id, r.logo_url) for r in source.teams().collect()] == [("a", "u")]
+    none = adapters.WeekSource(spark, str(tmp_path), 2024, [7])
+    assert none.games().collect() == [] and none.games().columns == source.games().columns and not none.is_available()
+    assert adapters.source(spark, "weeks", str(tmp_path)).games().count() == 3
+
+
+def test_box_scores_and_odds_history(spark, tmp_path):
+    stats = {"game_id": "g", "team_id": "t", "offensive_stats": {"points": 45, "time_of_possession": "32:15"}, "defensive_stats": {"sacks": 4}, "special_teams": {"punt_returns": 3}}
+    (tmp_path / "team_game_stats.json").write_text(json.dumps({"team_game_stats": [stats, {"game_id": "h", "team_id": "t"}]}))
+    got = {r.game_id: (r.points, r.sacks, r.punt_returns, r.possession_seconds) for r in adapters.source(spark, "json", str(tmp_path)).team_game_stats().collect()}
+    assert got == {"g": (45, 4, 3, 1935), "h": (None, None, None, None)}
+    event = {"id": "e", "bookmakers": [{"key": "dk", "last_update": "2024-08-31T00:00:00Z", "markets": [{"key": "totals", "outcomes": [{"name": "Over", "price": -110, "point": 51.5}]}]}]}
+    shots = [{"timestamp": t, "data": event} for t in ("2024-08-30T00:00:00Z", "2024-08-31T00:00:00Z", "2024-08-31T00:00:00Z")]
+    (tmp_path / "odds_history.json").write_text("\n".join(map(json.dumps, shots)))
+    lines = adapters.source(spark, "odds", str(tmp_path)).history()
+    assert sorted((str(r.snapshot)[:10], r.line_type, r.line_value) for r in lines.collect()) == [("2024-08-30", "total", 51.5), ("2024-08-31", "total", 51.5)]
