@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rookery.llm.common import table
+from rookery.operators.windows import ordinal
 
 IDENTITY, SKETCH, RUN = 8, 64, 4
 #: At each word: it and up to RUN - 1 more, never across a line feed.
@@ -97,11 +98,17 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Null ids come last; rows of one id follow each other by descending text. Ids are cut into ranges at their
     quantiles, several to each shuffle partition, and each range's window sees a copy of the first row after
-    it, so only that row crosses ranges. A table of one row is followed by itself.
+    it, so only that row crosses ranges. A table of one row is followed by itself. Ids that are no whole numbers
+    (strings, say) stand in their own order, for which each distinct one is given its rank.
     """
     spark = docs.sparkSession
     lowest = -(1 << 63)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(lowest)).cast("bigint").alias("at"))
+    kind = docs.schema["doc_id"].dataType
+    rows, at = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("doc_id")
+    if not isinstance(kind, T.IntegralType):
+        ranks = ordinal(docs.select("doc_id").where("doc_id is not null").distinct(), [], ["doc_id"], "at")
+        rows, at = rows.join(ranks, "doc_id", "left"), F.col("at")
+    rows = rows.select("doc_id", "text", F.coalesce(at, F.lit(lowest)).cast("bigint").alias("at"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first().q or []
     cuts = sorted(set(cuts))
@@ -112,7 +119,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy(F.desc("bucket"))
     tops = tops.select(F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(Window.partitionBy())).alias("before"), "at")
     heads = rows.drop("bucket").join(F.broadcast(tops), "at").groupBy("before", "at").agg(F.max("text").alias("text"))
-    heads = heads.select(F.lit(None).cast("bigint").alias("doc_id"), "text", "at", F.col("before").alias("bucket"), F.lit(1).alias("ghost"))
+    heads = heads.select(F.lit(None).cast(kind).alias("doc_id"), "text", "at", F.col("before").alias("bucket"), F.lit(1).alias("ghost"))
     every = fingerprints(rows.withColumn("ghost", F.lit(0)).unionByName(heads))
     window = Window.partitionBy("bucket").orderBy("ghost", F.desc("at"), F.desc("text"))
     return every.select("doc_id", "text", "fp", "ghost", F.lead("text").over(window).alias("next_text"), F.lead("fp").over(window).alias("next_fp")).where("ghost = 0").drop("ghost")

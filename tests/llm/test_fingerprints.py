@@ -104,3 +104,14 @@ def test_sketch_matches_brute_force_and_stays_near_after_insertions(spark):
     near = df.where("doc_id = 4").select(F.col("fp").alias("a")).crossJoin(df.where("doc_id > 4").select("doc_id", F.col("fp").alias("b")))
     n = {r.doc_id: r.n for r in near.select("doc_id", fp.likeness("a", "b").alias("n")).collect()}
     assert n[5] > 0.95 and n[6] > 0.75
+
+
+def test_ids_of_other_types_follow_their_own_order(spark):
+    for kind, ids in (("string", ["b", "a", None, "a", "c10", "c9"]), ("double", [1.5, -2.0, None, -2.0, 10.25, 9.0])):
+        texts = ["B", "A", None, "A2", "C10", "C9"]
+        df = spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string").repartition(3)
+        order = sorted(zip(ids, texts), key=lambda r: (r[0] is not None, r[0] or 0 if kind == "double" else r[0] or "", r[1] or ""), reverse=True)
+        want = {(i, t or "", order[(k + 1) % len(order)][1] or "") for k, (i, t) in enumerate(order)}
+        got = fp.with_next(df)
+        assert got.schema["doc_id"].dataType.simpleString() == kind
+        assert {tuple(r) for r in got.select("doc_id", "text", "next_text").collect()} == want
