@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.numbers import clamp, ratio
 from rookery.operators.asof import in_window
-from rookery.operators.ratings import team_games
-from rookery.operators.windows import ordinal, standardised
+from rookery.operators.aggregates import nearest_rank
+from rookery.operators.ratings import adjusted_nets, team_games
+from rookery.operators.windows import EWMA_3, EWMA_5, ewma, ordinal, rest, standardised
 
 #: What a row of each set weighs.
 SET_WEIGHTS = {"A": 1.0, "B": 0.6, "other": 0.25}
@@ -44,6 +45,50 @@ def training_rows(rows: DataFrame, found: DataFrame, columns: tuple[str, ...], l
     return out.where(F.col("target").isNotNull()) if label == "A" else out
 
 
+def engineered(rows: DataFrame, keys: list[str], columns: tuple[str, ...], prior: str = "talent") -> DataFrame:
+    """Team rows of games (game, team, opponent, date, and both sides of each net) with adjusted nets, averages of recent games, rest and cleaned ``columns``.
+
+    ``ewma3_off``, ``ewma3_def``, ``ewma5_off`` and ``ewma5_def`` average the adjusted epa of the team's last games before this one in ``keys``;
+    the prior (a null is 0) fills what is missing of 3 or 5 games, in ``ewma3_def`` of 5 too. ``low_3`` and ``low_5`` mark rows with fewer games.
+    """
+    team, order = ["team", *keys], ["date", "game"]
+    nets = adjusted_nets(rows).withColumns({"_played": F.row_number().over(Window.partitionBy(*team).orderBy(*order)) - 1, "_prior": F.coalesce(F.col(prior).cast("double"), F.lit(0.0))})
+    missing = lambda n: F.greatest(F.lit(0.0), 1 - F.col("_played") / n)
+    means = {f"ewma{n}_{s}": ewma(f"{s}_adj_epa", team, order, w, "_prior", missing(of)) for n, s, w, of in ((3, "off", EWMA_3, 3), (3, "def", EWMA_3, 5), (5, "off", EWMA_5, 5), (5, "def", EWMA_5, 5))}
+    found = rest(nets.withColumns(means | {"low_3": F.col("_played") < 3, "low_5": F.col("_played") < 5}), team, "date", "game")
+    return cleaned(found.drop("_played", "_prior"), keys, columns)
+
+
+def cleaned(df: DataFrame, keys: list[str], columns: tuple[str, ...], share: float = 0.01) -> DataFrame:
+    """Each column clipped to its nearest-rank percentiles in ``keys`` and standardised by the moments before that; ``n_clipped`` counts a row's clipped columns.
+
+    Without spread (a deviation up to 1e-4) a column is null; values that are no finite numbers stay as they are. All columns' statistics come from one long table.
+    """
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.name", "p.x").where(finite(F.col("x")))
+    by = [*keys, "name"]
+    stats = nearest_rank(long, by, "x", {"lo": share, "hi": 1 - share}).join(long.groupBy(*by).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")), by)
+    wide = stats.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == c, F.struct("lo", "hi", "m", "s"))).alias(f"_{c}") for c in columns])
+    both = df.join(wide, keys, "left") if keys else df.crossJoin(F.broadcast(wide))  # without keys one row
+    at = lambda c: (F.col(c).cast("double"), F.col(f"_{c}"))
+    clipped, out = F.lit(0), {}
+    for c in columns:
+        x, t = at(c)
+        known = finite(x) & t.isNotNull()
+        clipped = clipped + F.when(known & ((x < t["lo"]) | (x > t["hi"])), 1).otherwise(0)
+        out[c] = F.when(~known | t.isNull(), x).when(t["s"] > 1e-4, (F.greatest(t["lo"], F.least(t["hi"], x)) - t["m"]) / t["s"])
+    return both.withColumn("n_clipped", clipped).withColumns(out).drop(*[f"_{c}" for c in columns])
+
+
+def null_gates(df: DataFrame, columns: tuple[str, ...], most: float = 0.15) -> DataFrame:
+    """``name``, ``null_share``, ``deviation`` and ``passed`` of each column: nulls and NaNs under ``most`` and some spread. One row to a column, from one aggregate."""
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    one = df.agg(F.array(*[F.struct(F.lit(c).alias("name"), F.coalesce(1 - ratio(F.count(known(c)), F.count("*")), F.lit(0.0)).alias("null_share"), F.stddev_pop(known(c)).alias("deviation")) for c in columns]).alias("g"))
+    rows = one.select(F.explode("g").alias("g")).select("g.*")
+    return rows.withColumn("passed", (F.col("null_share") < most) & F.coalesce(F.col("deviation") > 1e-4, F.lit(False)))
+
+
 def feature_matrix(rows: DataFrame, numbers: list[str], flags: list[str], squares: dict[str, float] | None = None) -> DataFrame:
     """``rows`` with ``x_<name>`` of every feature, ready to fit: nulls are 0, flags 0 or 1 and never scaled, numbers standardised by population moments.
 

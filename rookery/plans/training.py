@@ -26,6 +26,50 @@ def training_set(spark, d):
     return rounded(training.training_rows(rows, training.targets(starts, quotes(spark, d), before=1440), ("pf",), "B"), "target")
 
 
+_ENGINEERED = ("off_adj_epa", "edge_epa", "ewma3_def", "ewma5_off")
+
+
+def _mean(x: str, weights: tuple[float, ...], of: int) -> str:
+    """The SQL of an average of the last games with the prior in place of missing ones."""
+    lags = [f"lag({x}, {i + 1}) over w" for i in range(len(weights))]
+    spare = f"greatest(0.0::double, 1 - (row_number() over w - 1) / {of}.0::double)"
+    top = " + ".join(["0::double", *(f"coalesce({t} * {k}::double, 0)" for t, k in zip(lags, weights)), f"talent * {spare}"])
+    bottom = " + ".join(["0::double", *(f"case when {t} is not null then {k}::double else 0::double end" for t, k in zip(lags, weights)), spare])
+    return f"({top}) / ({bottom})"
+
+
+def _clean(x: str) -> tuple[str, str]:
+    """The SQL of a column's ends and moments, and of the cleaned column."""
+    pick = lambda p: f"list_sort(list({x}))[least(cast(floor(count({x}) * {p}) as bigint) + 1, count({x}))]"
+    return f"{pick(0.01)} as lo_{x}, {pick(0.99)} as hi_{x}, avg({x}) as m_{x}, stddev_pop({x}) as s_{x}", st(f"(greatest(lo_{x}, least(hi_{x}, {x})) - m_{x}) / s_{x}", 3) + f" as {x}"
+
+
+_BASE = f"""with {TG}, r as (select *, (team * 37 % 101)::double as talent from tg),
+  n as (select r.*, (r.pf - x.pa)::double as off_adj_epa, (-(r.pa + x.pf))::double as def_adj_epa, (r.pf - x.pa + r.pa + x.pf)::double as edge_epa from r left join r x on r.game = x.game and r.opponent = x.team),
+  e as (select *, {_mean('def_adj_epa', windows.EWMA_3, 5)} as ewma3_def, {_mean('off_adj_epa', windows.EWMA_5, 5)} as ewma5_off, row_number() over w <= 3 as low_3, cast(date_diff('day', lag(date::date) over w, date::date) as bigint) as rest_days from n window w as (partition by team, season order by date, game))"""
+
+
+def _nets(spark, d):
+    g = _sides(spark, d).withColumns({"talent": (F.col("team") * 37 % 101).cast("double"), "date": F.to_date("date").cast("timestamp")})
+    return g.select("game", "team", "opponent", "season", "date", "talent", *[F.col(c).cast("double").alias(f"{s}_{m}") for m in ratings.NETS for s, c in (("off", "pf"), ("def", "pa"))])
+
+
+@query(f"""{_BASE}, k as (select season, {', '.join(_clean(c)[0] for c in _ENGINEERED)} from e group by 1)
+  select game, team, low_3, rest_days, {' + '.join(f'case when {c} < lo_{c} or {c} > hi_{c} then 1 else 0 end' for c in _ENGINEERED)} as n_clipped, {', '.join(_clean(c)[1] for c in _ENGINEERED)} from e join k using (season)""")
+def engineered_features(spark, d):
+    from rookery.functions.numbers import stable
+
+    out = training.engineered(_nets(spark, d), ["season"], _ENGINEERED).select("game", "team", "low_3", "rest_days", "n_clipped", *_ENGINEERED)
+    return out.withColumns({c: stable(c, 3) for c in _ENGINEERED})
+
+
+@query("""with g as (select case when game % 9 <> 0 then home_score end as few, case when game % 3 <> 0 then away_score end as many, 4 as flat from games ), l as (select 'few' as name, few::double as x from g union all select 'many', many from g union all select 'flat', flat from g),
+  s as (select name, 1 - count(x) / count(*) as null_share, stddev_pop(x) as deviation from l group by 1) select name, floor(null_share * 10000.0 + 0.5000001) / 10000.0 as null_share, floor(deviation * 10000.0 + 0.5000001) / 10000.0 as deviation, null_share < 0.15 and deviation > 1e-4 as passed from s""")
+def null_gates(spark, d):
+    g = games(spark, d).select(F.when(F.col("game") % 9 != 0, F.col("home_score")).alias("few"), F.when(F.col("game") % 3 != 0, F.col("away_score")).alias("many"), F.lit(4).alias("flat"))
+    return rounded(training.null_gates(g, ("few", "many", "flat")), "null_share", "deviation")
+
+
 _X = {"f_diff": "coalesce(case when game % 9 <> 0 then home_score - away_score end, 0)::double", "f_home": "home_score::double", "f_sq": "power(coalesce(case when game % 9 <> 0 then home_score - away_score end, 0)::double, 2) / 100"}
 _SCALED = ", ".join(f"{st(f'({n} - avg({n}) over ()) / stddev_pop({n}) over ()')} as {o}" for n, o in (("f_diff", "x_diff"), ("f_home", "x_home"), ("f_sq", "x_diff_sq")))
 
