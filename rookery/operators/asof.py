@@ -1,11 +1,12 @@
-"""As-of, interval, nearest and cascading joins: an equality on the key, then one aggregate or window inside it."""
+"""As-of, interval, nearest and cascading joins: an equality on the key, then one aggregate, window or segmented scan inside it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.times import within_minutes
+from rookery.operators import scans
 
 
 def _timeline(left: DataFrame, right: DataFrame, key: str, at: str, ts: str, kept: list[str], tie: str) -> DataFrame:
@@ -16,18 +17,18 @@ def _timeline(left: DataFrame, right: DataFrame, key: str, at: str, ts: str, kep
     return l.unionByName(r, allowMissingColumns=True)
 
 
-def _before(*order: Column) -> Column:
-    """The last row of the right side so far."""
-    return F.last("_right", ignorenulls=True).over(Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def _latest(line: DataFrame, *order: str, name: str = "_right") -> DataFrame:
+    """``name``: the last row of the right side so far. A key's time line is cut into runs, so a hot key is many tasks' work."""
+    return scans.scan(line.withColumn("_seen", F.col("_right")), ["_key"], list(order), {name: scans.last("_seen")}).drop("_seen")
 
 
 def asof(left: DataFrame, quotes: DataFrame, key: str, at: str, ts: str, value: str, tie: str, left_id: str, fallback: bool = True) -> DataFrame:
     """Every row of ``left`` with its latest quote at or before ``at``; with ``fallback``, else its latest quote at any time.
 
-    Both sides lie on one time line, read once in order, so no pair of them is formed; the fallback is one row to a key.
+    Both sides lie on one time line, read in order, run by run, so no pair of them is formed; the fallback is one row to a key.
     """
     line = _timeline(left, quotes, key, at, ts, [value, ts], tie)
-    found = line.withColumn("_right", _before(F.col("_t"), F.col("_side"), F.col("_tie"))).where("_side = 1").select("_key", "_left", "_right")
+    found = _latest(line, "_t", "_side", "_tie").where("_side = 1").select("_key", "_left", "_right")
     best = F.col("_right")
     if fallback:
         known = quotes.where(F.col(ts).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(value, ts), F.struct(ts, tie)).alias("_any"))
@@ -63,8 +64,10 @@ def window_or_all(left: DataFrame, quotes: DataFrame, key: str, kick: str, ts: s
 def nearest(left: DataFrame, right: DataFrame, key: str, at: str, ts: str, left_id: str, tie: str) -> DataFrame:
     """The row of ``right`` nearest in time, of those as near the one of the smallest ``tie``: the last one before or the first one after on a common time line."""
     kept = [c for c in right.columns if c != key]
-    line = _timeline(left, right, key, at, ts, kept, tie)
-    found = line.withColumns({"_a": _before(F.col("_t"), F.col("_side"), F.desc("_tie")), "_b": _before(F.desc("_t"), F.col("_side"), F.desc("_tie"))}).where("_side = 1")
+    first = right.groupBy(F.col(key).alias("_k"), F.col(ts).alias("_ts")).agg(F.min_by(F.struct(*kept), F.struct(tie)).alias("_row")).select(F.col("_k").alias(key), "_row.*")  # of one time the smallest tie
+    line = _timeline(left, first, key, at, ts, kept, tie)
+    line = _latest(line.withColumn("_back", -F.unix_micros("_t")), "_t", "_side", name="_a")
+    found = _latest(line, "_back", "_side", name="_b").where("_side = 1")
     gap = lambda c: F.abs(F.unix_micros(F.col(c)[ts]) - F.unix_micros(F.col("_left")[at]))
     ranked = lambda c: F.when(F.col(c).isNotNull() & F.col("_left")[at].isNotNull(), F.struct(gap(c).alias("gap_us"), F.col(c)[tie].alias("tie"), F.col(c).alias("row")))
     found = found.withColumn("_best", F.least(ranked("_a"), ranked("_b"))).where("_best is not null")

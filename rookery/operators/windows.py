@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rookery.functions.numbers import Number, col, ratio, zscore
 from rookery.functions.times import whole_days
+from rookery.operators import scans
 
 #: Weights of the latest, the one before, and so on.
 EWMA_3, EWMA_5 = (0.6, 0.3, 0.1), (0.4, 0.3, 0.15, 0.1, 0.05)
@@ -55,10 +56,9 @@ def line_history(df: DataFrame, keys: list[str], ts: str, tie: str, x: str) -> D
 
 
 def drawdown(df: DataFrame, keys: list[str], order: list[str], pnl: str) -> DataFrame:
-    """Equity after each row, its peak so far (0 at least) and how far below the peak it is; null profit carries."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = df.withColumn("equity", F.sum(F.coalesce(F.col(pnl), F.lit(0.0))).over(w)).withColumn("x", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    run = run.withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(w)))
+    """Equity after each row, its peak so far (0 at least) and how far below the peak it is; null profit carries. ``x`` is the row's place. A segmented scan, so one ledger is many tasks' work."""
+    run = scans.scan(df, keys, order, {"equity": scans.total(F.coalesce(F.col(pnl), F.lit(0.0))), "x": scans.total(F.lit(1))}, {"peak": "equity"})
+    run = run.withColumns({"x": F.col("x").cast("int"), "peak": F.greatest(F.lit(0.0), F.col("peak"))})
     return run.withColumn("drawdown", F.col("peak") - F.col("equity"))
 
 
@@ -66,13 +66,11 @@ def bankroll(df: DataFrame, keys: list[str], order: list[str], share: str, outco
     """Compounding: each stake is a share of what is left, so a row multiplies the bankroll by 1 + share * outcome.
 
     ``outcome`` is profit per unit staked. Products are sums of logarithms with the sign of ruin kept apart: once a factor is
-    zero or less the bankroll stays 0.
+    zero or less the bankroll stays 0. A segmented scan, so one ledger is many tasks' work.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     factor = 1 + F.coalesce(F.col(share) * F.col(outcome), F.lit(0.0))
-    run = df.withColumn("_f", factor).withColumn("_ruined", F.max((F.col("_f") <= 0).cast("int")).over(w))
-    grown = F.exp(F.sum(F.when(F.col("_f") > 0, F.log("_f")).otherwise(0.0)).over(w)) * start
-    return run.withColumn("bankroll", F.when(F.col("_ruined") == 1, 0.0).otherwise(grown)).drop("_f", "_ruined")
+    run = scans.scan(df, keys, order, {"_log": scans.total(F.when(factor > 0, F.log(factor)).otherwise(0.0)), "_ruined": scans.most((factor <= 0).cast("int"))})
+    return run.withColumn("bankroll", F.when(F.col("_ruined") == 1, 0.0).otherwise(F.exp("_log") * start)).drop("_log", "_ruined")
 
 
 def standardised(df: DataFrame, keys: list[str], *columns: str, null_as_zero: bool = False) -> DataFrame:
@@ -95,24 +93,9 @@ def winsorised(df: DataFrame, keys: list[str], x: str, lo: float = 0.01, hi: flo
     return joined.withColumn("clipped", F.when(F.col(x).isNotNull(), clipped)).withColumn("z", F.when(F.col(x).isNotNull(), z)).drop("_lo", "_hi", "_m", "_s")
 
 
-def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str, blocks: int = 64) -> DataFrame:
-    """``name``: the rank of each row in its key by ``order`` (from 1, nulls first), without sorting a key in one task.
-
-    Rows are cut into ``blocks`` runs of about equal size, ranked in their run, and the counts of the key's earlier runs are added. The cuts
-    come from the rows that hash lowest, so every evaluation finds the same ones; they decide the balance only, never a rank.
-    """
-    by = [*keys, *order]
-    some = df.select(*by).orderBy(F.xxhash64(*by), *by).limit(16 * blocks)
-    cuts = some.agg(F.sort_array(F.collect_list(F.struct(*by))).alias("_all")).select(F.expr("filter(_all, (c, i) -> i % 16 = 15)").alias("_cuts"))
-    ran = df.crossJoin(F.broadcast(cuts)).withColumn("_run", F.size(F.filter("_cuts", lambda c: c < F.struct(*by)))).drop("_cuts")  # one row of at most ``blocks`` cuts
-    inside = ran.withColumn(name, F.row_number().over(Window.partitionBy("_run", *keys).orderBy(*order)))
-    counts = ran.groupBy(*keys, "_run").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_run").alias("_at"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
-    same = F.col("_run") == F.col("_at")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return inside.join(counts, same).withColumn(name, F.col(name) + F.col("_first")).drop("_run", "_at", "_first", *[f"_k{i}" for i in range(len(keys))])
+def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str, blocks: int | None = None) -> DataFrame:
+    """``name``: the rank of each row in its key by ``order`` (from 1, nulls first), by a segmented scan, so no key is sorted by one task."""
+    return scans.scan(df, keys, order, {name: scans.total(F.lit(1))}, blocks=blocks)
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, tie: str) -> DataFrame:

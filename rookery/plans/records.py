@@ -80,6 +80,18 @@ def bankrolls(spark, d):
     return run.groupBy("book").agg(numbers.stable(F.max_by("bankroll", F.struct("game", "week", "part")), 2).alias("bankroll"))
 
 
+LEDGER = "order by week, game, part rows unbounded preceding"
+
+
+@query(f"""with e as (select week, sum(coalesce(pnl, 0)) over ({LEDGER}) as equity, row_number() over ({LEDGER.removesuffix(" rows unbounded preceding")}) as x from bets ), p as (select *, greatest(0.0, max(equity) over (order by x rows unbounded preceding)) as peak from e)
+  select week, count(*) as n, max(x) as last, {st('max(peak - equity)', 0)} as max_drawdown, {st('max(peak)', 0)} as peak, {st('max_by(equity, x)', 0)} as equity from p group by 1""")
+def whole_ledger(spark, d):
+    """All bets as one ledger, week after week: its places, peak, drawdown and equity at each week's end."""
+    run = windows.drawdown(bets(spark, d), [], ["week", "game", "part"], "pnl")
+    run = run.groupBy("week").agg(F.count("*").alias("n"), F.max("x").cast("bigint").alias("last"), F.max("drawdown").alias("max_drawdown"), F.max("peak").alias("peak"), F.max_by("equity", "x").alias("equity"))
+    return run.withColumns({c: numbers.stable(c, 0) for c in ("max_drawdown", "peak", "equity")})
+
+
 #: All bets, cut by market into two strategies.
 STRATEGIES = "h as (select game, min(case when edge > 0 then 'home' else 'away' end) as side from bets where market = 'O' group by 1), o as (select game, min(case when result = 'win' then 'home' else 'away' end) as side from bets where market <> 'O' group by 1)"
 
