@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.numbers import clamp, conference_adjustment, decay, home_field, shrink, shrink_factor, tier
+from rookery.operators import graphs
 from rookery.operators.windows import standardised
 
 NETS = ("epa", "sr", "explosive", "ppa", "havoc", "finish", "field")
@@ -139,30 +139,14 @@ def strength_passes(ratings: DataFrame, games: DataFrame, passes: int = 3, toler
     return start.select("team", F.col("now").alias("adjusted"), shrink("now", F.lit(prior), shrink_factor("confidence", "games")).alias("rating"))
 
 
-def normal_equations(games: DataFrame, weight: str | None = None) -> tuple[list, np.ndarray, np.ndarray]:
-    """Teams, and the matrix and vector of the least-squares rating system, summed in Spark: one row to a pair of teams reaches the driver."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    t = team_games(games).withColumn("_w", w)
-    sums = t.groupBy("team", "opponent").agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("margin")).alias("b")).collect()
-    teams = sorted({r.team for r in sums} | {r.opponent for r in sums})
-    place = {name: i for i, name in enumerate(teams)}
-    a, b = np.zeros((len(teams), len(teams))), np.zeros(len(teams))
-    for r in sums:
-        i, j = place[r.team], place[r.opponent]
-        a[i, i] += r.w
-        a[i, j] -= r.w
-        b[i] += r.b
-    return teams, a, b
-
-
 def massey(games: DataFrame, ridge: float = 1e-6, prior: dict | None = None, weight: str | None = None) -> DataFrame:
-    """Ratings whose differences fit margins: (A + ridge) x = b + ridge * prior, centred. The system has a row to a team."""
-    teams, a, b = normal_equations(games, weight)
-    known = np.array([(prior or {}).get(t, 0.0) for t in teams])
-    x = np.linalg.solve(a + ridge * np.eye(len(teams)), b + ridge * known) if teams else np.zeros(0)
-    x = x - x.mean() if len(x) else x
-    kind = games.schema["home"].dataType.simpleString()
-    return games.sparkSession.createDataFrame([(t, float(v)) for t, v in zip(teams, x)], f"team {kind}, rating double")
+    """Ratings whose differences fit margins: (A + ridge) x = b + ridge * prior, centred. Solved over tables, so any number of teams will do."""
+    links = graphs.edges(games, (F.col("home_score") - F.col("away_score")).cast("double"), F.col(weight) if weight else None)
+    teams = graphs.nodes(links)
+    if prior:
+        known = F.create_map(*[F.lit(x) for pair in prior.items() for x in pair])
+        teams = teams.withColumn("b", F.col("b") + ridge * F.coalesce(F.element_at(known, F.col("team")).cast("double"), F.lit(0.0)))
+    return graphs.centred(graphs.solve(links, teams, ridge, "b", scaled=False), F.col("x_b"))
 
 
 def team_hfa(residuals: DataFrame, prior_games: float = 8.0) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.numbers import clamp, ratio
 from rookery.operators.asof import in_window
 from rookery.operators.aggregates import nearest_rank
+from rookery.operators import graphs
 from rookery.operators.ratings import adjusted_nets, team_games
 from rookery.operators.windows import EWMA_3, EWMA_5, ewma, ordinal, rest, standardised
 
@@ -194,32 +194,23 @@ def matched_game(left: DataFrame, games: DataFrame, on: list[str], at: str, date
     return out.withColumns({value: F.coalesce(F.col("_near")[value], only), "how": how}).drop("_near", "_n", "_only", "_apart")
 
 
-def market_fit(games: DataFrame, prior: DataFrame, ridge: float = 0.1, most: float = 35.0, least_games: int = 50, most_teams: int = 5000) -> tuple[DataFrame, float]:
+def market_fit(games: DataFrame, prior: DataFrame, ridge: float = 0.1, most: float = 35.0, least_games: int = 50) -> tuple[DataFrame, float]:
     """Ratings (team, rating) that fit market targets of games (home, away, target, row_weight) with one home-field constant, drawn to a standardised ``prior`` (team, prior), and that constant.
 
-    Targets over ``most`` are left out, and fewer than ``least_games`` others are an error. Spark sums the equations, a row to a pair of teams; the dense
-    system has a row to a team, so more than ``most_teams`` are refused.
+    Targets over ``most`` are left out, and fewer than ``least_games`` others are an error; teams without a prior have 0 before it is standardised. The
+    constant is eliminated: one solve fits the targets, one the games at home, and both over tables, so any number of teams will do.
     """
-    kept = games.where(F.abs("target") <= most)
-    sums = kept.groupBy("home", "away").agg(F.sum("row_weight").alias("w"), F.sum(F.col("row_weight") * F.col("target")).alias("b"), F.count("*").alias("n"))
-    names = kept.select(F.explode(F.array("home", "away")).alias("team")).distinct()
-    if names.limit(most_teams + 1).count() > most_teams:
-        raise ValueError(f"more than {most_teams} teams")
-    known = {r.team: r.prior for r in names.join(prior, "team", "left").groupBy("team").agg(F.coalesce(F.first("prior", True).cast("double"), F.lit(0.0)).alias("prior")).collect()}
-    pairs = sums.collect()
-    if sum(r.n for r in pairs) < least_games:
+    kept = games.where((F.abs("target") <= most) & F.col("row_weight").isNotNull())
+    links = graphs.edges(kept, F.col("target"), F.col("row_weight"))
+    every = links.agg(F.sum("n").alias("n")).first().n or 0
+    if every // 2 < least_games:
         raise ValueError(f"fewer than {least_games} games")
-    teams = sorted(known)
-    place, n = {t: i for i, t in enumerate(teams)}, len(teams)
-    p = np.array([known[t] for t in teams])
-    p = (p - p.mean()) / p.std() if p.std() > 1e-10 else np.zeros(n)
-    a, b = np.zeros((n + 1, n + 1)), np.zeros(n + 1)
-    for r in pairs:
-        at, sign = [place[r.home], place[r.away], n], np.array([1.0, -1.0, 1.0])
-        a[np.ix_(at, at)] += r.w * np.outer(sign, sign)
-        b[at] += r.b * sign
-    a[np.arange(n), np.arange(n)] += ridge
-    b[:n] += ridge * p
-    x = np.linalg.solve(a, b)
-    kind = games.schema["home"].dataType.simpleString()
-    return games.sparkSession.createDataFrame([(t, float(v)) for t, v in zip(teams, x[:n] - x[:n].mean())], f"team {kind}, rating double"), float(x[n])
+    known = prior.groupBy("team").agg(F.first("prior", True).cast("double").alias("p"))
+    teams = graphs.nodes(links).join(known, "team", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    spread = teams.agg(F.avg("p").alias("_m"), F.stddev_pop("p").alias("_s"))
+    teams = teams.crossJoin(F.broadcast(spread)).withColumn("b", F.col("b") + ridge * F.when(F.col("_s") > 1e-10, (F.col("p") - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("p", "_m", "_s")  # one row
+    found = graphs.solve(links, teams, ridge, "b", "c")
+    s = found.agg(F.sum(F.col("c") * F.col("x_b")).alias("cb"), F.sum(F.col("c") * F.col("x_c")).alias("cc")).first()
+    whole = kept.agg(F.sum("row_weight").alias("w"), F.sum(F.col("row_weight") * F.col("target")).alias("b")).first()
+    hfa = (whole.b - s.cb) / (whole.w - s.cc)
+    return graphs.centred(found, F.col("x_b") - F.lit(float(hfa)) * F.col("x_c")), float(hfa)

@@ -31,7 +31,8 @@ def _with(names: list[str], sql: str) -> str:
     views = ", ".join(f"{n} as ({VIEWS[n]})" for n in names)
     if not views:
         return sql
-    return f"with {views}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {views} {sql}"
+    start = "with recursive " if sql.lower().startswith("with recursive ") else "with "
+    return f"{start}{views}, {sql[len(start):]}" if sql.lower().startswith("with ") else f"with {views} {sql}"
 
 
 def st(x: str, places: int = 4) -> str:

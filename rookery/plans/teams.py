@@ -127,12 +127,6 @@ def balanced_rating(spark, d):
     return rounded(ratings.balanced_rating(_seasons(spark, d), ["season"], ("pf", "pa")), "rating").select("team", "season", "rating")
 
 
-@query()
-def massey_rating(spark, d):
-    """No oracle: a linear system. Tests compare it with the residuals it must leave."""
-    return rounded(ratings.massey(games(spark, d).withColumn("home_score", F.col("home_score").cast("double"))), "rating")
-
-
 @query()
 def strength_adjusted(spark, d):
     """No oracle: passes that stop by a tolerance."""

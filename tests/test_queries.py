@@ -52,5 +52,5 @@ def test_matches_oracle(spark, duck, name):
 
 
 def test_all_but_the_iterative_queries_have_an_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"massey_rating", "strength_adjusted", "elastic_net_grid", "walk_forward"}
+    assert set(QUERIES) - set(ORACLES) == {"strength_adjusted", "elastic_net_grid", "walk_forward"}
     assert set(ORACLES) <= set(QUERIES)
