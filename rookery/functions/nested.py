@@ -14,9 +14,53 @@ def path(json: Column, schema: str, *names: str) -> Column:
     return value
 
 
-def with_key(json: Column, schema: str, key: str, value: Column) -> Column:
-    """The document with one key set and all others kept."""
-    return F.to_json(F.coalesce(F.from_json(json, schema), F.from_json(F.lit("{}"), schema)).withField(key, value))
+def opened(json: Column) -> Column:
+    """The document as a variant, whatever it holds; null where it is no JSON."""
+    return F.try_parse_json(json)
+
+
+def found(document: Column, path: str, kind: str = "string") -> Column:
+    """A value of a variant at a JSON path such as ``$.a[0].b``; null where the path breaks off or the value is of another kind."""
+    return F.try_variant_get(document, path, kind)
+
+
+def _fields(document: Column) -> Column:
+    """The fields of a variant object; other documents and null have none."""
+    nothing = F.create_map().cast("map<string,variant>")
+    return F.coalesce(F.when(F.schema_of_variant(document).startswith("OBJECT"), F.try_variant_get(document, "$", "map<string,variant>")), nothing)
+
+
+def with_path(document: Column, names: tuple[str, ...], value: Column) -> Column:
+    """The variant with the value at ``names`` set, objects made on the way where there are none, and all other keys kept."""
+    held, (key, *rest) = _fields(document), names
+    new = with_path(held[key], tuple(rest), value) if rest else value.cast("variant")
+    others = F.map_filter(held, lambda k, _: k != key)
+    return F.to_variant_object(F.map_concat(others, F.create_map(F.lit(key), F.coalesce(new, F.parse_json(F.lit("null"))))))
+
+
+def with_key(json: Column, key: str, value: Column) -> Column:
+    """The JSON object with one key set and all others kept, declared or not; what is no object counts as an empty one, a null value becomes the JSON null."""
+    return F.to_json(with_path(opened(json), (key,), value))
+
+
+def merged(json: Column, changes: Column) -> Column:
+    """The JSON object with all keys of another in place of its own."""
+    old, new = _fields(opened(json)), _fields(opened(changes))
+    return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new))
+
+
+def parts(df: DataFrame, document: str, path: str, name: str) -> DataFrame:
+    """A row to each element of the array at a path of a variant column, as the variant ``name``; a row without elements stays, with null."""
+    return df.withColumn(name, F.explode_outer(F.try_variant_get(F.col(document), path, "array<variant>")))
+
+
+def open_quotes(events: DataFrame, document: str, *kept: str) -> DataFrame:
+    """``flat_quotes`` of events as JSON text: no schema is declared, and ``rest`` holds each outcome whole, so a provider's new fields are not lost."""
+    df = parts(events.select(*kept, opened(F.col(document)).alias("_d")), "_d", "$.bookmakers", "_b")
+    df = parts(parts(df, "_b", "$.markets", "_m"), "_m", "$.outcomes", "_o")
+    own = [found(F.col("_d"), "$.id").alias("event_id"), found(F.col("_d"), "$.commence_time", "timestamp").alias("commence_time"), *kept]
+    book = [found(F.col("_b"), "$.key").alias("book"), found(F.col("_b"), "$.last_update", "timestamp").alias("ts"), found(F.col("_m"), "$.key").alias("market")]
+    return df.select(*own, *book, found(F.col("_o"), "$.name").alias("name"), found(F.col("_o"), "$.price", "double").alias("price"), found(F.col("_o"), "$.point", "double").alias("point"), F.to_json("_o").alias("rest"))
 
 
 def flat_quotes(events: DataFrame, *kept: str) -> DataFrame:

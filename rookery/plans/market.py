@@ -214,10 +214,30 @@ def json_path(spark, d):
 
 @query("select event_id, cast(json_extract(props, '$.k') as integer) as k, event_type as kind from events ")
 def json_set_key(spark, d):
-    merged = nested.with_key(F.col("props"), "k int, kind string", "kind", F.col("event_type"))
+    merged = nested.with_key(F.col("props"), "kind", F.col("event_type"))
     return table(spark, d, "events").select("event_id", F.from_json(merged, "k int, kind string").alias("p")).select("event_id", "p.k", "p.kind")
 
 
+#: Each event's document, with keys that no schema declares: an object in an object, an array of mixed kinds, a null.
+_OPEN = """'{"id":' || event_id || ',"zone":{"id":' || user_id || ',"tags":["' || event_type || '",2,null]},"note":null,"p":' || coalesce(props, '{}') || '}'"""
+
+
+@query(f"""with o as (select event_id, event_type, value, cast({_OPEN} as json) as j from events ) select event_id, event_type as kind, cast(j->>'$.zone.id' as bigint) as zone, event_id as seen, j->>'$.zone.tags[0]' as tag, 2::bigint as second, cast(json_array_length(j, '$.zone.tags') as integer) as n_tags,
+  cast(j->>'$.p.k' as integer) as k, case when value > 50 then 'high' end as note, json_type(j, '$.note') = 'NULL' and value <= 50 as note_is_null, 6 as n_keys from o""")
+def json_open_keys(spark, d):
+    """Keys set at the top and inside an object, a merge of two documents: all other keys stay, though none is declared."""
+    e = table(spark, d, "events").withColumn("doc", F.expr(_OPEN))
+    doc = nested.with_path(nested.opened(F.col("doc")), ("zone", "seen"), F.col("event_id"))
+    doc = nested.with_path(doc, ("made", "here"), F.lit(True))
+    patch = F.to_json(F.struct(F.col("event_type").alias("kind"), F.when(F.col("value") > 50, "high").alias("note")))
+    e = e.withColumn("doc", nested.merged(F.to_json(doc), patch)).withColumn("v", nested.opened(F.col("doc")))
+    at = lambda path, kind="string": nested.found(F.col("v"), path, kind)
+    return e.select(
+        "event_id", at("$.kind").alias("kind"), at("$.zone.id", "bigint").alias("zone"), at("$.zone.seen", "bigint").alias("seen"), at("$.zone.tags[0]").alias("tag"), at("$.zone.tags[1]", "bigint").alias("second"), F.size(at("$.zone.tags", "array<variant>")).alias("n_tags"),
+        at("$.p.k", "int").alias("k"), at("$.note").alias("note"), F.is_variant_null(at("$.note", "variant")).alias("note_is_null"), F.size(F.json_object_keys("doc")).alias("n_keys"),
+    )
+
+
 @query("with d as (select distinct ts::date as date from quotes ), r as (select date, dense_rank() over (order by date) as n from d) select q.quote_id, r.date from quotes q join r on r.date = q.ts::date where r.n <= 3")
 def first_dates(spark, d):
     from pyspark.sql import Window

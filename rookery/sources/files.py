@@ -39,6 +39,8 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def pivoted(long: DataFrame, keys: list[str], name: str, value: str, fields: list[str]) -> DataFrame:
-    """Long statistics to one column a field; the list of fields is fixed, so there is no job to find them."""
-    return long.withColumn("_f", field_name(F.col(name))).groupBy(*keys).pivot("_f", fields).agg(F.max(value))
+def pivoted(long: DataFrame, keys: list[str], name: str, value: str, fields: list[str], order: list[str]) -> DataFrame:
+    """Long statistics to one column a field; of rows of a field the last by ``order`` whose value is a number. The list of fields is fixed, so there is no job to find them."""
+    number = F.col(value).try_cast("double")
+    at = lambda f: F.when((field_name(F.col(name)) == f) & number.isNotNull() & ~F.isnan(number), F.struct(*order))
+    return long.groupBy(*keys).agg(*[F.max_by(number, at(f)).alias(f) for f in fields])

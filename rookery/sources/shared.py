@@ -31,12 +31,18 @@ def _file(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``df`` as a table with its lineage cut, and its path; the table goes when the driver ends."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder; what is put there goes when the driver ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     place, system = _file(spark, path)
     system.deleteOnExit(place)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` as a table with its lineage cut, and its path; the table goes when the driver ends."""
+    spark = df.sparkSession
+    path = fresh(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

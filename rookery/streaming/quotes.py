@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rookery.operators.keyed import KeyedTable
+
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -44,8 +46,13 @@ def drained(df: DataFrame, name: str, checkpoint: str, mode: str = "append") ->
     return df.sparkSession.table(name)
 
 
+def upserted(df: DataFrame, table: KeyedTable, checkpoint: str):
+    """Merges every batch into a keyed table: a batch rewrites the buckets of its keys alone, and one that is run again changes nothing."""
+    return df.writeStream.foreachBatch(lambda batch, _: table.merge(batch)).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def merged(df: DataFrame, path: str, keys: list[str], checkpoint: str, ts: str = "ts", tie: str = "event_id"):
-    """Upsert every batch into a Parquet table, the newest row of a key, which may be the table's own, winning; batches are written to numbered folders and readers take the newest, so a batch that is run again replaces itself."""
+    """For tables small enough to be rewritten (else ``upserted``): upsert every batch into a Parquet table, the newest row of a key, which may be the table's own, winning; batches are written to numbered folders and readers take the newest, so a batch that is run again replaces itself."""
     from rookery.operators.dedup import latest_per_key
 
     def put(batch: DataFrame, number: int) -> None:
