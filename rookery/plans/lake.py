@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from rookery.operators.keyed import KeyedTable
 from rookery.plans.market import SPLIT, _halves
-from rookery.plans.registry import query
+from rookery.plans.registry import kicks, query, quotes
 from rookery.session import table
 from rookery.sources import files
 from rookery.sources.ingest import Feed, Lake, field
 from rookery.sources.shared import fresh
+from rookery.streaming import closing
+from rookery.streaming.quotes import stream
 
 
 @query(f"with {SPLIT}, m as (select * from n union all select o.* from o left join n using (game, book) where n.line is null), d as (select m.* from m left join n using (game, book) where not coalesce(n.line > 50, false)) select * from d union all select o.* from o left join d using (game, book) where d.line is null")
@@ -56,3 +58,18 @@ def last_numbers(spark, d):
     value = F.when(F.col("l_suppkey") % 5 == 0, F.when(F.col("l_suppkey") % 2 == 0, "n/a")).otherwise(F.col("l_quantity").cast("string"))
     long = table(spark, d, "lineitem").withColumns({"stat_name": name, "stat_value": value})
     return files.pivoted(long, ["l_orderkey"], "stat_name", "stat_value", ["pass_yards", "plays"], ["l_linenumber", "l_partkey"])
+
+
+@query("with k as (select game, min(kick) as kick from kicks group by 1), a as (select k.game, q.line, q.ts, row_number() over (partition by k.game order by q.ts desc, q.quote_id desc) as n from k join quotes q on q.game = k.game and q.ts <= k.kick) select k.game, a.line, a.ts from k left join a on a.game = k.game and a.n = 1")
+def streamed_closing(spark, d):
+    """Each game's closing quote by a stream over quotes that land out of order, and the correction for those that were too late."""
+    place = fresh(spark, "closing")
+    q = quotes(spark, d).select("game", "ts", "quote_id", "line")
+    shuffled = F.unix_micros("ts") + (F.xxhash64("quote_id") % 86_400) * 1_000_000
+    q.repartitionByRange(6, shuffled).write.parquet(f"{place}/landed")
+    k = kicks(spark, d).groupBy("game").agg(F.min("kick").alias("kick"))
+    landed = stream(spark, f"{place}/landed", "game bigint, ts timestamp, quote_id bigint, line double", files=2)
+    closed = closing.closing(landed, k, late="1 day", live=400 * 86_400)
+    closed.writeStream.format("parquet").option("path", f"{place}/closed").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(closing.CLOSED).parquet(f"{place}/closed")
+    return closing.corrected(done, spark.read.schema(q.schema).parquet(f"{place}/landed"), k)
