@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rookery.operators import graphs, ratings, training
+from rookery.operators import graphs, linear, ratings, training
 from rookery.plans.registry import games, query, rounded, st
 from rookery.plans.teams import TG
 
@@ -75,3 +75,30 @@ def market_ratings(spark, d):
     rows = g.select("home", "away", (F.col("home_score") - F.col("away_score")).cast("double").alias("target"), F.when(F.col("season") % 2 == 0, 1.0).otherwise(0.6).alias("row_weight"))
     found, hfa = training.market_fit(rows, prior)
     return rounded(found.withColumn("hfa", F.lit(hfa)), "rating", "hfa")
+
+
+#: Sums of all earlier weeks, and the closed form of the fit on two predictors.
+_EARLIER = ", ".join(f"sum({x}) over w as {n}" for n, x in {"n": "n", "x": "x", "z": "z", "y": "y", "xx": "xx", "zz": "zz", "xz": "xz", "xy": "xy", "zy": "zy"}.items())
+_WALK = f"""p as (select game, cast(month(date) as integer) as week, home::double as x, away::double as z, (home_score - away_score)::double as y from games ),
+  s as (select week, count(*) as n, sum(x) as x, sum(z) as z, sum(y) as y, sum(x * x) as xx, sum(z * z) as zz, sum(x * z) as xz, sum(x * y) as xy, sum(z * y) as zy from p group by 1),
+  c as (select week, {_EARLIER} from s window w as (order by week rows between unbounded preceding and 1 preceding)),
+  v as (select week, n, x / n as mx, z / n as mz, y / n as my, xx / n - x / n * x / n as vx, zz / n - z / n * z / n as vz, xz / n - x / n * z / n as vxz, xy / n - x / n * y / n as vxy, zy / n - z / n * y / n as vzy from c),
+  b as (select *, (vxy * vz - vzy * vxz) / (vx * vz - vxz * vxz) as bx, (vzy * vx - vxy * vxz) / (vx * vz - vxz * vxz) as bz from v),
+  r as (select game, p.week, p.y, my + bx * (p.x - mx) + bz * (p.z - mz) as prediction from p join b using (week))"""
+
+
+def _walked(spark, d):
+    from rookery.plans.teams import _features
+
+    return linear.residual_walk(_features(spark, d), ["f1", "f2"], "f1", ["f2"], "margin", "week", 0.0, 0.5)
+
+
+@query(f"with {_WALK} select game, week, {st('prediction')} as prediction from r")
+def residual_walk(spark, d):
+    """Each month by the fit on all earlier ones, the second feature as what the first leaves of it: without a penalty that is the fit on both."""
+    return rounded(_walked(spark, d), "prediction").select("game", "week", "prediction")
+
+
+@query(f"with {_WALK}, m as (select avg(y) as mean from r) select {st('sqrt(avg(power(y - prediction, 2)))')} as rmse, {st('1 - sum(power(y - prediction, 2)) / sum(power(y - mean, 2)) filter (where prediction is not null)')} as r2, {st('corr(y, prediction)')} as pearson, count(prediction) as n from r, m")
+def residual_walk_score(spark, d):
+    return rounded(linear.scored(_walked(spark, d), "prediction", "margin"), "rmse", "r2", "pearson")
