@@ -4,8 +4,9 @@ Each page is parsed twice. First every container of a page is scored by its text
 the generalised path (tags with classes, numbers left out) of its best one. Spark counts the votes of each
 host. Then each page is parsed again and the elements on its host's winning path give its text; a page without
 such an element uses its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are left out wherever they stand. In an article, and for elements of running text, a class or id
-counts as one of these only if it says nothing else: share-links does, share-price does not.
+styles and reader comments are left out wherever they stand. A class or id counts as one of these only if a part of it says nothing else and no part names
+the article: share-links does, share-price and post recommended do not. An element whose name just holds such a word goes if it is mostly
+links or holds less than a quarter of the page's text (in an article, and for elements of running text, it stays).
 
 Null html is an empty page with empty text, an empty table an empty result. Pages of any length and depth are read whole;
 other columns, whatever their names, do not matter. Pages without a host in their url vote together. Rows of a repeated page_id are pages of their own.
@@ -18,6 +19,7 @@ from bisect import bisect_right
 from collections import Counter
 from html import unescape
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,10 @@ BOILERPLATE = frozenset(
 )
 # Words that only say what kind of box an element is.
 BOX = frozenset("area bar block box btn button buttons container content group icon icons inner item items link links list module outer panel post posts row section site top bottom wrap wrapper".split())
+# Words that name the article or the box it is in.
+CONTENT = frozenset("article body content entry main page post story text".split())
+#: Of the page's text and of its own, how much text without links an element of a doubtful name needs to stay.
+SHARE, PLAIN = 0.25, 0.5
 # Elements of running text, whose class names speak of the text more often than of the page.
 TEXT = frozenset("a b blockquote code em figure h1 h2 h3 h4 h5 h6 i li p pre span strong td th tr".split())
 _TOKEN = re.compile(
@@ -66,7 +72,10 @@ class Page:
         self._open: Counter = Counter()
         self._stack, self._out, self._dropped, self._anchors = [0], [], 0, 0
         self._length = 0
+        self._doubts: list[int] = []
         self._parse(html)
+        if self._doubts:
+            self._settle()
 
     def _text(self, raw: str) -> None:
         if raw and not self._dropped:
@@ -90,6 +99,7 @@ class Page:
         self._anchors -= self.tags[at] == "a"
 
     def _boilerplate(self, tag: str, rest: str) -> tuple[bool, str]:
+        """Whether an element goes, and the class part of its path. A name says so if one of its parts says nothing else and no part names the article; a name that just holds such a word is a doubt, settled by ``_settle``."""
         words, tokens, classes, hidden = set(), [], "", False
         for m in _NAME.finditer(rest) if rest else ():
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -107,9 +117,34 @@ class Page:
             return not (self._open["article"] or self._open["main"]), classes
         if tag in DROPPED or hidden:
             return True, classes
-        if tag in TEXT or self._open["article"] or self._open["main"]:  # only a name that says nothing else, such as share-links but not share-price
-            return any(t & BOILERPLATE and t <= BOILERPLATE | BOX for t in tokens), classes
-        return not BOILERPLATE.isdisjoint(words), classes
+        says = any(t & BOILERPLATE and t <= BOILERPLATE | BOX for t in tokens)  # nothing else, such as share-links but not share-price
+        if tag in TEXT or self._open["article"] or self._open["main"]:
+            return says, classes
+        if says and not any(t & CONTENT and t <= CONTENT | BOX for t in tokens):
+            return True, classes
+        if not BOILERPLATE.isdisjoint(words) and not self._dropped:
+            self._doubts.append(len(self.tags))
+        return False, classes
+
+    def _settle(self) -> None:
+        """Takes out the text of doubtful elements that are mostly links or hold little of the page's text; those inside are settled first and no longer count."""
+        plain, linked = np.zeros(len(self.tags) + 1), np.zeros(len(self.tags) + 1)
+        for at, text, links in self.blocks:
+            plain[at + 1] += len(text) - links
+            linked[at + 1] += links
+        plain, linked = plain.cumsum(), linked.cumsum()
+        gone: list[tuple[int, float, float]] = []  # from the page's end to its start: element, text and links that went with it
+        for i in reversed(self._doubts):
+            own, links = (float(c[self.last[i] + 1] - c[i]) for c in (plain, linked))
+            inside = 0
+            while inside < len(gone) and gone[-1 - inside][0] <= self.last[i]:
+                own, links, inside = own - gone[-1 - inside][1], links - gone[-1 - inside][2], inside + 1
+            if own < PLAIN * (own + links) or own < SHARE * plain[-1]:
+                whole = (float(c[self.last[i] + 1] - c[i]) for c in (plain, linked))
+                gone[len(gone) - inside :] = [(i, *whole)]
+        starts = [g[0] for g in reversed(gone)]
+        if starts:
+            self.blocks = [b for b in self.blocks if not ((k := bisect_right(starts, b[0])) and b[0] <= self.last[starts[k - 1]])]
 
     def _parse(self, html: str) -> None:
         self._marks = [0]

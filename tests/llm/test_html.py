@@ -59,3 +59,39 @@ def test_class_words_inside_the_article():
     own = '<p class="share-price">one</p><p class="related-work">two</p><div class="share-links">no</div><div class="comments"><p>no</p></div>'
     assert html.Page(f"<article>{own}</article>").text(None) == "one\ntwo"
     assert html.Page("<article><p>one is here</p></article><article><p>two</p></article>").text(None) == "one is here\ntwo"
+
+
+SENTENCES = [f"Sentence {i} of the article says something of its own." for i in range(8)]
+BOXES = ("story", "site-content has-sidebar", "content-with-sidebar", "post comments-open", "entry no-ads", "page search-result", "main-widget", "post recommended", "single-post with-newsletter", "layout--no-banner", "wrap nav-closed", "post-12 share-enabled")
+
+
+def test_one_class_word_beside_others_takes_no_article():
+    for box in BOXES:
+        body = "".join(f"<p>{x}</p>" for x in SENTENCES)
+        assert html.Page(f'<body><div class="{box}"><h1>Title</h1>{body}</div></body>').text(None) == "\n".join(["Title", *SENTENCES]), box
+
+
+#: Parts of pages that are no article, by names of one or more words.
+NOISE = (
+    '<div class="related-articles"><a href=/1>Another story of the day</a> <a href=/2>And one more of them</a></div>', '<div class="cookie-message">We keep cookies. Accept them.</div>', '<div class="promo-strip-large">Buy now, pay later.</div>',
+    '<section id="site-navigation"><a href=/>Home</a> <a href=/x>Sports pages</a></section>', '<div class="share-buttons">Share this</div>', '<div class="widget widget-links"><a href=/3>Most read today</a></div>',
+    '<div class="comments-section"><p>Reader: I do not agree with any of it.</p></div>', '<div class="newsletter-signup-v2">Get it by mail. Sign up.</div>', '<div class="nav-below-post"><a href=/4>Older posts are here</a></div>',
+)
+
+
+def test_labelled_pages_have_full_recall_and_precision():
+    found = wanted = right = 0
+    for n, box in enumerate(BOXES):
+        noise = [NOISE[(n + k) % len(NOISE)] for k in range(4)]
+        body = "".join(f"<p>{x}</p>" + (noise[3] if i == 4 else "") for i, x in enumerate(SENTENCES))
+        got = html.Page(f'<body>{noise[0]}<div class="{box}">{body}{noise[1]}</div>{noise[2]}</body>').text(None).split("\n")
+        found, wanted, right = found + len(got), wanted + len(SENTENCES), right + len(set(got) & set(SENTENCES))
+    assert right == wanted and right == found
+
+
+def test_doubtful_names_are_settled_by_text_and_links():
+    links = "".join(f"<a href=/{i}>headline number {i} of today</a> " for i in range(30))
+    article = "<p>" + " ".join(SENTENCES) + "</p>"
+    assert html.Page(f'<div class="story">{article}</div><div class="latest-with-ads">{links}</div>').text("div.story") == " ".join(SENTENCES)
+    assert html.Page(f'<div class="has-sidebar">{article}<div class="read-related">{links}</div></div>').text(None) == " ".join(SENTENCES)
+    assert html.Page('<div class="no-ads"></div>').text(None) == ""
