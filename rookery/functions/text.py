@@ -134,3 +134,29 @@ def week_list(text: str) -> list[int]:
         lo, _, hi = part.partition("-")
         found.update(range(int(lo), int(hi or lo) + 1))
     return sorted(found)
+
+
+# Words that say nothing of which team is meant ("state" does), names that stand for another team's slug, and mascots of two words.
+FILLER = ("university", "univ", "college", "the", "football")
+EXCEPTIONS = {"sam houston state": "sam-houston", "sam houston": "sam-houston", "louisiana ragin cajuns": "louisiana", "louisiana ragincajuns": "louisiana", "louisiana ragin": "louisiana"}
+MASCOTS = ("crimson tide", "blue devils", "fighting irish", "nittany lions", "fighting illini", "sun devils", "golden hurricane", "demon deacons", "scarlet knights", "red wolves", "golden eagles", "black knights")
+
+
+def provider_name(x: Column) -> Column:
+    """A provider's team name as it is compared: lower case, letters, digits, blanks and dashes only (so A&M is am), without filler words."""
+    plain = F.regexp_replace(F.lower(x), r"[^a-z0-9\s-]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, rf"\b({'|'.join(FILLER)})\b", ""), r"\s+", " "))
+
+
+def excepted(x: Column) -> Column:
+    """The slug of the team that a name stands for by exception, or null; the longest exception it holds counts."""
+    name, low, found = provider_name(x), F.lower(x), F.lit(None).cast("string")
+    for key in sorted(EXCEPTIONS, key=len):
+        found = F.when(name.contains(key) | low.contains(key), EXCEPTIONS[key]).otherwise(found)
+    return found
+
+
+def without_mascot(x: Column) -> list[Column]:
+    """A normalised name without a mascot of two words at its end, and without its last word; null where there is none."""
+    two = F.when(x.rlike(rf" ({'|'.join(MASCOTS)})$"), F.regexp_replace(x, rf" ({'|'.join(MASCOTS)})$", ""))
+    return [two, F.when(x.contains(" "), F.regexp_replace(x, r" \S+$", ""))]

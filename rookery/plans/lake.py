@@ -1,12 +1,13 @@
-"""Queries on keyed tables and incremental ingests, over what Spark derives from the tables."""
+"""Queries on keyed tables, incremental ingests, streams and catalogues of names, over what Spark derives from the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rookery.operators import catalogue
 from rookery.operators.keyed import KeyedTable
 from rookery.plans.market import SPLIT, _halves
-from rookery.plans.registry import kicks, query, quotes
+from rookery.plans.registry import kicks, query, quotes, rounded, st
 from rookery.session import table
 from rookery.sources import files
 from rookery.sources.ingest import Feed, Lake, field
@@ -73,3 +74,20 @@ def streamed_closing(spark, d):
     closed.writeStream.format("parquet").option("path", f"{place}/closed").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     done = spark.read.schema(closing.CLOSED).parquet(f"{place}/closed")
     return closing.corrected(done, spark.read.schema(q.schema).parquet(f"{place}/landed"), k)
+
+
+_SUFFIX = lambda n: f"case when ({n}) % 4 = 0 then ' State' when ({n}) % 4 = 1 then ' Tech' when ({n}) % 4 = 2 then ' A&M' else '' end"
+_TEAMS = f"select min(p_partkey) as team_id, team from (select p_partkey, p_name || ' ' || p_brand || {_SUFFIX('p_size')} as team from part) group by team"
+_NAMES = f"select distinct 'The ' || p_brand || ' ' || p_name || {_SUFFIX('p_size + case when p_partkey % 3 = 0 then 1 else 0 end')} || case when p_partkey % 5 = 0 then ' University' when p_partkey % 5 = 1 then ' Extra' else '' end as name from part"
+_NORM = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9\s-]', '', 'g'), '\b(university|univ|college|the|football)\b', '', 'g'), '\s+', ' ', 'g'))"
+_TOKENS = lambda x: f"list_distinct(list_filter(string_split({_NORM(x)}, ' '), lambda w: w <> ''))"
+
+
+@query(rf"""with t as (select *, {_TOKENS('team')} as b, lower(team) as low from ({_TEAMS})), n as (select *, {_TOKENS('name')} as a, lower(name) as low from ({_NAMES})),
+  s as (select name, team_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as score from n join t on regexp_matches(n.low, '\bstate\b') = contains(t.low, 'state') and regexp_matches(n.low, '\btech\b') = contains(t.low, 'tech') and not (regexp_matches(n.low, '\ba&m\b|\bam\b') and not regexp_matches(t.low, 'a-m|a&m|am')))
+  select name, team_id, {st('score')} as score from s where score >= 0.6 - 1e-9""")
+def similar_teams(spark, d):
+    """Names of a provider and the teams of a catalogue that are like them: States, Techs and A&Ms keep apart."""
+    table(spark, d, "part").createOrReplaceTempView("catalogue_part")
+    teams, names = (spark.sql(x.replace("from part", "from catalogue_part")) for x in (_TEAMS, _NAMES))
+    return rounded(catalogue.similar(names, teams, 0.6), "score")
