@@ -200,14 +200,25 @@ def tiered_features(teams: DataFrame, recent: DataFrame, season: DataFrame, base
     return out.select("team", F.coalesce("_game", "_season", "_baseline").alias(column), source.alias("source"))
 
 
-def talent_gap(games: DataFrame, talent: DataFrame, least: int = 10, flat: float = 0.1) -> DataFrame:
-    """Home minus away talent; a missing value is the 10th percentile (nearest rank, of ``least`` values or more) and a season without spread has z 0."""
+# The conferences whose low talent stands for a team without any.
+G5 = ("American Athletic", "Conference USA", "Mid-American", "Mountain West", "Sun Belt")
+
+
+def talent_gap(games: DataFrame, talent: DataFrame, teams: DataFrame, least: int = 10, flat: float = 0.1) -> DataFrame:
+    """Home minus away talent (team, season, talent) of the game's season: ``gap``, ``gap_z`` and ``home_filled``, ``away_filled``.
+
+    A missing value is the 10th percentile of the season's teams in G5 conferences (team, conference), kept within their 5th and 25th (nearest ranks, of ``least`` values or
+    more; else it stays unknown). ``gap_z`` is the gap over the deviation of all the season's teams, 0 where that is less than ``flat``, null in a season without talent.
+    """
     from rookery.operators.aggregates import nearest_rank
 
-    p10 = nearest_rank(talent, [], "talent", {"p10": 0.1})
-    spread = talent.agg(F.stddev_pop("talent").alias("sd"), F.count("talent").alias("n"))
-    home, away = (talent.select(F.col("team").alias(s), F.col("talent").alias(f"{s}_talent")) for s in ("home", "away"))
-    both = games.join(home, "home", "left").join(away, "away", "left").crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(p10))
-    fill = lambda s: F.coalesce(f"{s}_talent", F.when(F.col("n") >= least, F.col("p10")))
-    gap = fill("home") - fill("away")
-    return both.withColumn("gap", gap).withColumn("gap_z", F.when(F.col("sd") < flat, 0.0).otherwise(gap / F.col("sd"))).drop("sd", "n", "p10")
+    known = talent.where(F.col("talent").isNotNull() & ~F.isnan("talent") & (F.abs("talent") != float("inf")))
+    low = known.join(teams.where(F.col("conference").isin(*G5)).select("team").distinct(), "team", "left_semi")
+    ranks = nearest_rank(low, ["season"], "talent", {"p5": 0.05, "p10": 0.1, "p25": 0.25}).join(low.groupBy("season").agg(F.count("*").alias("_n")), "season").where(F.col("_n") >= least)
+    fill = ranks.select("season", F.least(F.greatest("p10", "p5"), "p25").alias("_fill"))
+    spread = known.groupBy("season").agg(F.stddev_pop("talent").alias("_sd"))
+    home, away = (known.select(F.col("team").alias(s), "season", F.col("talent").alias(f"{s}_talent")) for s in ("home", "away"))
+    both = games.join(home, ["home", "season"], "left").join(away, ["away", "season"], "left").join(spread, "season", "left").join(fill, "season", "left")
+    gap = F.coalesce("home_talent", "_fill") - F.coalesce("away_talent", "_fill")
+    both = both.withColumns({"gap": gap, "home_filled": F.col("home_talent").isNull(), "away_filled": F.col("away_talent").isNull()})
+    return both.withColumn("gap_z", F.when(F.col("_sd") < flat, 0.0).otherwise(F.col("gap") / F.col("_sd"))).drop("_sd", "_fill")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rookery.functions.numbers import american_to_probability, conflict_bucket, degraded, home_field, moneyline_gate, moneyline_value, tier, win_probability
+from rookery.functions.numbers import american_to_probability, conflict_bucket, home_field, moneyline_gate, moneyline_side, moneyline_value, win_probability
 from rookery.operators.bets import moneyline_result, profit, spread_result, total_result
 from rookery.operators.windows import ordinal
 
@@ -72,22 +72,32 @@ def seed_lines(games: DataFrame, ratings: DataFrame, markets: DataFrame, hfa: fl
     return both.withColumn("confidence", F.when(edge >= steps[0], "A").when(edge >= steps[1], "B").otherwise("C"))
 
 
+def graded_market(edge: Column, a: float = 4.0, b: float = 3.0, c: float = 0.1) -> Column:
+    """The grade of one market's edge, 3 for A, 2 for B, 1 for C, else null."""
+    return F.when(edge >= a, 3).when(edge >= b, 2).when(edge >= c, 1)
+
+
 def built(games: DataFrame, ratings: DataFrame, lines: DataFrame, conflicts: DataFrame, base_hfa: float = 2.0, base_total: float = 45.0) -> DataFrame:
     """The slate: a row to a game with ratings, implied lines, edges, picks, moneyline, confidence and the bucket of its conflict.
 
-    ``lines`` has market_spread (home side's handicap turned to home minus away), market_total and home_price of a game, ``conflicts`` the conflict of
-    a hybrid bet. A game whose team or line is unknown stays, with nulls. Confidence drops a grade at disagreements over 10.
+    ``lines`` has market_spread (home side's handicap turned to home minus away), market_total, home_price and, if there is one, away_price of a game, ``conflicts`` the conflict of
+    a hybrid bet. A game whose team or line is unknown stays, with nulls. A market's grade is A from 4 points, B from 3 and C from .1; a moneyline's, of the side of more
+    than one per cent of value at spreads up to 24, A from 10, B from 5 and C from 1. Confidence is the best of the three, ``max_edge`` the largest edge or value.
     """
     side = lambda s: ratings.select(F.col("team").alias(s), F.col("rating").alias(f"{s}_rating"))
     g = games.join(side("home"), "home", "left").join(side("away"), "away", "left").join(lines, "game", "left").join(conflicts.select("game", "conflict"), "game", "left")
     spread = F.col("home_rating") - F.col("away_rating") + home_field(F.coalesce("neutral", F.lit(False)), base_hfa)
     g = g.withColumns({"implied_hma": spread, "implied_total": base_total + 0.5 * F.abs(F.col("home_rating") - F.col("away_rating"))})
     g = g.withColumns({"spread_edge": F.col("implied_hma") - F.col("market_spread"), "total_edge": F.col("implied_total") - F.col("market_total")})
-    most = F.greatest(F.abs("spread_edge"), F.abs("total_edge"))
-    grade = F.when(F.abs("spread_edge") > 10, degraded(tier(most))).otherwise(tier(most))
-    g = g.withColumns({"max_edge": most, "spread_pick": F.when(F.col("spread_edge") >= 0.1, "home").when(F.col("spread_edge") <= -0.1, "away"), "total_pick": F.when(F.col("total_edge") >= 2.5, "over").when(F.col("total_edge") <= -2.5, "under"), "confidence": grade})
-    value = moneyline_value(win_probability("implied_hma"), "home_price")
-    return g.withColumns({"home_value": value, "withheld": moneyline_gate("implied_hma", "market_spread", value), "bucket": conflict_bucket(F.col("conflict"), "spread_edge")})
+    g = g.withColumns({"spread_pick": F.when(F.col("spread_edge") >= 0.1, "home").when(F.col("spread_edge") <= -0.1, "away"), "total_pick": F.when(F.col("total_edge") >= 2.5, "over").when(F.col("total_edge") <= -2.5, "under")})
+    chance = win_probability("implied_hma")
+    value = moneyline_value(chance, "home_price")
+    other = moneyline_value(1 - chance, "away_price") if "away_price" in lines.columns else F.lit(None).cast("double")
+    g = g.withColumns({"home_value": value, "withheld": moneyline_gate("implied_hma", "market_spread", value), "bucket": conflict_bucket(F.col("conflict"), "spread_edge"), "_away": other})
+    g = g.withColumn("moneyline_side", F.when(F.abs("implied_hma") <= 24, moneyline_side("home_value", "_away")))
+    g = g.withColumn("moneyline_value", F.when(F.col("moneyline_side") == "home", F.col("home_value")).when(F.col("moneyline_side") == "away", F.col("_away"))).drop("_away")
+    best = F.greatest(graded_market(F.abs("spread_edge")), graded_market(F.abs("total_edge")), graded_market(F.col("moneyline_value"), 10.0, 5.0, 1.0))
+    return g.withColumns({"max_edge": F.greatest(F.abs("spread_edge"), F.abs("total_edge"), "moneyline_value"), "confidence": F.element_at(F.array(*map(F.lit, "CBA")), best)})
 
 
 def asserted(rows: DataFrame) -> DataFrame:

@@ -54,11 +54,18 @@ def tiered_features(spark, d):
     return ratings.tiered_features(spark.range(45).withColumnRenamed("id", "team"), *tiers, "pf")
 
 
-@query(f"""with t as (select range as team, cast(range * 37 % 101 as double) as talent from range(40) where range % 6 <> 0), s as (select stddev_pop(talent) as sd, list_sort(list(talent))[cast(floor(count(*) * 0.1) as bigint) + 1] as p10 from t),
-  g as (select game, coalesce(h.talent, p10) - coalesce(a.talent, p10) as gap, sd from games left join t h on h.team = home left join t a on a.team = away cross join s) select game, gap, {st('gap / sd')} as gap_z from g""")
+#: Conferences of the teams, and talent by team and season, of which some have none; 1995 has too few in the low conferences.
+_CONFERENCE = lambda n: f"case {n} % 8 when 0 then 'American Athletic' when 1 then 'SEC' when 2 then 'Sun Belt' when 3 then 'Big Ten' when 4 then 'Mid-American' when 5 then 'ACC' when 6 then 'Mountain West' else 'Big 12' end"
+
+
+@query(f"""with {TS}, ta as (select team, season, pf as talent from ts where team % 6 <> 0 and not (season = 1995 and team > 20)), lo as (select * from ta where {_CONFERENCE('team')} in ('American Athletic', 'Sun Belt', 'Mid-American', 'Mountain West')),
+  p as (select season, list_sort(list(talent)) as l, count(*) as n from lo group by 1 having count(*) >= 10), f as (select season, least(greatest(l[cast(floor(n * 0.1) as bigint) + 1], l[cast(floor(n * 0.05) as bigint) + 1]), l[cast(floor(n * 0.25) as bigint) + 1]) as fill from p), s as (select season, stddev_pop(talent) as sd from ta group by 1),
+  g as (select game, coalesce(h.talent, fill) - coalesce(a.talent, fill) as gap, sd, h.talent is null as home_filled, a.talent is null as away_filled from games g left join ta h on h.team = home and h.season = g.season left join ta a on a.team = away and a.season = g.season left join s on s.season = g.season left join f on f.season = g.season)
+  select game, {st('gap')} as gap, {st('case when sd < 0.1 then 0 else gap / sd end')} as gap_z, home_filled, away_filled from g""")
 def talent_gaps(spark, d):
-    talent = spark.range(40).where("id % 6 <> 0").select(F.col("id").alias("team"), (F.col("id") * 37 % 101).cast("double").alias("talent"))
-    return rounded(ratings.talent_gap(games(spark, d), talent).select("game", "gap", "gap_z"), "gap_z")
+    s = _seasons(spark, d).where("team % 6 <> 0 and not (season = 1995 and team > 20)").select("team", "season", F.col("pf").alias("talent"))
+    teams = _sides(spark, d).select("team").distinct().withColumn("conference", F.expr(_CONFERENCE("team")))
+    return rounded(ratings.talent_gap(games(spark, d), s, teams), "gap", "gap_z").select("game", "gap", "gap_z", "home_filled", "away_filled")
 
 
 _IMPLIED = "case when {0} < 0 then -{0} / (100.0 - {0}) else 100.0 / ({0} + 100.0) end"

@@ -184,7 +184,9 @@ SLATE = f"""{RATINGS}, fq as (select game, book, line, row_number() over (partit
   sg as (select kick_id as game, game as user_game, game % 40 as home, (game * 7 + 3) % 40 as away, kick_id % 9 = 0 as neutral, kick as date, case kick_id % 4 when 0 then 'strong' when 1 then 'weak' when 2 then 'hybrid_only' end as conflict from kicks ),
   sl as (select sg.*, h.rating as hr, a.rating as ar, market_spread, market_total, home_price, h.rating - a.rating + case when neutral then 0 else 2.0 end as hma, 45.0 + 0.5 * abs(h.rating - a.rating) as tot from sg left join ra h on h.team = home left join ra a on a.team = away left join li on li.game = user_game),
   se as (select *, hma - market_spread as spread_edge, tot - market_total as total_edge, greatest(abs(hma - market_spread), abs(tot - market_total)) as me from sl),
-  sv as (select *, (greatest(0.01, least(0.99, 1 / (1 + power(10.0, -hma / 14.5)))) - home_price / (home_price - 100)) * 100 as value, case when me >= 4 then 'A' when me >= 3 then 'B' when me >= 2 then 'C' end as t from se)"""
+  sm as (select *, (greatest(0.01, least(0.99, 1 / (1 + power(10.0, -hma / 14.5)))) - home_price / (home_price - 100)) * 100 as value from se),
+  sn as (select * exclude (me), case when abs(hma) <= 24 and value > 1 then value end as mv, greatest(me, case when abs(hma) <= 24 and value > 1 then value end) as me from sm),
+  sv as (select *, case when abs(spread_edge) >= 4 or abs(total_edge) >= 4 or mv >= 10 then 'A' when abs(spread_edge) >= 3 or abs(total_edge) >= 3 or mv >= 5 then 'B' when abs(spread_edge) >= 0.1 or abs(total_edge) >= 0.1 or mv >= 1 then 'C' end as t from sn)"""
 
 
 def _slate(spark, d):
@@ -199,11 +201,11 @@ def _slate(spark, d):
 
 
 @query(f"""with {SLATE} select game, home, away, {st('hma')} as implied_hma, {st('tot')} as implied_total, {st('spread_edge')} as spread_edge, {st('total_edge')} as total_edge, case when spread_edge >= 0.1 then 'home' when spread_edge <= -0.1 then 'away' end as spread_pick, case when total_edge >= 2.5 then 'over' when total_edge <= -2.5 then 'under' end as total_pick,
-  case when abs(spread_edge) > 10 then case t when 'A' then 'B' when 'B' then 'C' end else t end as confidence, {st('value', 2)} as home_value, case when hma is null then 'no spread' when abs(hma) > 24 then 'spread over 24' when abs(market_spread) >= 21 then 'favourite of 21 or more' when value is null or value <= 1 then 'no value' end as withheld,
+  t as confidence, {st('me', 2)} as max_edge, {st('value', 2)} as home_value, case when hma is null then 'no spread' when abs(hma) > 24 then 'spread over 24' when abs(market_spread) >= 21 then 'favourite of 21 or more' when value is null or value <= 1 then 'no value' end as withheld,
   case when conflict = 'strong' then case when abs(spread_edge) >= 4 then 'super_tier_a' when abs(spread_edge) >= 3 then 'tier_a' when abs(spread_edge) >= 2 then 'tier_b' end when conflict is null then case when abs(spread_edge) >= 3 then 'tier_a' when abs(spread_edge) >= 2 then 'tier_b' end end as bucket from sv""")
 def slate_games(spark, d):
-    s = rounded(_slate(spark, d), "implied_hma", "implied_total", "spread_edge", "total_edge").withColumn("home_value", numbers.stable("home_value", 2))
-    return s.select("game", "home", "away", "implied_hma", "implied_total", "spread_edge", "total_edge", "spread_pick", "total_pick", "confidence", "home_value", "withheld", "bucket")
+    s = rounded(_slate(spark, d), "implied_hma", "implied_total", "spread_edge", "total_edge").withColumns({c: numbers.stable(c, 2) for c in ("home_value", "max_edge")})
+    return s.select("game", "home", "away", "implied_hma", "implied_total", "spread_edge", "total_edge", "spread_pick", "total_pick", "confidence", "max_edge", "home_value", "withheld", "bucket")
 
 
 @query(f"with {SLATE} select cast(date as date) as day, list(game order by coalesce(me, '-infinity'::double) desc, game) as games, cast(count(*) as integer) as n from sv group by 1")
