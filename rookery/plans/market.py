@@ -184,10 +184,10 @@ def first_per_book(spark, d):
 SPLIT = "o as (select game, book, arg_max(line, ts) as line from quotes where day(ts) <= 15 group by 1, 2), n as (select game, book, arg_max(line, ts) as line from quotes where day(ts) > 15 group by 1, 2)"
 
 
-def _halves(spark, d):
-    """All quotes, cut by day: the first halves of months are the target, the second the changes."""
+def _halves(spark, d, last=15):
+    """All quotes, cut by day of the month: the target, and from the day after ``last`` the changes."""
     q = quotes(spark, d)
-    return [dedup.latest_per_key(q.where(c), ["game", "book"], "ts", "quote_id").select("game", "book", "line") for c in ("day(ts) <= 15", "day(ts) > 15")]
+    return [dedup.latest_per_key(q.where(c), ["game", "book"], "ts", "quote_id").select("game", "book", "line") for c in (f"day(ts) <= {last}", f"day(ts) > {last}")]
 
 
 @query(f"with {SPLIT} select * from n union all select o.* from o left join n using (game, book) where n.line is null")
@@ -195,9 +195,9 @@ def upsert_quotes(spark, d):
     return dedup.upsert(*_halves(spark, d), ["game", "book"])
 
 
-@query(f"with {SPLIT} select n.* from n left join o using (game, book) where o.line is null")
+@query(f"with {SPLIT.replace('15', '1')} select n.* from n left join o using (game, book) where o.line is null")
 def insert_ignore_quotes(spark, d):
-    return dedup.insert_ignore(*_halves(spark, d), ["game", "book"])
+    return dedup.insert_ignore(*_halves(spark, d, 1), ["game", "book"])
 
 
 @query(f"with {SPLIT} select o.* from o where not exists (select 1 from n where n.game = o.game and n.book = o.book and n.line > 50)")

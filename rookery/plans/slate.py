@@ -255,11 +255,11 @@ def tail_outliers(spark, d):
 PAIRS = "select a.n_nationkey * 25 + b.n_nationkey as game, a.n_name as away, b.n_name as home from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey"
 
 
-@query(f"with g as ({PAIRS}), s as (select *, case when (lower(away) like '%in%' and lower(home) like '%ja%') or (lower(away) like '%ja%' and lower(home) like '%in%') then 200 else 0 end as score from g) select game, away, home, cast(score as integer) as score from s where score > 0 order by score desc, game limit 8")
+@query(f"with g as ({PAIRS}), s as (select *, case when (contains(lower(away), 'nation_1') and contains(lower(home), 'nation_2')) or (contains(lower(away), 'nation_2') and contains(lower(home), 'nation_1')) then 200 else 0 end as score from g) select game, away, home, cast(score as integer) as score from s where score > 0 order by score desc, game limit 8")
 def searched_games(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", "n_regionkey", "n_name")
     a, b = n.toDF("ak", "region", "away"), n.toDF("bk", "region", "home")
-    return slate.search(a.join(b, "region").where("ak <> bk").select((F.col("ak") * 25 + F.col("bk")).alias("game"), "away", "home"), "in @ ja")
+    return slate.search(a.join(b, "region").where("ak <> bk").select((F.col("ak") * 25 + F.col("bk")).alias("game"), "away", "home"), "Nation_1 @ nation_2")
 
 
 @query("select game, book, min(ts) as window_start, max(ts) as window_end from quotes group by 1, 2")

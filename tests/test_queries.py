@@ -47,7 +47,7 @@ def test_matches_oracle(spark, duck, name):
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
     a, b = rows(got.columns, got.collect()), rows(names, want.fetchall())
-    assert len(a) == len(b)
+    assert len(a) == len(b) > 0  # two empty results show nothing
     assert a == b
 
 
