@@ -112,6 +112,37 @@ def unit_grades(stats: DataFrame, keys: list[str], blends: dict[str, dict[str, f
     return z.withColumns(grades)
 
 
+# The two figures of each unit's grade and which way they count.
+SEVEN = {
+    "off_run": (("line_yards_off", 1), ("rush_ppa_off", 1)), "def_run": (("stuff_rate", 1), ("rush_ppa_def", -1)), "off_pass": (("pass_ppa_off", 1), ("pass_sr_off", 1)), "def_pass": (("pass_ppa_def", -1), ("pass_sr_def", -1)),
+    "off_explosiveness": (("iso_ppp_off", 1),), "def_explosiveness": (("iso_ppp_def", -1),), "havoc": (("havoc_def", 1), ("havoc_off", -1)),
+}
+
+
+def unit_inputs(members: DataFrame, games: DataFrame, ppa: DataFrame, season: DataFrame) -> DataFrame:
+    """The figures of SEVEN of each member (team, season): means over its games (line_yards_off, iso_ppp_off, iso_ppp_def, pass_sr, def_sr, run_epa, pass_epa) with the mean
+    points added of its games (ppa_off, ppa_def) where there are no runs' or passes' and for the defence, and its season's stuff rate and havoc. A table without a member's rows leaves nulls."""
+    by = ["team", "season"]
+    means = lambda df, **names: df.groupBy(*by).agg(*[F.avg(c).alias(n) for n, c in names.items()])
+    own = means(games, line_yards_off="line_yards_off", iso_ppp_off="iso_ppp_off", iso_ppp_def="iso_ppp_def", pass_sr_off="pass_sr", pass_sr_def="def_sr", _run="run_epa", _pass="pass_epa")
+    added = means(ppa, _off="ppa_off", _def="ppa_def")
+    both = members.select(*by).distinct().join(own, by, "left").join(added, by, "left").join(season.select(*by, "stuff_rate", "havoc_off", "havoc_def"), by, "left")
+    filled = {"rush_ppa_off": F.coalesce("_run", "_off"), "pass_ppa_off": F.coalesce("_pass", "_off"), "rush_ppa_def": F.col("_def"), "pass_ppa_def": F.col("_def")}
+    return both.withColumns(filled).drop("_run", "_pass", "_off", "_def")
+
+
+def seven_grades(inputs: DataFrame, keys: list[str]) -> DataFrame:
+    """The seven unit grades: the mean of the z-scores that are known of a unit's figures, each the way it counts; 0 where none is known."""
+    columns = [c for pair in SEVEN.values() for c, _ in pair]
+    z = standardised(inputs, keys, *columns)
+    grades = {}
+    for name, pair in SEVEN.items():
+        terms = [F.col(f"z_{c}") * sign for c, sign in pair]
+        known = sum(F.when(t.isNotNull(), 1).otherwise(0) for t in terms)
+        grades[name] = F.when(known > 0, sum(F.coalesce(t, F.lit(0.0)) for t in terms) / known).otherwise(0.0)
+    return z.withColumns(grades)
+
+
 def strength_passes(ratings: DataFrame, games: DataFrame, passes: int = 3, tolerance: float = 0.01, weight: float = 0.25, prior: float = 0.0) -> DataFrame:
     """Up to ``passes`` corrections by the mean rating of opponents, stopped when no team moves by the tolerance, then shrinkage to a prior.
 

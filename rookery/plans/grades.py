@@ -30,6 +30,37 @@ def unit_grades(spark, d):
     return rounded(g.select("team", "season", *names), *names)
 
 
+_Z = lambda x: f"({x} - avg({x}) over (partition by season)) / coalesce(nullif(stddev_pop({x}) over (partition by season), 0), 1)"
+
+
+def _blend(pair) -> str:
+    """The SQL of the mean of what is known, else 0."""
+    terms = [f"{sign} * ({_Z(c)})" for c, sign in pair]
+    top = " + ".join(f"coalesce({t}, 0)" for t in terms)
+    bottom = " + ".join(f"case when {t} is not null then 1 else 0 end" for t in terms)
+    return st(f"coalesce(({top}) / nullif({bottom}, 0), 0)")
+
+
+#: A game's figures from its scores; some are missing, some teams have no games of a kind.
+_GAME = {"line_yards_off": "case when team % 7 <> 0 then pf * 0.1e0 end", "iso_ppp_off": "case when pf > 5 then pf * 0.03e0 end", "iso_ppp_def": "pa * 0.02e0", "pass_sr": "case when team % 9 <> 0 then pf / 60.0e0 end", "def_sr": "pa / 70.0e0", "run_epa": "case when team % 5 <> 0 and team % 7 <> 0 then (pf - pa) * 0.01e0 end", "pass_epa": "case when team % 4 <> 0 then (pf - 2 * pa) * 0.02e0 end"}
+_PPA = {"ppa_off": "pf * 0.015e0", "ppa_def": "case when team % 11 <> 0 then pa * 0.015e0 end"}
+
+
+@query(f"""with {TG}, e as (select team, season, avg(line_yards_off) as line_yards_off, avg(iso_ppp_off) as iso_ppp_off, avg(iso_ppp_def) as iso_ppp_def, avg(pass_sr) as pass_sr_off, avg(def_sr) as pass_sr_def, avg(run_epa) as run_epa, avg(pass_epa) as pass_epa from (select team, season, {', '.join(f'{x} as {c}' for c, x in _GAME.items())} from tg) group by 1, 2),
+  a as (select team, season, avg(ppa_off) as ppa_off, avg(ppa_def) as ppa_def from (select team, season, {', '.join(f'{x} as {c}' for c, x in _PPA.items())} from tg where team % 13 <> 0) group by 1, 2),
+  s as (select team, season, count(*) / 10.0 as stuff_rate, case when team % 3 <> 0 then sum(pf) / 1000.0 end as havoc_off, case when team % 10 <> 0 then sum(pa) / 1000.0 end as havoc_def from tg where team % 8 <> 0 group by 1, 2),
+  i as (select e.*, coalesce(run_epa, ppa_off) as rush_ppa_off, coalesce(pass_epa, ppa_off) as pass_ppa_off, ppa_def as rush_ppa_def, ppa_def as pass_ppa_def, stuff_rate, havoc_off, havoc_def from e left join a using (team, season) left join s using (team, season))
+  select team, season, {', '.join(f'{_blend(pair)} as {name}' for name, pair in ratings.SEVEN.items())} from i""")
+def seven_grades(spark, d):
+    """The seven unit grades of each team's season."""
+    t = _sides(spark, d)
+    made = lambda df, figures: df.select("team", "season", *[F.expr(x).cast("double").alias(c) for c, x in figures.items()])
+    season = t.where("team % 8 <> 0").groupBy("team", "season").agg((F.count("*") / 10.0).alias("stuff_rate"), (F.sum("pf") / 1000.0).alias("o"), (F.sum("pa") / 1000.0).alias("d"))
+    season = season.select("team", "season", "stuff_rate", F.expr("case when team % 3 <> 0 then o end").alias("havoc_off"), F.expr("case when team % 10 <> 0 then d end").alias("havoc_def"))
+    inputs = ratings.unit_inputs(t, made(t, _GAME), made(t.where("team % 13 <> 0"), _PPA), season)
+    return rounded(ratings.seven_grades(inputs, ["season"]).select("team", "season", *ratings.SEVEN), *ratings.SEVEN)
+
+
 _UNITS = {"run": (0.4, 0.01), "pass": (0.4, 0.02), "explosive": (0.2, 0.03)}
 _NET = lambda us, them: " + ".join(f"{w} * ({us} * {k} - {them} * 0.015)" for w, k in _UNITS.values())
 _UNIT_HMA = f"(({_NET('home_score', 'home_score')}) - ({_NET('away_score', 'away_score * 2')})) * 9 + case when game % 10 = 0 then 0 else 2.5 end"
