@@ -103,7 +103,22 @@ def funnel(bets: DataFrame, stages: dict[str, Column]) -> DataFrame:
 
 
 def grid(rows: DataFrame, weights: list[float], a: str, b: str, target: str) -> DataFrame:
-    """Correlation and errors of w * a + (1 - w) * b with a target, for every weight at once."""
-    each = rows.select("*", F.explode(F.array(*[F.lit(w) for w in weights])).alias("w")).withColumn("blend", F.col("w") * F.col(a) + (1 - F.col("w")) * F.col(b))
-    error = F.col("blend") - F.col(target)
-    return each.groupBy("w").agg(F.corr("blend", target).alias("pearson"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"), F.stddev_pop(F.abs(error)).alias("abs_error_deviation"), F.count("*").alias("n"))
+    """Correlation and errors of w * a + (1 - w) * b with a target, for every weight at once.
+
+    One aggregate over the rows as they are: the correlation and the mean squared error of every weight are quadratic forms in the same few means; only the mean
+    absolute error is a sum of its own to each weight, and with both the deviation of absolute errors is known.
+    """
+    x, y, t = (F.col(c).cast("double") for c in (a, b, target))
+    known = x.isNotNull() & y.isNotNull() & t.isNotNull()
+    mean = lambda e: F.avg(F.when(known, e))
+    u, v = x - y, y - t  # the blend is y + w * u, its error v + w * u
+    forms = {"u": u, "v": v, "y": y, "t": t, "uu": u * u, "uv": u * v, "vv": v * v}
+    centred = {"cuu": F.var_pop(F.when(known, u)), "cyy": F.var_pop(F.when(known, y)), "ctt": F.var_pop(F.when(known, t)), "cuy": F.covar_pop(F.when(known, u), F.when(known, y)), "cut": F.covar_pop(F.when(known, u), F.when(known, t)), "cyt": F.covar_pop(F.when(known, y), F.when(known, t))}
+    mae = F.array(*[mean(F.abs(v + w * u)) for w in weights])
+    one = rows.agg(F.count("*").alias("n"), mae.alias("maes"), *[mean(e).alias(k) for k, e in forms.items()], *[e.alias(k) for k, e in centred.items()])
+    each = one.select("*", F.explode(F.arrays_zip(F.array(*map(F.lit, weights)).alias("w"), F.col("maes").alias("mae"))).alias("_z")).where("n > 0")
+    w, m = F.col("_z.w"), F.col("_z.mae")
+    square = F.greatest(F.lit(0.0), F.col("vv") + 2 * w * F.col("uv") + w * w * F.col("uu"))
+    spread = F.greatest(F.lit(0.0), F.col("cyy") + 2 * w * F.col("cuy") + w * w * F.col("cuu"))
+    pearson = F.when((spread > 0) & (F.col("ctt") > 0), (F.col("cyt") + w * F.col("cut")) / F.sqrt(spread * F.col("ctt")))
+    return each.select(w.alias("w"), pearson.alias("pearson"), F.sqrt(square).alias("rmse"), m.alias("mae"), F.sqrt(F.greatest(F.lit(0.0), square - m * m)).alias("abs_error_deviation"), "n")

@@ -181,3 +181,22 @@ def two_predictor_fits(spark, d):
     g = games(spark, d).select("season", (h / 10.0).alias("x"), (a / 10.0).alias("w"), (h - a + h * a % 7).cast("double").alias("y"))
     fits = [g.groupBy("season").agg(*f).withColumn("kind", F.lit(kind)) for kind, f in (("quadratic", linear.quadratic("x", "y")), ("multiple", linear.two_predictors(F.col("x"), F.col("w"), F.col("y"))))]
     return rounded(fits[0].unionByName(fits[1]), "intercept", "first", "second", "r2")
+
+
+_HALF = lambda x: f"(floor(({x}) * 2 + 0.5) / 2)"
+
+
+@query(f"""with p as (select game, 'T' || home as h, 'T' || away as a, (away_score - home_score) / 4.0::double as model, (away - home) / 2.0::double + 0.25 as market, (home_score + away_score)::double as mt, 46.25 + game % 9 as kt from games ),
+  f as (select *, model < 0 as mh, market < 0 as kh, -{_HALF('abs(model)')} as ml, -{_HALF('abs(market)')} as kl from p), e as (select *, case when mh = kh then ml - kl else model - market end as edge, case when kh then h else a end as fav, case when kh then a else h end as dog from f),
+  s as (select *, mh <> kh or edge > 0 as ondog from e), t as (select *, case when ondog then dog else fav end as team, case when ondog then -kl else kl end + 0.0 as line from s)
+  select game, team, line, team || case when ondog then ' +' else ' ' end || printf('%.1f', line) as label, abs(edge) as edge_pts, case when ondog then abs({_HALF('ml - 0.1')}) when edge < 0 then least(-0.5, {_HALF('ml + 0.1')}) end as bet_to, mh <> kh as disagree,
+  case when mt > kt then 'Over' when mt < kt then 'Under' end as total_pick, case when mt <> kt then case when mt > kt then 'Over ' else 'Under ' end || printf('%.1f', {_HALF('kt')}) end as total_label, case when abs(mt - kt) >= 0.1 then case when mt > kt then {_HALF('mt - 0.1')} else {_HALF('mt + 0.1')} end end as total_bet_to from t""")
+def pick_cards(spark, d):
+    """Spread and total picks against the market, with labels and the line to which to bet."""
+    g = games(spark, d)
+    p = g.select(
+        "game", F.concat(F.lit("T"), F.col("home").cast("string")).alias("h"), F.concat(F.lit("T"), F.col("away").cast("string")).alias("a"), ((F.col("away_score") - F.col("home_score")) / 4.0).alias("model"), ((F.col("away") - F.col("home")) / 2.0 + 0.25).alias("market"),
+        (F.col("home_score") + F.col("away_score")).cast("double").alias("mt"), (F.lit(46.25) + F.col("game") % 9).alias("kt"),
+    )
+    cards = p.select("game", frames.spread_card("model", "market", frames.value_over_market("model", "market"), F.col("h"), F.col("a")).alias("s"), frames.total_card("mt", "kt").alias("t"))
+    return cards.select("game", "s.*", F.col("t.pick").alias("total_pick"), F.col("t.label").alias("total_label"), F.col("t.bet_to").alias("total_bet_to"))

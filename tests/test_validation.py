@@ -84,3 +84,22 @@ def test_a_line_without_spread_leaves_the_mean(spark):
     change = linear.residual_change(m[0], "r", ["a"])
     assert change[2].tolist() == [-9.5, 0.0, 1.0, 0.0]
     assert linear.residual_walk(df.where("week = 9"), ["r", "a"], "r", ["a"], "y", "week", 0.1, 0.5).count() == 0
+
+
+def test_grids_of_weights_equal_each_weight_on_rows(spark):
+    from rookery.operators import bets
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(3, 5, 300), rng.normal(-2, 4, 300)
+    t = 0.3 * a + 0.7 * b + rng.normal(0, 2, 300)
+    rows = [tuple(map(float, x)) for x in zip(a, b, t)] + [(None, 1.0, 2.0), (1.0, None, 2.0), (1.0, 2.0, None)]
+    weights = [0.0, 0.3, 1.0, 1.5]
+    got = {r.w: r for r in bets.grid(spark.createDataFrame(rows, "a double, b double, t double").repartition(3), weights, "a", "b", "t").collect()}
+    assert sorted(got) == weights
+    for w in weights:
+        e = w * a + (1 - w) * b - t
+        want = (np.corrcoef(e + t, t)[0, 1], np.sqrt((e * e).mean()), np.abs(e).mean(), np.abs(e).std(), 303)
+        assert (got[w].pearson, got[w].rmse, got[w].mae, got[w].abs_error_deviation, got[w].n) == pytest.approx(want)
+    flat = spark.createDataFrame([(1.0, 1.0, 1.0)] * 3, "a double, b double, t double")
+    assert [tuple(r)[1:] for r in bets.grid(flat, [0.5], "a", "b", "t").collect()] == [(None, 0.0, 0.0, 0.0, 3)]
+    assert bets.grid(flat.where("false"), weights, "a", "b", "t").count() == 0
