@@ -5,7 +5,8 @@ after it: a group keeps its size and its two most frequent words, so a word read
 is the most frequent. The alphabet bounds a group. Words that miss one character are looked up among the words themselves: that
 finds what is one deletion away, and, counted at the shorter word, what is one insertion away. Both kinds are summed to
 one row to a word. A word's form is the most frequent near word if it is at least TIMES as frequent; forms lead to roots by doubling
-the steps, so rounds are the logarithm of the longest chain, which frequencies that double keep short.
+the steps, so rounds are the logarithm of the longest chain, which frequencies that double keep short. Every join is a merge join at
+every size: both sides grow with the vocabulary, and a table of words that is small as a file is many times larger in a broadcast, which the driver holds.
 
 Null and empty texts have no words; null ids count as empty in the hash of a run; repeated rows count each for itself. Of near words as
 frequent the smallest in code-point order is the form. An empty table gives an empty result; other columns are not read.
@@ -29,6 +30,11 @@ def _without(word: str, at: str) -> str:
     return f"concat(substring({word}, 1, {at}), substring({word}, {at} + 2))"
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two tables of words, never a broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def runs(docs: DataFrame) -> DataFrame:
     """``run`` and ``n``: every run of letters of every text, A-Z in lower case, one character deleted where its hash with the document's id says so, and how often it stands in all texts."""
     each = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run"))
@@ -53,7 +59,7 @@ def replacements(vocabulary: DataFrame) -> DataFrame:
     posted = places.select("word", "n", F.expr(f"concat(substring(word, 1, at), '{ANY}', substring(word, at + 2))").alias("key"))
     # a group has at most as many words as there are letters
     groups = posted.groupBy("key").agg(F.count("*").alias("size"), F.slice(F.sort_array(F.collect_list(_ranked())), 1, 2).alias("top")).where("size > 1")
-    met = posted.join(groups, "key")
+    met = _met(posted, groups, "key")
     other = F.when(F.col("top")[0]["word"] != F.col("word"), F.col("top")[0]).otherwise(F.col("top")[1])
     return met.select("word", (F.col("size") - 1).alias("others"), other.alias("best"))
 
@@ -61,7 +67,7 @@ def replacements(vocabulary: DataFrame) -> DataFrame:
 def indels(vocabulary: DataFrame) -> DataFrame:
     """As ``replacements``: each word that is another without one character, from both sides. A doubled letter's deletions are one."""
     shorter = vocabulary.where(F.length("word") > LEAST_CHARS).select("word", "n", F.explode(F.array_distinct(F.expr(f"transform(sequence(0, length(word) - 1), i -> {_without('word', 'i')})"))).alias("short"))
-    met = shorter.join(vocabulary.select(F.col("word").alias("short"), F.col("n").alias("short_n")), "short")
+    met = _met(shorter, vocabulary.select(F.col("word").alias("short"), F.col("n").alias("short_n")), "short")
     down = met.select("word", F.lit(1).cast("long").alias("others"), F.struct((-F.col("short_n")).alias("less"), F.col("short").alias("word")).alias("best"))
     up = met.groupBy("short").agg(F.count("*").alias("others"), F.min(_ranked()).alias("best")).withColumnRenamed("short", "word")
     return down.unionByName(up)
@@ -70,17 +76,22 @@ def indels(vocabulary: DataFrame) -> DataFrame:
 def forms(vocabulary: DataFrame) -> DataFrame:
     """word, n, form, form_n and n_near of a stored vocabulary."""
     near = replacements(vocabulary).unionByName(indels(vocabulary)).groupBy("word").agg(F.sum("others").alias("n_near"), F.min("best").alias("best"))
-    all_words = vocabulary.join(near, "word", "left")
+    all_words = _met(vocabulary, near, "word", "left")
     led = -F.col("best.less") >= TIMES * F.col("n")
     return all_words.select("word", "n", F.when(led, F.col("best.word")).alias("form"), F.when(led, -F.col("best.less")).alias("form_n"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
+def doubled(now: DataFrame) -> DataFrame:
+    """word, root and whether it moved: each word at the root of its root, if that has one."""
+    ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
+    return _met(now, ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+
+
 def roots(formed: DataFrame) -> DataFrame:
     """word and root of every word that has a form: steps double each round, each round is stored, until every word is at a root."""
     now = stored(formed.where("form is not null").select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
-        ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = stored(now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        moved = stored(doubled(now), "spelling-roots")
         now = moved.select("word", "root")
         if not moved.where("moved").take(1):
             return now
@@ -89,7 +100,7 @@ def roots(formed: DataFrame) -> DataFrame:
 def variants(docs: DataFrame) -> DataFrame:
     """word, form, root, n, n_near and form_n of all words of ``docs`` (doc_id, text)."""
     formed = stored(forms(words(docs)), "spelling-forms")
-    return formed.join(roots(formed), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _met(formed, roots(formed), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,15 @@ def test_the_oracle_agrees(spark):
     want = sorted(con.execute(spelling.ORACLE).fetchall(), key=repr)
     got = [(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.op13_spelling(spark, SF).collect()]
     assert len(want) > 0 and sorted(got, key=repr) == want
+
+
+def test_no_join_of_words_is_a_broadcast(spark, tmp_path):
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760b", "10485760", "10MB")
+    rows = [(0, " ".join(w for w, k in {"aaaaa": 3, "aaaab": 6, "aaabb": 12, "aabbb": 24}.items() for _ in range(k)))]
+    words = spelling.words(spark.createDataFrame(rows, "doc_id int, text string"))
+    formed = spelling.forms(words)
+    for joined in (formed, spelling.doubled(formed.select("word", "form").toDF("word", "root")), spelling.variants(spark.createDataFrame(rows, "doc_id int, text string"))):
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()  # the adaptive plan is the final one
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
