@@ -54,11 +54,11 @@ def ingest_runs(spark, d):
 
 @query("with l as (select l_orderkey, l_linenumber, l_partkey, case when l_returnflag = 'R' then 'Pass Yards' when l_returnflag = 'A' then ' pass yards ' else 'Plays' end as stat_name, case when l_suppkey % 5 = 0 then null else l_quantity end as v from lineitem) select l_orderkey, arg_max(v, struct_pack(a := l_linenumber, b := l_partkey)) filter (where v is not null and stat_name <> 'Plays') as pass_yards, arg_max(v, struct_pack(a := l_linenumber, b := l_partkey)) filter (where v is not null and stat_name = 'Plays') as plays from l group by 1")
 def last_numbers(spark, d):
-    """Long statistics to columns: of each the last value that is a number."""
+    """Long statistics to columns: of each the last value that is a number; of lines with the same number and part the one that stands first in the table."""
     name = F.when(F.col("l_returnflag") == "R", "Pass Yards").when(F.col("l_returnflag") == "A", " pass yards ").otherwise("Plays")
     value = F.when(F.col("l_suppkey") % 5 == 0, F.when(F.col("l_suppkey") % 2 == 0, "n/a")).otherwise(F.col("l_quantity").cast("string"))
-    long = table(spark, d, "lineitem").withColumns({"stat_name": name, "stat_value": value})
-    return files.pivoted(long, ["l_orderkey"], "stat_name", "stat_value", ["pass_yards", "plays"], ["l_linenumber", "l_partkey"])
+    long = table(spark, d, "lineitem").withColumns({"stat_name": name, "stat_value": value, "_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
+    return files.pivoted(long, ["l_orderkey"], "stat_name", "stat_value", ["pass_yards", "plays"], ["l_linenumber", "l_partkey"], ("_file", "_row"))
 
 
 @query("with k as (select game, min(kick) as kick from kicks group by 1), a as (select k.game, q.line, q.ts, row_number() over (partition by k.game order by q.ts desc, q.quote_id desc) as n from k join quotes q on q.game = k.game and q.ts <= k.kick) select k.game, a.line, a.ts from k left join a on a.game = k.game and a.n = 1")

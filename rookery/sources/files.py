@@ -39,8 +39,14 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def pivoted(long: DataFrame, keys: list[str], name: str, value: str, fields: list[str], order: list[str]) -> DataFrame:
-    """Long statistics to one column a field; of rows of a field the last by ``order`` whose value is a number. The list of fields is fixed, so there is no job to find them."""
+def pivoted(long: DataFrame, keys: list[str], name: str, value: str, fields: list[str], order: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """Long statistics to one column a field; of rows of a field the last by ``order`` whose value is a number. The list of fields is fixed, so there is no job to find them.
+
+    ``order`` are numbers where ``ties`` are given; of rows that tie in them the first by ``ties`` counts.
+    """
     number = F.col(value).try_cast("double")
-    at = lambda f: F.when((field_name(F.col(name)) == f) & number.isNotNull() & ~F.isnan(number), F.struct(*order))
-    return long.groupBy(*keys).agg(*[F.max_by(number, at(f)).alias(f) for f in fields])
+    known = lambda f: (field_name(F.col(name)) == f) & number.isNotNull() & ~F.isnan(number)
+    if not ties:
+        return long.groupBy(*keys).agg(*[F.max_by(number, F.when(known(f), F.struct(*order))).alias(f) for f in fields])
+    back = F.struct(*[x for o in order for x in (F.col(o).isNull(), -F.col(o))], *ties)
+    return long.groupBy(*keys).agg(*[F.min_by(number, F.when(known(f), back)).alias(f) for f in fields])

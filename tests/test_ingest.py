@@ -2,8 +2,11 @@
 
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
+from rookery.plans import lake
+from rookery.plans.catalog import ORACLES
 from rookery.sources import files
 from rookery.sources.ingest import SEASON_STAT, TEAM_GAME, Lake
 from rookery.streaming import quotes as streams
@@ -67,3 +70,14 @@ def test_streams_merge_into_buckets(spark, tmp_path):
     for _ in range(2):
         streams.upserted(streams.stream(spark, f"{tmp_path}/in"), table, f"{tmp_path}/c").awaitTermination()
     assert sorted((r.event_id, r.value) for r in table.read().collect()) == [(1, 5.0), (2, 2.0), (3, 3.0)]
+
+
+def test_of_values_that_tie_the_first_in_the_table_counts_as_in_sql(spark, tmp_path):
+    rows = [(k, 7, 9, 1, float(v), flag) for k in range(20) for flag in "AN" for v in ((30, 40, 35), (45, 20, 31))[k % 2]]
+    names = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_returnflag string"
+    spark.createDataFrame(rows + [(99, None, 1, 1, 5.0, "A"), (99, 2, 1, 1, 6.0, "A")], names).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_orderkey: (r.pass_yards, r.plays) for r in lake.last_numbers(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"set threads = 1; create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet') where l_orderkey < 99")
+    assert {k: v for k, v in got.items() if k < 99} == {r[0]: r[1:] for r in con.execute(ORACLES["last_numbers"]).fetchall()} == {k: (30.0, 30.0) if k % 2 == 0 else (45.0, 45.0) for k in range(20)}
+    assert got[99] == (6.0, None)  # a line without a number comes before all others
