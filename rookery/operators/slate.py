@@ -77,15 +77,16 @@ def graded_market(edge: Column, a: float = 4.0, b: float = 3.0, c: float = 0.1)
     return F.when(edge >= a, 3).when(edge >= b, 2).when(edge >= c, 1)
 
 
-def built(games: DataFrame, ratings: DataFrame, lines: DataFrame, conflicts: DataFrame, base_hfa: float = 2.0, base_total: float = 45.0) -> DataFrame:
+def built(games: DataFrame, ratings: DataFrame, lines: DataFrame, conflicts: DataFrame | None = None, base_hfa: float = 2.0, base_total: float = 45.0, on: str = "game") -> DataFrame:
     """The slate: a row to a game with ratings, implied lines, edges, picks, moneyline, confidence and the bucket of its conflict.
 
-    ``lines`` has market_spread (home side's handicap turned to home minus away), market_total, home_price and, if there is one, away_price of a game, ``conflicts`` the conflict of
-    a hybrid bet. A game whose team or line is unknown stays, with nulls. A market's grade is A from 4 points, B from 3 and C from .1; a moneyline's, of the side of more
+    ``lines`` has market_spread (home side's handicap turned to home minus away), market_total, home_price and, if there is one, away_price, one row to each value of ``on``; ``conflicts`` the conflict of
+    a hybrid bet, one row to a game, or ``games`` has it. A game that is listed more than once is a row each time. A game whose team or line is unknown stays, with nulls. A market's grade is A from 4 points, B from 3 and C from .1; a moneyline's, of the side of more
     than one per cent of value at spreads up to 24, A from 10, B from 5 and C from 1. Confidence is the best of the three, ``max_edge`` the largest edge or value.
     """
     side = lambda s: ratings.select(F.col("team").alias(s), F.col("rating").alias(f"{s}_rating"))
-    g = games.join(side("home"), "home", "left").join(side("away"), "away", "left").join(lines, "game", "left").join(conflicts.select("game", "conflict"), "game", "left")
+    g = games.join(side("home"), "home", "left").join(side("away"), "away", "left").join(lines, on, "left")
+    g = g if conflicts is None else g.join(conflicts.select("game", "conflict"), "game", "left")
     spread = F.col("home_rating") - F.col("away_rating") + home_field(F.coalesce("neutral", F.lit(False)), base_hfa)
     g = g.withColumns({"implied_hma": spread, "implied_total": base_total + 0.5 * F.abs(F.col("home_rating") - F.col("away_rating"))})
     g = g.withColumns({"spread_edge": F.col("implied_hma") - F.col("market_spread"), "total_edge": F.col("implied_total") - F.col("market_total")})

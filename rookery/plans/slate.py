@@ -194,10 +194,9 @@ def _slate(spark, d):
     lines = first.groupBy("game").agg((F.median("line") / 4 - 10).alias("market_spread"), F.avg("line").alias("market_total"))
     lines = rounded(lines, "market_spread", "market_total").withColumn("home_price", (-110 - F.col("game") % 90).cast(D))
     k = kicks(spark, d)
-    g = k.select(F.col("kick_id").alias("game"), F.col("game").alias("user_game"), (F.col("game") % 40).alias("home"), ((F.col("game") * 7 + 3) % 40).alias("away"), (F.col("kick_id") % 9 == 0).alias("neutral"), F.col("kick").alias("date"))
-    own = g.select("game", "user_game").join(lines.withColumnRenamed("game", "user_game"), "user_game").drop("user_game")
-    tag = F.when(F.col("game") % 4 == 0, "strong").when(F.col("game") % 4 == 1, "weak").when(F.col("game") % 4 == 2, "hybrid_only")
-    return slate.built(g, _ratings(spark, d), own, g.select("game", tag.alias("conflict")).where("conflict is not null"))
+    tag = F.when(F.col("kick_id") % 4 == 0, "strong").when(F.col("kick_id") % 4 == 1, "weak").when(F.col("kick_id") % 4 == 2, "hybrid_only")
+    g = k.select(F.col("kick_id").alias("game"), F.col("game").alias("user_game"), (F.col("game") % 40).alias("home"), ((F.col("game") * 7 + 3) % 40).alias("away"), (F.col("kick_id") % 9 == 0).alias("neutral"), F.col("kick").alias("date"), tag.alias("conflict"))
+    return slate.built(g, _ratings(spark, d), lines.withColumnRenamed("game", "user_game"), on="user_game")
 
 
 @query(f"""with {SLATE} select game, home, away, {st('hma')} as implied_hma, {st('tot')} as implied_total, {st('spread_edge')} as spread_edge, {st('total_edge')} as total_edge, case when spread_edge >= 0.1 then 'home' when spread_edge <= -0.1 then 'away' end as spread_pick, case when total_edge >= 2.5 then 'over' when total_edge <= -2.5 then 'under' end as total_pick,
