@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +26,27 @@ def found(document: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(document, path, kind)
 
 
+def _once(x: Column, made: Callable[[Column], Column]) -> Column:
+    """What ``made`` makes of a value that it names more than once: the value is computed once a row, not once for each name."""
+    return F.transform(F.array(x), made)[0]
+
+
 def _fields(document: Column) -> Column:
     """The fields of a variant object; other documents and null have none."""
     nothing = F.create_map().cast("map<string,variant>")
-    return F.coalesce(F.when(F.schema_of_variant(document).startswith("OBJECT"), F.try_variant_get(document, "$", "map<string,variant>")), nothing)
+    return _once(document, lambda d: F.coalesce(F.when(F.schema_of_variant(d).startswith("OBJECT"), F.try_variant_get(d, "$", "map<string,variant>")), nothing))
 
 
 def with_path(document: Column, names: tuple[str, ...], value: Column) -> Column:
     """The variant with the value at ``names`` set, objects made on the way where there are none, and all other keys kept."""
-    held, (key, *rest) = _fields(document), names
-    new = with_path(held[key], tuple(rest), value) if rest else value.cast("variant")
-    others = F.map_filter(held, lambda k, _: k != key)
-    return F.to_variant_object(F.map_concat(others, F.create_map(F.lit(key), F.coalesce(new, F.parse_json(F.lit("null"))))))
+    key, *rest = names
+
+    def made(held: Column) -> Column:
+        new = with_path(held[key], tuple(rest), value) if rest else value.cast("variant")
+        others = F.map_filter(held, lambda k, _: k != key)
+        return F.to_variant_object(F.map_concat(others, F.create_map(F.lit(key), F.coalesce(new, F.parse_json(F.lit("null"))))))
+
+    return _once(_fields(document), made)
 
 
 def with_key(json: Column, key: str, value: Column) -> Column:
@@ -45,8 +56,9 @@ def with_key(json: Column, key: str, value: Column) -> Column:
 
 def merged(json: Column, changes: Column) -> Column:
     """The JSON object with all keys of another in place of its own."""
-    old, new = _fields(opened(json)), _fields(opened(changes))
-    return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new))
+    old = _fields(opened(json))
+    kept = lambda new: _once(F.map_keys(new), lambda keys: F.map_filter(old, lambda k, _: ~F.array_contains(keys, k)))
+    return F.to_json(_once(_fields(opened(changes)), lambda new: F.map_concat(kept(new), new)))
 
 
 def parts(df: DataFrame, document: str, path: str, name: str) -> DataFrame:

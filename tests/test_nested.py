@@ -47,3 +47,15 @@ def test_open_quotes_are_flat_and_hold_what_no_schema_names(spark):
     ]
     assert str(got[1].ts) == "2024-08-31 00:00:00"
     assert nested.open_quotes(df.where("false"), "doc").count() == 0
+
+
+def test_a_document_is_read_once_however_many_keys_are_set(spark):
+    df = spark.createDataFrame([('{"a":{"x":1},"n":null}', '{"a":2,"z":[1]}'), ("[1]", "{}"), (None, None)], "doc string, patch string")
+    both = nested.with_path(nested.with_path(nested.opened(F.col("doc")), ("a", "b"), F.lit(1)), ("c", "d"), F.lit(True))
+    out = df.select(F.to_json(both).alias("set"), nested.merged(F.to_json(both), F.col("patch")).alias("merged"))
+    plan = out._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    assert plan.count("doc#") == 2 and plan.count("patch#") == 1  # once for each column
+    got = [(json.loads(r.set), json.loads(r.merged)) for r in out.collect()]
+    made = {"c": {"d": True}}
+    assert got[0] == ({"a": {"x": 1, "b": 1}, "n": None, **made}, {"a": 2, "n": None, "z": [1], **made})
+    assert got[1] == got[2] == ({"a": {"b": 1}, **made}, {"a": {"b": 1}, **made})
