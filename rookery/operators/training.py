@@ -10,7 +10,8 @@ from rookery.operators.asof import in_window
 from rookery.operators.aggregates import nearest_rank
 from rookery.operators import graphs
 from rookery.operators.ratings import adjusted_nets, team_games
-from rookery.operators.windows import EWMA_3, EWMA_5, ewma, ordinal, rest, standardised
+from rookery.operators.windows import EWMA_3, EWMA_5, ewma, ordinal, rank_correlation, rest, standardised
+from rookery.sources.shared import stored
 
 #: What a row of each set weighs.
 SET_WEIGHTS = {"A": 1.0, "B": 0.6, "other": 0.25}
@@ -116,9 +117,10 @@ def blend_by_sets(rows: DataFrame, a: str, b: str, target: str, label: str, tie:
     under ``guard[1]``, weight ``guard[0]`` is taken if it reaches that. Ranks of equal values go by ``tie``.
     """
     known = rows.where(F.col(target).isNotNull()).select(F.col(label).alias("_set"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), F.col(target).cast("double").alias("_y"), F.col(tie).alias("_tie"))
-    each = ordinal(known, ["_set"], ["_y", "_tie"], "_ry").select("*", F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("w"))
-    each = ordinal(each.withColumn("_x", F.col("w") * F.col("_a") + (1 - F.col("w")) * F.col("_b")), ["_set", "w"], ["_x", "_tie"], "_rx")
-    reached = each.groupBy("w", "_set").agg(F.corr("_x", "_y").alias("p"), F.corr(F.col("_rx").cast("double"), F.col("_ry").cast("double")).alias("s"))
+    ranked, _ = stored(ordinal(known, ["_set"], ["_y", "_tie"], "_ry"), "blend-ranks")
+    each = ranked.select("*", F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("w")).withColumn("_x", F.col("w") * F.col("_a") + (1 - F.col("w")) * F.col("_b"))
+    reached = each.groupBy("w", "_set").agg(F.corr("_x", "_y").alias("p")).join(rank_correlation(each, ["_set", "w"], ["_x", "_tie"], "_ry", "s"), ["w", "_set"], "left")
+    reached, _ = stored(reached, "blend-sets")  # a row to a weight and set, read for all weights and for the best of them
     of = lambda x, s: F.coalesce(F.max(F.when(F.col("_set") == s, F.col(x))), F.lit(0.0))
     sets = reached.groupBy("w").agg(of("p", "A").alias("pearson_a"), of("s", "A").alias("spearman_a"), of("p", "B").alias("pearson_b"), of("s", "B").alias("spearman_b"))
     sets = sets.withColumn("objective", 0.5 * (F.col("pearson_a") + F.col("spearman_a")) + 0.5 * (F.col("pearson_b") + F.col("spearman_b")))

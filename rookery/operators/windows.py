@@ -104,6 +104,19 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, tie: str) -> DataFr
     return both.groupBy(*keys).agg(F.corr(F.col("_a").cast("double"), F.col("_b").cast("double")).alias("spearman"), F.corr(a, b).alias("pearson"), F.count("*").alias("n"))
 
 
+def rank_correlation(df: DataFrame, keys: list[str], order: list[str], ranks: str, name: str) -> DataFrame:
+    """``keys`` and ``name``: the correlation of each row's rank in its key by ``order`` (as ``ordinal`` has it) with ``ranks``, which holds the numbers from 1 to the key's rows. Null for a single row.
+
+    The rows are put in order once: a run hands on its sums, and the ranks before a run are added to these. The means and spreads of both follow from the number of rows.
+    """
+    inside = scans.runs(df.select(*keys, *order, ranks), keys, order).withColumn("_place", F.row_number().over(Window.partitionBy("_run", *keys).orderBy(*order)).cast("double"))
+    sums = inside.groupBy("_run", *keys).agg(F.count("*").alias("_n"), F.sum(F.col(ranks).cast("double")).alias("_r"), F.sum(F.col("_place") * F.col(ranks)).alias("_pr"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row to a run
+    whole = sums.withColumn("_pr", F.col("_pr") + before * F.col("_r")).groupBy(*keys).agg(F.sum("_n").cast("double").alias("_n"), F.sum("_pr").alias("_pr"))
+    n, middle = F.col("_n"), (F.col("_n") + 1) / 2
+    return whole.select(*keys, F.when(n > 1, (F.col("_pr") / n - middle * middle) / ((n * n - 1) / 12)).alias(name))
+
+
 def current_week(weeks: DataFrame, now: Column) -> DataFrame:
     """Of week ranges (week, first, last): the one around ``now``, else the next, else the last."""
     rank = F.when((F.col("first") <= now) & (now <= F.col("last")), 0).when(F.col("first") > now, 1).otherwise(2)

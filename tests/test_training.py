@@ -87,3 +87,24 @@ def test_probe_without_spread_of_points_fits_the_difference(spark):
     df = spark.createDataFrame([(float(i), 2.0, 3.0 * i, 1.0) for i in range(10)], "x double, h double, y double, w double")
     (r,) = training.variance_probe(df, [], "x", "h", "y", "w").collect()
     assert abs(r.slope - 3) < 1e-9 and r.hfa_slope == 0 and abs(r.variance_ratio - 1) < 1e-9 and r.signs_ok
+
+
+def test_rank_correlation_puts_rows_in_order_once(spark):
+    rng = random.Random(3)
+    rows = [(s, i, float(rng.randrange(40)), r) for s, n in (("A", 700), ("B", 90), (None, 5), ("one", 1)) for i, r in enumerate(rng.sample(range(1, n + 1), n))]
+    df = spark.createDataFrame(rows, "s string, i int, x double, r int")
+    out = windows.rank_correlation(df, ["s"], ["x", "i"], "r", "c")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1  # an ordinal rank reads, cuts and orders its rows twice
+    got = {r.s: r.c for r in out.collect()}
+    assert got.pop("one") is None and set(got) == {"A", "B", None}
+    for s, c in got.items():
+        order = sorted((x, i, r) for k, i, x, r in rows if k == s)
+        assert abs(c - float(np.corrcoef(range(len(order)), [r for *_, r in order])[0, 1])) < 1e-9
+
+
+def test_a_blend_stores_what_its_weights_reach(spark):
+    df = spark.createDataFrame([("AB"[i % 2], i, float(i * 7 % 31), float(i * 5 % 17), float(i % 11)) for i in range(60)], "label string, i int, a double, b double, y double")
+    out = training.blend_by_sets(df, "a", "b", "y", "label", "i", [0.0, 0.5])
+    read = out._jdf.queryExecution().optimizedPlan().toString()
+    assert read.count("row_number()") == 0  # the weights and the best of them read the same stored sums
+    assert len(out.collect()) == 2
