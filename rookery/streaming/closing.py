@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,19 @@ CLOSED = "game bigint, line double, ts timestamp, quote_id bigint, seen bigint"
 _STATE = "line double, at bigint, quote_id bigint, seen bigint, kick bigint"
 
 
+def _micros(times) -> np.ndarray:
+    """Microseconds since 1970. Arrays, not series: a batch holds few quotes of a game, and there are as many batches as games."""
+    return times.to_numpy("datetime64[us]").astype("int64")
+
+
+def _latest(us: np.ndarray, ids: np.ndarray, fit: np.ndarray) -> int | None:
+    """The place of the latest quote that fits, of equal times that of the greatest number; None where none fits."""
+    if not fit.any():
+        return None
+    at = (fit & (us == us[fit].max())).nonzero()[0]
+    return int(at[ids[at].argmax()])
+
+
 def closing(quotes: DataFrame, kicks: DataFrame, late: str = "10 minutes", grace: int = 60, live: int = 14 * 86_400) -> DataFrame:
     """A stream of CLOSED from a stream of quotes (game, ts, quote_id, line) and a table of kickoffs (game, kick), one to a game.
 
@@ -37,14 +51,13 @@ def closing(quotes: DataFrame, kicks: DataFrame, late: str = "10 minutes", grace
         for batch in batches:
             if not len(batch):
                 continue
-            us, start = batch["ts"].astype("datetime64[us]").astype("int64"), batch["kick"].astype("datetime64[us]").astype("int64")
+            us, start = _micros(batch["ts"]), _micros(batch["kick"])
             first, seen = int(us.min()), seen + len(batch)
-            kick = int(start.iloc[0]) if kick is None else kick
-            fit = batch.assign(us=us)[us <= start]
-            if len(fit):
-                top = fit.sort_values(["us", "quote_id"]).iloc[-1]
-                if at is None or (int(top.us), int(top.quote_id)) > (at, quote_id):
-                    line, at, quote_id = None if pd.isna(top.line) else float(top.line), int(top.us), int(top.quote_id)
+            kick = int(start[0]) if kick is None else kick
+            top = _latest(us, batch["quote_id"].to_numpy(), us <= start)
+            if top is not None and (at is None or (int(us[top]), int(batch["quote_id"].iat[top])) > (at, quote_id)):
+                line, at, quote_id = batch["line"].iat[top], int(us[top]), int(batch["quote_id"].iat[top])
+                line = None if pd.isna(line) else float(line)
             if not state.exists:
                 kick = min(kick, first + live * 1_000_000)
             state.update((line, at, quote_id, seen, kick))

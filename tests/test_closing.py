@@ -74,3 +74,14 @@ def test_latest_quotes_are_told_once_and_forgotten_after_their_time_to_live(spar
     rows = sorted((r.game, r.quote_id, r.seen) for r in got.collect())
     assert [r[:2] for r in rows] == [(1, 1), (1, 2), (1, 6), (2, 4), (3, 5)]
     assert dict((q, s) for _, q, s in rows)[6] == 1  # started anew
+
+
+def test_the_latest_of_a_batch_is_found_by_arrays():
+    import numpy as np
+    import pandas as pd
+
+    us = closing._micros(pd.Series([at(5), at(7), at(7), at(9), at(7)]))
+    ids = np.array([9, 4, 8, 1, 6])
+    assert us[1] - us[0] == 120_000_000
+    assert closing._latest(us, ids, us <= us[1]) == 2 and closing._latest(us, ids, us == us) == 3
+    assert closing._latest(us, ids, us < 0) is None
