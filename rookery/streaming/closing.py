@@ -20,17 +20,21 @@ CLOSED = "game bigint, line double, ts timestamp, quote_id bigint, seen bigint"
 _STATE = "line double, at bigint, quote_id bigint, seen bigint, kick bigint"
 
 
-def _micros(times) -> np.ndarray:
-    """Microseconds since 1970. Arrays, not series: a batch holds few quotes of a game, and there are as many batches as games."""
-    return times.to_numpy("datetime64[us]").astype("int64")
+def _tools():
+    """Functions of their own, so that they travel with a step to workers that lack this module."""
 
+    def micros(times) -> np.ndarray:
+        """Microseconds since 1970. Arrays, not series: a batch holds few quotes of a game, and there are as many batches as games."""
+        return times.to_numpy("datetime64[us]").astype("int64")
 
-def _latest(us: np.ndarray, ids: np.ndarray, fit: np.ndarray) -> int | None:
-    """The place of the latest quote that fits, of equal times that of the greatest number; None where none fits."""
-    if not fit.any():
-        return None
-    at = (fit & (us == us[fit].max())).nonzero()[0]
-    return int(at[ids[at].argmax()])
+    def latest(us: np.ndarray, ids: np.ndarray, fit: np.ndarray) -> int | None:
+        """The place of the latest quote that fits, of equal times that of the greatest number; None where none fits."""
+        if not fit.any():
+            return None
+        at = (fit & (us == us[fit].max())).nonzero()[0]
+        return int(at[ids[at].argmax()])
+
+    return micros, latest
 
 
 def closing(quotes: DataFrame, kicks: DataFrame, late: str = "10 minutes", grace: int = 60, live: int = 14 * 86_400) -> DataFrame:
@@ -41,6 +45,8 @@ def closing(quotes: DataFrame, kicks: DataFrame, late: str = "10 minutes", grace
     """
     import pandas as pd
 
+    _micros, _latest = _tools()
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             line, at, quote_id, seen, _ = state.get

@@ -80,8 +80,9 @@ def test_the_latest_of_a_batch_is_found_by_arrays():
     import numpy as np
     import pandas as pd
 
-    us = closing._micros(pd.Series([at(5), at(7), at(7), at(9), at(7)]))
+    micros, latest = closing._tools()
+    us = micros(pd.Series([at(5), at(7), at(7), at(9), at(7)]))
     ids = np.array([9, 4, 8, 1, 6])
     assert us[1] - us[0] == 120_000_000
-    assert closing._latest(us, ids, us <= us[1]) == 2 and closing._latest(us, ids, us == us) == 3
-    assert closing._latest(us, ids, us < 0) is None
+    assert latest(us, ids, us <= us[1]) == 2 and latest(us, ids, us == us) == 3
+    assert latest(us, ids, us < 0) is None
