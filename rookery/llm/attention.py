@@ -15,6 +15,8 @@ import numpy as np
 WINDOW, STRIDE, DIM, HIDDEN, GROUPS, MEMBERS = 32, 28, 16, 32, 32, 32
 CLASSES = GROUPS * MEMBERS
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Freed once, this raises the size from which glibc returns freed memory; else each step's arrays are mapped anew, page by page.
+np.empty((1 << 25) - (1 << 16), np.uint8)
 
 
 #: Ids whose neighbourhoods tell ids apart; all others count as one more.
@@ -74,34 +76,47 @@ def start(class_share: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
+def _row_totals(z: np.ndarray) -> np.ndarray:
+    return z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], np.float32)
+
+
 def _causal(q: np.ndarray, k: np.ndarray, most: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials of the logits of earlier positions, and their sums. Logits that overflow need a bound."""
-    a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+    a = np.matmul(q, k.transpose(0, 2, 1))
     if most is not None:
         np.minimum(a, most, out=a)
     with np.errstate(over="ignore", invalid="ignore"):
         np.exp(a, out=a)
-        a *= _CAUSAL
-        return a, (a @ np.ones(a.shape[2], np.float32))[:, :, None]
+        a *= _CAUSAL[-q.shape[1] :]
+        return a, _row_totals(a).reshape(*a.shape[:2], 1)
+
 
+def _scaled(w):
+    """The weights of queries, keys and values side by side, with the queries' scale in them."""
+    qkv = w["qkv"].copy()
+    qkv[:, :DIM] *= np.float32(DIM**-0.5)
+    return qkv
 
-def _attend(w, x):
-    """The layer's output for windows of classes, and what the gradient needs."""
+
+def _attend(w, x, qkv, first=0):
+    """The layer's output for windows of classes from their position ``first`` on, and what the gradient needs."""
     e = w["embed"].take(x, axis=0)
     e += w["place"]
-    flat = e.reshape(-1, DIM)
-    q, k, v = ((flat @ w["qkv"][:, i * DIM : (i + 1) * DIM]).reshape(e.shape) for i in range(3))
-    q *= np.float32(DIM**-0.5)
+    all_three = (e.reshape(-1, DIM) @ qkv).reshape(*x.shape, 3 * DIM)
+    q, k, v = all_three[:, first:, :DIM], all_three[:, :, DIM : 2 * DIM], all_three[:, :, 2 * DIM :]
     a, total = _causal(q, k)
     if not np.isfinite(total).all():
         a, total = _causal(q, k, 60.0)
     o = np.matmul(a, v)
     o /= total
-    u = e + (o.reshape(-1, DIM) @ w["mix"]).reshape(e.shape)
+    u = (o.reshape(-1, DIM) @ w["mix"]).reshape(o.shape)
+    u += e[:, first:]
     m = u.reshape(-1, DIM) @ w["wide"]
     m += w["shift"]
     np.maximum(m, 0, out=m)
-    return u + (m @ w["back"]).reshape(e.shape), (e, q, k, v, a, total, o, u, m)
+    h = (m @ w["back"]).reshape(u.shape)
+    h += u
+    return h, (e, q, k, v, a, total, o, u, m)
 
 
 def _by_group(y: np.ndarray):
@@ -123,10 +138,10 @@ def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return picked - np.log(total)
 
 
-def log_probabilities(w, x: np.ndarray, y: np.ndarray, wanted: np.ndarray, rows: int = 1024) -> np.ndarray:
+def log_probabilities(w, x: np.ndarray, y: np.ndarray, wanted: np.ndarray, rows: int = 2048) -> np.ndarray:
     """Natural logarithms of the classes ``y`` at the ``wanted`` positions of windows ``x``, in order. Works in pieces whose arrays stay in the cache."""
-    step = max(1, rows // x.shape[1])
-    h = np.concatenate([_attend(w, x[lo : lo + step])[0][wanted[lo : lo + step]] for lo in range(0, len(x), step)])
+    step, qkv = max(1, min(PIECE, rows // x.shape[1])), _scaled(w)
+    h = np.concatenate([_attend(w, x[lo : lo + step], qkv)[0][wanted[lo : lo + step]] for lo in range(0, len(x), step)])
     y = y[wanted]
     group, order, ranges = _by_group(y)
     out = np.empty(len(y), np.float32)
@@ -163,70 +178,94 @@ def _row_sums(p: np.ndarray) -> np.ndarray:
     return np.ones(len(p), np.float32) @ p
 
 
-def _backward(w, x: np.ndarray, dh: np.ndarray, kept) -> dict[str, np.ndarray]:
-    """Gradients of the layer's weights from that of its output, which becomes that of its input."""
+def _backward(w, qkv, dh: np.ndarray, kept, g: dict[str, np.ndarray]) -> np.ndarray:
+    """The gradient of the layer's input from that of its output, which is overwritten; adds those of the layer's weights to ``g``."""
     e, q, k, v, a, total, o, u, m = kept
     a /= total
     dh2 = dh.reshape(-1, DIM)
-    g = {"back": m.T @ dh2}
+    g["back"] += m.T @ dh2
     dm = dh2 @ w["back"].T
     dm *= m > 0
-    g["wide"], g["shift"] = u.reshape(-1, DIM).T @ dm, _row_sums(dm)
-    dh += (dm @ w["wide"].T).reshape(dh.shape)  # now the gradient of u
-    g["mix"] = o.reshape(-1, DIM).T @ dh2
+    g["wide"] += u.reshape(-1, DIM).T @ dm
+    g["shift"] += _row_sums(dm)
+    dh2 += dm @ w["wide"].T  # now the gradient of u
+    g["mix"] += o.reshape(-1, DIM).T @ dh2
     do = (dh2 @ w["mix"].T).reshape(dh.shape)
-    ds = np.matmul(do, np.ascontiguousarray(v.transpose(0, 2, 1)))
-    ds -= ((do * o) @ np.ones(DIM, np.float32))[:, :, None]  # a row's sum of a times its own gradient
+    ds = np.matmul(do, v.transpose(0, 2, 1))
+    o *= do
+    ds -= _row_totals(o).reshape(*o.shape[:2], 1)  # a row's sum of a times its own gradient
     ds *= a
-    d = np.empty((*x.shape, 3 * DIM), np.float32)
-    np.matmul(ds, k, out=d[:, :, :DIM])
-    d[:, :, :DIM] *= np.float32(DIM**-0.5)
+    first = e.shape[1] - q.shape[1]
+    d = np.empty((*e.shape[:2], 3 * DIM), np.float32)
+    d[:, :first, :DIM] = 0
+    np.matmul(ds, k, out=d[:, first:, :DIM])
     np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, DIM : 2 * DIM])
     np.matmul(a.transpose(0, 2, 1), do, out=d[:, :, 2 * DIM :])
     d = d.reshape(-1, 3 * DIM)
-    g["qkv"] = e.reshape(-1, DIM).T @ d
-    dh += (d @ w["qkv"].T).reshape(dh.shape)
-    g["place"] = dh.sum(0)
-    return g
+    g["qkv"] += e.reshape(-1, DIM).T @ d
+    de = (d @ qkv.T).reshape(e.shape)
+    de[:, first:] += dh
+    g["place"] += de.sum(0)
+    return de
 
 
-#: Windows whose forward and backward arrays stay in the cache together.
-PIECE = 64
+#: Windows that go forward and backward together: more of them leave the cache, fewer cost calls.
+PIECE = 128
+
+
+def _pieces(x: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, int]]]:
+    """An order of windows, and pieces of it with the first position wanted of any of their windows: all but a text's first window need their first positions as context only."""
+    late = ~wanted[:, : WINDOW - STRIDE].any(1)
+    order, n = np.argsort(late, kind="stable"), len(x) - int(late.sum())
+    found = [(slice(lo, min(n, lo + PIECE)), 0) for lo in range(0, n, PIECE)]
+    return order, found + [(slice(lo, lo + PIECE), WINDOW - STRIDE) for lo in range(n, len(x), PIECE)]
 
 
 def gradients(w, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log probability at the wanted positions."""
-    pieces = [slice(lo, lo + PIECE) for lo in range(0, len(x), PIECE)]
-    layers = [_attend(w, x[p]) for p in pieces]
-    h2 = np.concatenate([h for h, _ in layers]).reshape(-1, DIM)
-    n, y = np.float32(max(1, int(wanted.sum()))), y[wanted]
+    order, pieces = _pieces(x, wanted)
+    x, y, wanted, qkv = x[order], y[order], wanted[order], _scaled(w)
+    layers = [_attend(w, x[p], qkv, first) for p, first in pieces]
+    h2 = np.concatenate([h.reshape(-1, DIM) for h, _ in layers])
+    asked = np.concatenate([wanted[p, first:].ravel() for p, first in pieces])
+    n, y = np.float32(max(1, int(asked.sum()))), y[wanted]
     group, order, ranges = _by_group(y)
-    at = np.flatnonzero(wanted)[order]  # positions by group from here on
-    flat, member = h2.take(at, axis=0), (y % MEMBERS)[order]
-    p = flat @ w["group"]
-    p += w["group_base"]
-    p = _less_target(p, group[order], n)
-    g = {"group": flat.T @ p, "group_base": _row_sums(p), "member": np.zeros_like(w["member"]), "member_base": np.zeros_like(w["member_base"])}
-    d_flat = p @ w["group"].T
+    at = np.flatnonzero(asked)[order]  # positions by group from here on
+    flat = np.ones((len(at), DIM + 1), np.float32)  # the last column meets the bases
+    flat[:, :DIM] = h2.take(at, axis=0)
+    outer = np.concatenate([w["group"], w["group_base"][None]])
+    inner = np.concatenate([w["member"], w["member_base"][:, None]], axis=1)
+    d_flat, d_inner = np.empty((len(at), DIM), np.float32), np.empty((len(at), DIM), np.float32)
+    z, d_outer, by_member = np.empty((len(at), MEMBERS), np.float32), np.zeros_like(outer), np.zeros_like(inner)
+    group, member, blocks = group[order], (y % MEMBERS)[order], [slice(lo, lo + 1024) for lo in range(0, len(at), 1024)]
+    for b in blocks:
+        p = _less_target(flat[b] @ outer, group[b], n)
+        d_outer += flat[b].T @ p
+        np.matmul(p, w["group"].T, out=d_flat[b])
     for j, lo, hi in ranges:
-        p = flat[lo:hi] @ w["member"][j]
-        p += w["member_base"][j]
-        p = _less_target(p, member[lo:hi], n)
-        g["member"][j], g["member_base"][j] = flat[lo:hi].T @ p, _row_sums(p)
-        d_flat[lo:hi] += p @ w["member"][j].T
-    dh = np.zeros((*x.shape, DIM), np.float32)
-    dh2 = dh.reshape(-1, DIM)
+        np.matmul(flat[lo:hi], inner[j], out=z[lo:hi])
+    for b in blocks:
+        z[b] = _less_target(z[b], member[b], n)
+    for j, lo, hi in ranges:
+        by_member[j] = flat[lo:hi].T @ z[lo:hi]
+        np.matmul(z[lo:hi], w["member"][j].T, out=d_inner[lo:hi])
+    d_flat += d_inner
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    g["group"], g["group_base"], g["member"], g["member_base"] = d_outer[:DIM], d_outer[DIM], by_member[:, :DIM], by_member[:, DIM]
+    dh2 = np.zeros_like(h2)
     dh2[at] = d_flat
-    for part, (_, kept) in zip(pieces, layers):
-        for name, value in _backward(w, x[part], dh[part], kept).items():
-            g[name] = g[name] + value if name in g else value
+    dx, lo = [], 0
+    for h, kept in layers:
+        hi = lo + h.shape[0] * h.shape[1]
+        dx.append(_backward(w, qkv, dh2[lo:hi].reshape(h.shape), kept, g).reshape(-1, DIM))
+        lo = hi
+    g["qkv"][:, :DIM] *= np.float32(DIM**-0.5)
     # rows of one class lie side by side and are summed as runs
     inputs = x.ravel().astype(np.uint16)
     order = np.argsort(inputs, kind="stable")
     inputs = inputs[order]
     starts = np.flatnonzero(np.diff(inputs, prepend=np.uint16(CLASSES)))
-    g["embed"] = np.zeros_like(w["embed"])
-    g["embed"][inputs[starts]] = np.add.reduceat(dh2.take(order, axis=0), starts, axis=0)
+    g["embed"][inputs[starts]] = np.add.reduceat(np.concatenate(dx).take(order, axis=0), starts, axis=0)
     return g
 
 
@@ -258,11 +297,14 @@ def windows(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     number = 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE))
     text = np.repeat(np.arange(len(counts)), number)
     index = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
-    inside = index[:, None] * STRIDE + np.arange(WINDOW)
-    wanted = (inside < counts[text][:, None]) & ((index == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
-    at = np.minimum((np.cumsum(counts) - counts)[text][:, None] + inside, len(classes) - 1)
-    y = classes[at]
-    x = classes[at - 1]
+    place = np.arange(WINDOW, dtype=np.int32)
+    left = (counts[text] - index * STRIDE).astype(np.int32)
+    wanted = place < left[:, None]
+    wanted &= (index == 0)[:, None] | (place >= WINDOW - STRIDE)
+    # one row holds a window's inputs and targets; zeros stand before the first text and after the last
+    padded = np.concatenate([np.zeros(1, classes.dtype), classes, np.zeros(WINDOW, classes.dtype)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[(np.cumsum(counts) - counts)[text] + index * STRIDE]
+    x, y = rows[:, :-1], rows[:, 1:]
     x[index == 0, 0] = 0
     return x, y, wanted, text
 

@@ -6,6 +6,8 @@ The attention weights are fitted in two steps: a first fit on pieces of at most
 all windows of all training documents, in which each task goes on from the first fit over its own windows and the tasks' weights
 are averaged. Scores read whole texts in overlapping windows that score each id once.
 
+Texts are spelt out once: the ids of every text are stored, and the neighbour counts, the pass and the scores read them.
+
 The base score needs each word's count. The most frequent words, at most HEAD whatever the corpus, are sent to the tasks. The
 occurrences of all rarer words are joined with the counts by hash, so no task holds the vocabulary.
 
@@ -95,18 +97,71 @@ def _windows(encoder, classes: np.ndarray, end: int, texts: list[str], whole: li
     return attention.windows(classes[flat], counts[kept])[:3] if kept.any() else None
 
 
-def _together(texts: list[str]):
-    """Runs of texts of at most TOGETHER characters, or one text."""
+def _together(texts: list, length=len):
+    """Runs of texts, or of their lengths, of at most TOGETHER characters, or one text."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
-        if i > lo and size + len(t) > TOGETHER:
+        if i > lo and size + length(t) > TOGETHER:
             yield texts[lo:i]
             lo, size = i, 0
-        size += len(t)
+        size += length(t)
     if lo < len(texts):
         yield texts[lo:]
 
 
+def _id_type(vocabulary: int):
+    return np.uint16 if vocabulary <= 1 << 16 else np.uint32
+
+
+def _packed(flat: np.ndarray, counts: np.ndarray, end: int, kind):
+    """Texts' ids as an Arrow column of bytes, each text's followed by the end."""
+    import pyarrow as pa
+
+    sizes = counts + 1
+    ids, offsets = np.full(int(sizes.sum()), end, kind), np.concatenate([[0], np.cumsum(sizes)])
+    inside = np.ones(len(ids), bool)
+    inside[offsets[1:] - 1] = False
+    ids[inside] = flat
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets * kind().itemsize), pa.py_buffer(ids)]).cast(pa.binary())
+
+
+def _unpacked(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that ``_packed`` made a column of, in a row, and how many each text has with its end."""
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data else np.zeros(0, kind)
+    return flat, np.diff(offsets) // kind().itemsize
+
+
+def _runs(batch, kind):
+    """Ids and sizes of a batch's texts, as ``_packed``, in runs of at most TOGETHER characters, or one text."""
+    flat, counts = _unpacked(batch.column("ids"), kind)
+    lo = at = 0
+    for size in map(len, _together(batch.column("chars").to_numpy().tolist(), int)):
+        n = int(counts[lo : lo + size].sum())
+        yield flat[at : at + n], counts[lo : lo + size]
+        lo, at = lo + size, at + n
+
+
+def spelt(texts: DataFrame, tokenizer: str, vocabulary: int, end: int) -> DataFrame:
+    """chars and ids of all texts; a table without text, which has them, stays as it is."""
+    if "text" not in texts.columns:
+        return texts.select("chars", "ids")
+
+    def run(batches):
+        import pyarrow as pa
+
+        encoder = encoder_of(tokenizer, True)
+        for batch in batches:
+            for some in _together([t or "" for t in batch.column("text").to_pylist()]):
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(len, some)), pa.int64()), _packed(*encoder.ids(some), end, _id_type(vocabulary))], ["chars", "ids"])
+
+    return texts.select("text").mapInArrow(run, "chars bigint, ids binary")
+
+
 def neighbours(texts: DataFrame, tokenizer: str, vocabulary: int, end: int, landmark: np.ndarray) -> np.ndarray:
     """How often each id of the training texts follows and precedes each landmark; at most a row to an id, a side and a landmark comes back."""
     shape = (vocabulary, 2, attention.LANDMARKS + 1)
@@ -114,18 +169,17 @@ def neighbours(texts: DataFrame, tokenizer: str, vocabulary: int, end: int, land
     def run(batches):
         import pyarrow as pa
 
-        encoder, total = encoder_of(tokenizer, True), np.zeros(int(np.prod(shape)), np.int64)
+        total = np.zeros(int(np.prod(shape)), np.int64)
         for batch in batches:
-            for some in _together([t or "" for t in batch.column("text").to_pylist()]):
-                flat, counts = encoder.ids(some)
-                ids = np.concatenate([[end], np.insert(flat.astype(np.int64), np.cumsum(counts), end)])
+            for flat, _ in _runs(batch, _id_type(vocabulary)):
+                ids = np.concatenate([[end], flat])
                 for side, (own, other) in enumerate(((ids[1:], ids[:-1]), (ids[:-1], ids[1:]))):
                     held = own != end
                     np.add.at(total, (own[held] * 2 + side) * shape[2] + landmark[other[held]], 1)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["key", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    rows = spelt(texts, tokenizer, vocabulary, end).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(np.prod(shape)))
     out[rows["key"].to_numpy(np.int64)] = rows["n"].to_numpy()
     return out.reshape(shape)
@@ -137,24 +191,25 @@ def window_pass(texts: DataFrame, tokenizer: str, classes: np.ndarray, weights:
     def run(batches):
         import pyarrow as pa
 
-        own, seen, encoder = weights, 0, encoder_of(tokenizer, True)
+        own, seen, small = weights, 0, classes.astype(np.uint16)
         for batch in batches:
-            for some in _together([t or "" for t in batch.column("text").to_pylist()]):
-                found = _windows(encoder, classes, end, some, [True] * len(some))
+            for flat, counts in _runs(batch, _id_type(len(classes))):
+                found = attention.windows(small[flat], counts)[:3]
                 own = attention.train(own, *found, 1, PASS_RATE, batch=PASS_BATCH)
                 seen += len(found[0])
         if seen:
             flat = np.concatenate([own[k].ravel() for k in weights]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float64()))], ["n", "w"])
 
-    return texts.select("text").mapInArrow(run, "n bigint, w array<double>")
+    return spelt(texts, tokenizer, len(classes), end).mapInArrow(run, "n bigint, w array<double>")
 
 
-def fit(texts: DataFrame, tokenizer: str, vocabulary: int, end: int, by_id: np.ndarray):
-    """Classes of all ids, and the attention weights; ``by_id`` has the counts of all training ids."""
+def fit(texts: DataFrame, tokenizer: str, vocabulary: int, end: int, by_id: np.ndarray, ids: DataFrame | None = None):
+    """Classes of all ids, and the attention weights; ``by_id`` has the counts of all training ids, ``ids`` the texts as ``spelt``."""
+    ids = texts if ids is None else ids
     encoder = encoder_of(tokenizer, True)
     landmark = attention.landmarks(by_id, end)
-    classes = attention.cluster(neighbours(texts, tokenizer, vocabulary, end, landmark), end)
+    classes = attention.cluster(neighbours(ids, tokenizer, vocabulary, end, landmark), end)
     share = np.bincount(classes, by_id, attention.CLASSES) + 0.01
     weights = attention.start(share / share.sum())
     rows = hash_sample(pieces(texts, PIECE), SAMPLE_DOCS, "doc_id", "text").toPandas()
@@ -163,7 +218,7 @@ def fit(texts: DataFrame, tokenizer: str, vocabulary: int, end: int, by_id: np.n
         return classes, weights
     weights = attention.train(weights, *found, EPOCHS, RATE)
     shapes = {k: v.shape for k, v in weights.items()}
-    passed = window_pass(texts, tokenizer, classes, weights, end).select("n", F.posexplode("w").alias("at", "w"))
+    passed = window_pass(ids, tokenizer, classes, weights, end).select("n", F.posexplode("w").alias("at", "w"))
     mean = passed.groupBy("at").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
     found = np.zeros(sum(int(np.prod(s)) for s in shapes.values()))
     rows = mean.toPandas()  # a row to a weight
@@ -232,53 +287,62 @@ def score(docs: DataFrame, tokenizer: str, vocabulary: int = 49_408, end: int =
     head = dict(zip(frequent["word"].tolist(), frequent["n"].tolist()))
     rare, known_end = least > 1, int(n_docs > 0)
     of_end = float(np.log10(n_docs + 1) - scale)
-    by_id = id_counts(counts, tokenizer, vocabulary)
-    by_id[end] = n_docs
-    classes, weights = fit(texts, tokenizer, vocabulary, end, by_id)
-    share = np.log((by_id + 1) / np.bincount(classes, by_id + 1, attention.CLASSES)[classes]).astype(np.float32)
-    model = attention.Model(weights, classes, share)
 
-    def run(batches):
+    def read(batches):
         import pyarrow as pa
 
         encoder = encoder_of(tokenizer, True)
         counted = _Counts(encoder, head)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            n_tokens, n_known, base, scores, tails, stops = [], [], [], [], [], []
-            for lo in range(0, len(texts), SLICE):
+            at = 0
+            for some in (part for run in _together(texts) for part in (run[lo : lo + SLICE] for lo in range(0, len(run), SLICE))):
                 chunks, ends = [], []
-                for t in texts[lo : lo + SLICE]:
+                for t in some:
                     chunks += _chunks(t)
                     ends.append(len(chunks))
                 ends = np.array(ends)
-                at = encoder.places(chunks)
-                count, starts = counted.of(at), np.concatenate([[0], ends[:-1]])
+                places = encoder.places(chunks)
+                count, starts = counted.of(places), np.concatenate([[0], ends[:-1]])
                 common = count >= 0
                 sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[np.concatenate([[0], ends])])  # noqa: E731, B023
                 log = np.where(common | (not rare), np.log10(np.maximum(count, 0) + 1.0) - scale, 0.0)
-                n_tokens.append(ends - starts + 1), n_known.append(sums(count > 0) + known_end), base.append(sums(log) + of_end)
-                if rare:
-                    tails.append(_hashes(chunks, np.flatnonzero(~common))), stops.append(sums(~common))
-                sizes = encoder.sizes(at, ends)
-                flat = np.insert(encoder.gather(at).astype(np.int64), np.cumsum(sizes), end)
-                scores.append(model.score(flat, sizes + 1))
-            if not texts:
-                continue
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(stops))]) if rare else np.zeros(len(texts) + 1)
-            tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tails) if rare else [], pa.int64()))
-            columns = [pa.array(np.concatenate(v)) for v in (n_tokens, n_known, base, scores)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, tail], ["doc_id", "n_tokens", "n_known", "base_score", "score", "tail"])
+                offsets = np.concatenate([[0], np.cumsum(sums(~common))]) if rare else np.zeros(len(some) + 1)
+                tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_hashes(chunks, np.flatnonzero(~common)) if rare else [], pa.int64()))
+                columns = [pa.array(v) for v in (ends - starts + 1, sums(count > 0) + known_end, sums(log) + of_end)]
+                ids = _packed(encoder.gather(places), encoder.sizes(places, ends), end, _id_type(vocabulary))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, len(some)), *columns, tail, pa.array(list(map(len, some)), pa.int64()), ids],
+                    ["doc_id", "n_tokens", "n_known", "base_score", "tail", "chars", "ids"],
+                )
+                at += len(some)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, tail array<bigint>")
+    columns = f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double"
+    found = docs.select("doc_id", "text").mapInArrow(read, f"{columns}, tail array<bigint>, chars bigint, ids binary")
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "lm-ids")
+    by_id = id_counts(counts, tokenizer, vocabulary)
+    by_id[end] = n_docs
+    classes, weights = fit(texts, tokenizer, vocabulary, end, by_id, found.where(crc_mod("doc_id", 7) != 2))
+    share = np.log((by_id + 1) / np.bincount(classes, by_id + 1, attention.CLASSES)[classes]).astype(np.float32)
+    model = attention.Model(weights, classes.astype(np.uint16), share)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            scores = [model.score(*r) for r in _runs(batch, _id_type(vocabulary))]
+            if scores:
+                names = ["doc_id", "n_tokens", "n_known", "base_score", "row"]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(np.concatenate(scores))], [*names, "score"])
+
+    scored = found.select("doc_id", "n_tokens", "n_known", "base_score", "row", "chars", "ids").mapInArrow(run, f"{columns}, row bigint, score double")
     if rare:
-        found = stored(found.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
         tail = found.select("row", F.explode("tail").alias("hash")).join(counts.where(F.col("n") < least).select("hash", "n"), "hash", "left")
         tail = tail.select("row", (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - scale).alias("log"), F.when(F.col("n") > 0, 1).otherwise(0).alias("known"))
         sums = tail.groupBy("row").agg(F.sum("log").alias("log"), F.sum("known").alias("known"))
-        found = found.drop("tail").join(sums, "row", "left").withColumn("base_score", F.col("base_score") + F.coalesce("log", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0)))
-    return found.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+        scored = scored.join(sums, "row", "left").withColumn("base_score", F.col("base_score") + F.coalesce("log", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0)))
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,43 @@ def test_all_ids_and_windows_of_the_training_texts_count(spark, monkeypatch):
     assert (classes[np.unique(flat)] >= attention.MEMBERS).all()
     every = attention.windows(np.zeros(len(flat) + len(counts), int), counts + 1)[0]
     assert sum(r.n for r in lm.window_pass(texts, PATH, classes, weights, end).collect()) == len(every) > 5 * len(rows)
+
+
+def test_texts_are_spelt_once_and_the_steps_read_their_ids(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()] + [(9_001, None), (9_002, "")]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    end, vocabulary = 49_407, 49_408
+    ids = lm.stored(lm.spelt(texts, PATH, vocabulary, end), "lm-test").coalesce(1)
+    flat, counts = lm.encoder_of(PATH, True).ids([t or "" for _, t in rows])
+    got = [np.frombuffer(r.ids, np.uint16).tolist() for r in ids.collect()]
+    assert got == [[*part.tolist(), end] for part in np.split(flat, np.cumsum(counts)[:-1])]
+    landmark = attention.landmarks(np.bincount(flat, minlength=vocabulary).astype(float), end)
+    none = "/no/such/tokenizer.json"  # what reads the ids needs none
+    near = lm.neighbours(ids, none, vocabulary, end, landmark)
+    assert (near == lm.neighbours(texts, PATH, vocabulary, end, landmark)).all()
+    classes = attention.cluster(near, end)
+    weights = attention.start(np.full(attention.CLASSES, 1 / attention.CLASSES))
+    a, b = (lm.window_pass(t, p, classes, weights, end).first() for t, p in ((ids, none), (texts, PATH)))
+    assert a.n == b.n and a.w == b.w
+
+
+def test_ids_of_sliced_columns_and_large_vocabularies():
+    for kind in (lm._id_type(49_408), lm._id_type(100_000)):
+        column = lm._packed(np.arange(5, 12), np.array([3, 0, 4]), 49_407, kind)
+        flat, counts = lm._unpacked(column.slice(1), kind)
+        assert flat.tolist() == [49_407, 8, 9, 10, 11, 49_407] and counts.tolist() == [1, 5]
+    assert lm._id_type(100_000) is np.uint32
+
+
+def test_positions_that_are_context_only_leave_the_gradient_as_it_is(monkeypatch):
+    rng = np.random.default_rng(2)
+    counts = np.array([100, 3, 40, 200])
+    classes = rng.integers(32, 900, counts.sum())
+    classes[np.cumsum(counts) - 1] = 0
+    x, y, wanted, _ = attention.windows(classes, counts)
+    w = attention.start(np.full(attention.CLASSES, 1 / attention.CLASSES))
+    assert {first for _, first in attention._pieces(x, wanted)[1]} == {0, attention.WINDOW - attention.STRIDE}
+    got = attention.gradients(w, x, y, wanted)
+    monkeypatch.setattr(attention, "_pieces", lambda x, wanted: (np.arange(len(x)), [(slice(0, len(x)), 0)]))
+    want = attention.gradients(w, x, y, wanted)
+    assert all(np.allclose(got[k], want[k], rtol=1e-4, atol=1e-7) for k in w)
